@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, fingerprints, html_text, licenses, mixing, secrets, toxicity
+from marlstone.llm import bpe, fingerprints, html_text, licenses, mixing, secrets, topk, toxicity
 from marlstone.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_fingerprints": op3_fingerprints,
+    "op4_exact_topk": op4_exact_topk,
     "op5_secret_scan": op5_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": topk.oracle(),
     "op7_license_scan": licenses.oracle(),
     "op9_mixing": mixing.oracle(),
 }
