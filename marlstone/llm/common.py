@@ -58,3 +58,67 @@ def packed(rows: Iterable[bytes]) -> pa.Array:
 
 def joined(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
+
+
+#: An odd base of polynomial hashes modulo 2**64, and its inverse.
+HASH_BASE = 0x9E3779B97F4A7C15
+HASH_INVERSE = pow(HASH_BASE, -1, 2**64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((HASH_BASE, HASH_INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
+
+
+class RunHashes:
+    """Hashes of all runs of a sequence of values, each from two prefix sums; equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, values: np.ndarray):
+        self.power, inverse = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * inverse[: len(values)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * self.power[starts])
+
+    def fixed(self, length: int) -> np.ndarray:
+        """Of each run of this length."""
+        n = len(self.sums) - length
+        return mixed((self.sums[length:] - self.sums[:n]) * self.power[:n])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values evenly."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of each node of the edges (a, b): the root is the least node that is connected with it.
+
+    Alternating large and small stars; each round is kept in the checkpoint folder, and nothing but counts reaches the driver."""
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = state(edges)
+    while before[0]:
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        edges = checkpointed(small.select("e.a", "e.b").where("a <> b").distinct())
+        now = state(edges)
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, fingerprints, html_text, licenses, mixing, secrets, topk, toxicity
+from marlstone.llm import bpe, fingerprints, html_text, licenses, minhash, mixing, secrets, topk, toxicity
 from marlstone.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_exact_topk": op4_exact_topk,
     "op5_secret_scan": op5_secret_scan,
