@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,11 +37,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir of the session. Where it is unset, as in tests, it is a temporary local one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "marlstone-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see; a temporary local one where it is unset, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a Parquet table to the shared folder and read again; for tables that a checkpoint would keep uncompressed."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/marlstone-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_dropped, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended before
+        pass
+
+
 def text_chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts with about `most` characters; a longer text has a run of its own."""
     first, held = 0, 0
