@@ -9,8 +9,8 @@ be removed. The sort goes by digits, the most significant first, and a suffix le
    equal to full depth, with all neighbours up to there.
 3. Grams with several contexts are left, at the edges of passages. Their strings are compared at each offset.
 
-A group of the third pass that is too large for one task is cut in parts. A part marks what repeats within itself and
-passes on one row for each distinct string, and these are counted across the parts.
+Groups of the third pass that are too large for one task go by counts: offsets are taken together in intervals, and only
+an interval in which a passage begins or ends is divided further.
 
 Nulls: a null text counts as empty, a null id stays null. Empty and short texts keep all bytes. Repeated rows are copies,
 so their strings repeat. Very long texts are one numpy pass each. An empty table gives an empty result.
@@ -32,7 +32,9 @@ LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM  # a string begins at most so many bytes before its gram
 #: Distinct contexts of a gram that one task compares.
-GROUP = 2000
+GROUP = 1000
+#: Widths of the intervals of offsets in larger groups.
+WIDTHS = (39, 6, 1)
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,43 +130,70 @@ def runs_of(offsets: np.ndarray) -> bytes:
     return np.stack([offsets[np.concatenate([[0], cut + 1])], offsets[np.concatenate([cut, [len(offsets) - 1]])]], 1).astype("<u2").tobytes()
 
 
-def third_pass(contexts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(gram, context, runs): the offsets at which strings of the context stand elsewhere too.
-
-    parts: (gram, n) with n > 1 for grams of too many contexts for one task, a few."""
-    dealt = contexts.join(parts, "gram", "left").withColumn("part", F.when(F.col("n").isNull(), -1).otherwise(F.pmod("context", F.coalesce("n", F.lit(1)))).cast("int")).drop("n")
+def third_pass(contexts: DataFrame) -> DataFrame:
+    """(gram, context, runs): the offsets at which strings of the context stand elsewhere too; the groups are of bounded size."""
 
     def compare(table: pa.Table) -> pa.Table:
-        gram, context, before, data, part = (table.column(c).to_pylist() for c in ("gram", "context", "before", "bytes", "part"))
-        found = [windows(d, b) for d, b in zip(data, before)]
+        found = [windows(d, b) for d, b in zip(table.column("bytes").to_pylist(), table.column("before").to_pylist())]
         owner = np.repeat(np.arange(len(found)), [len(o) for o, _ in found])
         offset = common.joined([o for o, _ in found], np.int64)
         key = common.joined([h for _, h in found], np.uint64)
         order = np.lexsort((owner, key, offset))
         owner, offset, key = owner[order], offset[order], key[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])]) if len(key) else np.empty(0, bool)
-        group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.empty(0, bool)
-        cuts = [offset[many & (owner == i)] for i in range(len(found))] if len(found) <= 64 else None
-        if cuts is None:
-            o, p = owner[many], offset[many]
-            sort = np.argsort(o, kind="stable")
-            cuts = np.split(p[sort], np.searchsorted(o[sort], np.arange(1, len(found))))
-        cross = part[0] >= 0
-        one = np.flatnonzero(new) if cross else np.empty(0, int)
-        rows = {
-            "gram": gram + [gram[0]] * len(one),
-            "context": context + [context[i] for i in owner[one].tolist()],
-            "runs": [runs_of(c) for c in cuts] + [None] * len(one),
-            "offset": [None] * len(gram) + offset[one].tolist(),
-            "hash": [None] * len(gram) + key[one].view(np.int64).tolist(),
-            "owners": [None] * len(gram) + [1] * len(one),
-        }
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds)})
-
-    local = dealt.groupBy("gram", "part").applyInArrow(compare, "gram long, context long, runs binary, offset int, hash long, owners int")
-    return common.stored(local)
+        same = (key[1:] == key[:-1]) & (offset[1:] == offset[:-1])
+        many = np.zeros(len(key), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        owner, offset = owner[many], offset[many]
+        order = np.argsort(owner, kind="stable")
+        cuts = np.split(offset[order], np.searchsorted(owner[order], np.arange(1, len(found))))
+        return pa.table({"gram": table.column("gram"), "context": table.column("context"), "runs": pa.array([runs_of(c) for c in cuts], pa.binary())})
+
+    return contexts.groupBy("gram").applyInArrow(compare, "gram long, context long, runs binary")
+
+
+def third_pass_of_large(contexts: DataFrame) -> DataFrame:
+    """The same for groups of any size, by counts alone: strings are taken together by intervals of offsets, which shrink.
+
+    If what all strings of an interval have in common stands in no other context, none of them does. If the string that
+    holds all of them stands elsewhere, they all do. Only the intervals in between are divided, so that a context costs a
+    few dozen rows and no task holds a group."""
+    done = None
+    nodes = contexts.select("gram", "context", "before", "bytes", F.array(F.struct(F.lit(0).alias("lo"), F.lit(REACH).alias("hi"))).alias("parents"))
+    for width in WIDTHS:
+
+        def run(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for gram, context, before, data, parents in zip(*(c.to_pylist() for c in batch.columns)):
+                    hashes = common.RunHashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1))
+                    least, most = max(0, LENGTH - (len(data) - before)), min(before, REACH)
+                    lo, end = np.array([(x, p["hi"]) for p in parents for x in range(p["lo"], p["hi"] + 1, width)]).T
+                    hi = np.minimum(lo + width - 1, end)
+                    fit = (lo <= most) & (hi >= least)
+                    lo, hi = lo[fit], hi[fit]
+                    core = hashes.of(before - lo, before + LENGTH - hi).view(np.int64)
+                    inside = (lo >= least) & (hi <= most)
+                    whole = hashes.of(np.maximum(before - hi, 0), np.minimum(before + LENGTH - lo, len(data))).view(np.int64)
+                    out += [(gram, context, x, y, c, w if i else None) for x, y, c, w, i in zip(lo.tolist(), hi.tolist(), core.tolist(), whole.tolist(), inside.tolist())]
+                columns = list(zip(*out)) if out else [[]] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", "context", "lo", "hi", "core", "whole"])
+
+        rows = common.stored(nodes.mapInArrow(run, "gram long, context long, lo int, hi int, core long, whole long"))
+        core = rows.groupBy("gram", "lo", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        whole = rows.where("whole IS NOT NULL").groupBy("gram", "lo", "whole").agg(F.count("*").alias("n")).where("n > 1").select("gram", "lo", "whole", F.lit(True).alias("all"))
+        alive = common.stored(rows.join(core, ["gram", "lo", "core"], "left_semi").join(whole, ["gram", "lo", "whole"], "left").select("gram", "context", "lo", "hi", "core", "whole", "all"))
+        hit = alive.where("all").select("gram", "context", "lo", "hi")
+        done = hit if done is None else done.unionByName(hit)
+        # one context of each string that is settled goes on beside the open ones with that core, which may share a part of it
+        open_ = alive.where("all IS NULL")
+        settled = alive.where("all").join(open_.select("gram", "lo", "core").distinct(), ["gram", "lo", "core"], "left_semi").groupBy("gram", "lo", "hi", "whole").agg(F.min("context").alias("context"))
+        left = open_.select("gram", "context", "lo", "hi").unionByName(settled.select("gram", "context", "lo", "hi")).groupBy("gram", "context").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("parents"))
+        nodes = contexts.dropDuplicates(["gram", "context"]).join(left, ["gram", "context"]).select("gram", "context", "before", "bytes", "parents")
+    two = lambda x: F.concat(F.substring(F.lpad(F.hex(x), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(x), 4, "0"), 1, 2))
+    lists = done.groupBy("gram", "context").agg(F.collect_set(F.struct("lo", "hi")).alias("o"))
+    return lists.select("gram", "context", F.unhex(F.array_join(F.transform("o", lambda x: F.concat(two(x["lo"]), two(x["hi"]))), "")).alias("runs"))
 
 
 def marked(docs_keyed: DataFrame) -> DataFrame:
@@ -178,45 +207,18 @@ def marked(docs_keyed: DataFrame) -> DataFrame:
     place = little(1) + little(2) * 256 + little(3) * 65536 + little(4) * 16777216
     wanted = edge.select(F.col("one.key").alias("key"), "gram", "context", place.cast("int").alias("place"))
     contexts = common.stored(fetched(docs_keyed, wanted))
-    parts = several.where(F.col("c") > GROUP).select("gram", F.ceil(F.col("c") / GROUP).alias("n"))
-    third = third_pass(contexts, parts)
-    runs = third.where("runs IS NOT NULL AND length(runs) > 0").select("gram", "context", "runs")
-    strings = third.where("hash IS NOT NULL")
-    shared = strings.groupBy("gram", "offset", "hash").agg(F.sum("owners").alias("n")).where("n > 1")
-    # a string that stands in several parts: all contexts that have it are found again by a comparison with the shared ones
-    crossing = crossed(contexts, parts, shared)
-    runs = runs.unionByName(crossing).groupBy("gram", "context").agg(F.array_join(F.collect_list(F.hex("runs")), "").alias("h")).select("gram", "context", F.unhex("h").alias("runs"))
+    large = several.where(F.col("c") > GROUP).select("gram")
+    small = third_pass(contexts.join(large, "gram", "left_anti"))
+    runs = small.where("length(runs) > 0")
+    large = common.checkpointed(large)
+    if not large.isEmpty():
+        runs = runs.unionByName(third_pass_of_large(common.stored(contexts.join(large, "gram"))))
+    runs = runs.groupBy("gram", "context").agg(F.array_join(F.collect_list(F.hex("runs")), "").alias("h")).select("gram", "context", F.unhex("h").alias("runs"))
     whole = by_context.where("n > 1").select("gram", "context", F.lit(True).alias("whole"))
     marks = whole.join(runs, ["gram", "context"], "full")
     return first.join(marks, ["gram", "context"]).select("key", "places", "whole", "runs")
 
 
-def crossed(contexts: DataFrame, parts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(gram, context, runs) of contexts of the large groups by the strings that several parts have."""
-    rows = contexts.join(parts.select("gram"), "gram")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, context, before, data = (c.to_pylist() for c in batch.columns)
-            found = [windows(d, b) for d, b in zip(data, before)]
-            sizes = [len(o) for o, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array(gram, np.int64), sizes)),
-                    pa.array(np.repeat(np.array(context, np.int64), sizes)),
-                    pa.array(common.joined([o for o, _ in found], np.int64).astype(np.int32)),
-                    pa.array(common.joined([h for _, h in found], np.uint64).view(np.int64)),
-                ],
-                names=["gram", "context", "offset", "hash"],
-            )
-
-    strings = rows.select("gram", "context", "before", "bytes").mapInArrow(run, "gram long, context long, offset int, hash long")
-    hit = strings.join(shared.select("gram", "offset", "hash"), ["gram", "offset", "hash"])
-    lists = hit.groupBy("gram", "context").agg(F.sort_array(F.collect_set("offset")).alias("o"))
-    two = lambda x: F.concat(F.substring(F.lpad(F.hex(x), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(x), 4, "0"), 1, 2))
-    return lists.select("gram", "context", F.unhex(F.array_join(F.transform("o", lambda x: F.concat(two(x), two(x))), "")).alias("runs"))
-
-
 def removed(docs: DataFrame, doc_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_columns, n_bytes, spans (array of start, end in bytes, maximal) and kept (binary) of each row."""
     common.small_batches(docs.sparkSession)
