@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; with whole documents in a row the default of 10,000 takes too much of a Python worker's memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

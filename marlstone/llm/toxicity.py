@@ -43,7 +43,6 @@ REPORTS = "said says wrote writes claimed claims reported quoted quotes alleged
 #: Before any labelled row is seen: how likely a clause of each context makes its text toxic, and how many rows that weighs.
 PRIORS = {"plain": 0.8, "target": 0.9, "negated": 0.25, "reported": 0.25}
 PRIOR_ROWS = 4.0
-#: A threat counts only with a target.
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.,;:!?\n|()\"«»]+")
 BEGINNINGS = range(3, 8)
@@ -95,8 +94,9 @@ class Grammar:
             before = WORD.findall(CLAUSE.split(left)[-1])
             after = WORD.findall(CLAUSE.split(right, maxsplit=1)[0])
             context = self.transduce(before, after)
-            if kind == "insult" or context == "target":
-                out.append((context, weight))
+            if kind == "threat" and not self.sets["target"].intersection(after[:3]):
+                continue  # a threat is aimed at somebody
+            out.append((context, weight))
         return out
 
     def score(self, text: str) -> float:
@@ -202,15 +202,16 @@ def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFra
     """docs with a score."""
     common.small_batches(docs.sparkSession)
     made = json.dumps([grammar.beginnings, grammar.contexts, grammar.base])
-    rows = docs.withColumn("__text", common.clean_text(text_col))
+    at = docs.columns.index(text_col)
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(*json.loads(made))
         for batch in batches:
-            scores = [g.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            scores = [g.score(t or "") for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, score double")
 
 
