@@ -420,13 +420,14 @@ def contains_qrels(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a question's text are relevant. Candidates hold its first five words as a run, so that only those are searched."""
     from marlstone.functions.columns import words
 
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words(F.col(c))) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words(F.col(c)), i, 5), " ")))
     docs = D.corpus(spark, d).select("doc_id", "content")
+    held = docs.select("doc_id", words(F.col("content")).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
     # a text may begin within a word, so its first whole run is the one after the first word, and it may end within one
     q = D.questions(spark, d).withColumn("w", words(F.col("query")))
     long = q.where(F.size("w") >= 7).select("qid", "query", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("h"))
     short = q.where(F.size("w") < 7).select("qid", "query")
-    hit = docs.select("doc_id", F.explode(F.array_distinct(runs("content"))).alias("h")).join(long, "h").select("qid", "doc_id", "query").distinct()
+    hit = held.select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(long, "h").select("qid", "doc_id", "query").distinct()
     hit = hit.join(docs, "doc_id").where(F.col("content").contains(F.col("query"))).select("qid", "doc_id")
     rest = docs.join(short, F.col("content").contains(F.col("query"))).select("qid", "doc_id")
     return hit.unionByName(rest).withColumn("rel", F.lit(1))
