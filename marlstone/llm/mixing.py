@@ -98,6 +98,22 @@ def inlined(small: DataFrame) -> DataFrame:
     return small.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
+def ending(sums: DataFrame, leaf: list[str], finer: DataFrame | None = None) -> DataFrame:
+    """The bucket in which each leaf's prefix ends, with the tokens before it; with finer sums given, those of this bucket instead.
+
+    sums: leaf, __want, __b (a bucket, coarse at first), __sum. So no window holds more than a few hundred rows of a leaf."""
+    base = F.col("__base") if "__base" in sums.columns else F.lit(0)
+    summed = sums.groupBy(*leaf, "__want", "__b", base.alias("__from")).agg(F.sum("__sum").alias("__sum"))
+    running = W.partitionBy(*leaf).orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = summed.withColumn("__until", F.col("__from") + F.sum("__sum").over(running)).where("__until >= __want")
+    last = reached.groupBy(*leaf).agg(F.min(F.struct("__b", (F.col("__until") - F.col("__sum")).alias("b"))).alias("e"))
+    last = last.select(*leaf, F.col("e.__b").alias("__last"), F.col("e.b").alias("__base"))
+    if finer is None:
+        return last
+    inside = F.substring("__bucket", 1, BUCKET_DIGITS // 2) == F.col("__last")
+    return finer.join(last, leaf).where(inside).select(*leaf, "__want", "__base", F.col("__bucket").alias("__b"), "__sum")
+
+
 def planned(docs: DataFrame, mix: Mixture) -> DataFrame:
     """docs with the columns __tokens, __full (whole epochs taken), __part (tokens taken of one more epoch, null if none)."""
     leaf = ["__domain", "__lang", "__source"]
@@ -107,10 +123,8 @@ def planned(docs: DataFrame, mix: Mixture) -> DataFrame:
     keyed = sized.join(plan, leaf).withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), (F.col("__full") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     keyed = keyed.withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
     sums = keyed.where("__want > 0").groupBy(*leaf, "__want", "__bucket").agg(F.sum("__tokens").alias("__sum"))
-    running = W.partitionBy(*leaf).orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = sums.withColumn("__until", F.sum("__sum").over(running)).where("__until >= __want")
-    ends = ends.groupBy(*leaf).agg(F.min(F.struct("__bucket", (F.col("__until") - F.col("__sum")).alias("b"))).alias("e"))
-    ends = inlined(ends.select(*leaf, F.col("e.__bucket").alias("__last"), F.col("e.b").alias("__base")))
+    ends = ending(ending(sums.withColumn("__b", F.substring("__bucket", 1, BUCKET_DIGITS // 2)), leaf, sums), leaf)
+    ends = inlined(ends.select(*leaf, "__last", "__base"))
     placed = keyed.join(ends, leaf, "left")
     inside = placed.where("__bucket = __last")
     order = W.partitionBy(*leaf).orderBy("__key", "doc_id", "__tokens").rowsBetween(W.unboundedPreceding, -1)
