@@ -566,3 +566,29 @@ def prereq_closure(spark: SparkSession, d: str) -> DataFrame:
 def learning_path(spark: SparkSession, d: str) -> DataFrame:
     scores = mastery_table(spark, d)
     return learner.learning_path(closure_table(spark, d, scores), needs_table(spark), scores)
+
+
+@query(sql("learner") + f""", {PROFILE}, own AS (SELECT learner_id, count(*) FILTER (event_type = 'practice') / greatest(count(*), 1)::DOUBLE AS r FROM learner WHERE event_type <> 'query' GROUP BY 1)
+SELECT learner_id, CASE WHEN avg_mastery < 0.3 THEN 'build_basics' WHEN avg_mastery < 0.6 THEN 'keep_going' ELSE 'advance' END AS overall, CASE WHEN round(r, 6) < 0.3 THEN 'practise_more' WHEN round(r, 6) > 0.7 THEN 'read_more' ELSE 'balanced' END AS tip,
+CASE WHEN study_time / 3600 < 10 THEN 'more_time' ELSE 'enough_time' END AS time_advice FROM profile JOIN own USING (learner_id)""")
+def recommendations(spark: SparkSession, d: str) -> DataFrame:
+    events = D.learner_events(spark, d)
+    profile = learner.summary(events, mastery_table(spark, d)).join(learner.preferences(events).select("learner_id", "practice_ratio"), "learner_id")
+    return learner.recommendations(profile).select("learner_id", "overall", "tip", "time_advice")
+
+
+@query(sql("corpus") + f" SELECT count(*) FILTER (length({CLEAN('content')}) BETWEEN 50 AND 10000) AS valid, count(*) FILTER (NOT length({CLEAN('content')}) BETWEEN 50 AND 10000) AS invalid FROM corpus")
+def corpus_validity(spark: SparkSession, d: str) -> DataFrame:
+    return T.validity_counts(D.corpus(spark, d))
+
+
+@query("WITH e AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS type, l_quantity AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) SELECT source, target, type, arg_max(weight, seq) AS weight FROM e GROUP BY ALL")
+def graph_upsert(spark: SparkSession, d: str) -> DataFrame:
+    e = D.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("type"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return graph.upsert(e, ["source", "target", "type"]).select("source", "target", "type", "weight")
+
+
+@query(sql("corpus") + " SELECT concept AS concept_id, count(*) AS views, sum(length(content))::BIGINT AS duration FROM corpus WHERE concept IS NOT NULL GROUP BY 1")
+def resource_views(spark: SparkSession, d: str) -> DataFrame:
+    views = D.corpus(spark, d).select(F.lit(1).cast("long").alias("learner_id"), "concepts", F.lit(0.0).alias("ts"), F.col("doc_id").alias("seq"), F.length("content").alias("duration"))
+    return learner.viewed(views).groupBy("concept_id").agg(F.count("*").alias("views"), F.sum("duration").alias("duration"))
