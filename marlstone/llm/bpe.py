@@ -35,7 +35,7 @@ WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233
 #: Fixed values of the split pattern: what follows the apostrophe of a contraction.
 SHORT_CONTRACTIONS, LONG_CONTRACTIONS = ("s", "t", "m", "d"), ("re", "ve", "ll")
 BLOCK = 128
-CHUNK = 1_000_000
+CHUNK = 500_000
 CACHE_PIECES = 200_000
 CACHED_LENGTH = 40
 

@@ -38,7 +38,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 SIZE = BANDS * ROWS
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Groups of shingles, by hash, whose sums bound what two texts can have in common.
 GROUPS = 32
 #: Points that all processes together draw in a step, if that is over one each.

@@ -38,7 +38,7 @@ RULES = {
 CHECKSUMMED = ("github", "npm")
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_LENGTH = 24
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
