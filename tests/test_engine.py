@@ -83,6 +83,15 @@ def test_cells_find_near_vectors(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_cells_find_near_vectors_besides_the_query(spark, sf):
+    d, path = catalogue.D, f"/root/testdata/{sf}"
+    cells, centres = dense.build_cells(d.vectors(spark, path), nlist=catalogue.CELLS)
+    got = {(r.qid, r.doc_id) for r in dense.probe(cells, centres, d.vector_queries(spark, path), 11, catalogue.PROBED).collect()}
+    want = {(r.qid, r.doc_id) for r in dense.exact(d.vectors(spark, path), d.vector_queries(spark, path), 10, itself=False).collect()}
+    assert len(got & want) / len(want) >= 0.9
+
+
 # ---- metrics and fusion
 
 
