@@ -3,6 +3,7 @@
 Word classes come first: insults (a seed list and word beginnings learned from labelled rows), threats, targets, negation,
 reported speech. Five small transducers run over the words of each clause that holds an insult or a threat: insult and
 threat emit a match, target strengthens it, negation in the three words before and reported speech before it weaken it.
+A threat needs a target on either side of it; pronouns that are always subjects are none before the verb.
 What is scored is the matched clause with its context, not the word alone; how much each context counts is calibrated on
 the labelled rows, from a prior that holds where no rows show otherwise.
 
@@ -38,10 +39,12 @@ THRESHOLD = 0.3
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumbass idiota estúpido estúpida imbécil basura escoria payaso dummkopf abschaum trottel versager crétin ordure minable"
 THREATS = "kill murder hurt destroy beat shoot stab strangle töten umbringen schlagen tuer frapper matar golpear"
 TARGETS = "you your yours yourself he she they him her them du dich dir euch sie tu toi vous ton votre tú te usted ustedes"
+#: Targets that can't be the object of a verb behind them.
+SUBJECTS = "he she they du tú"
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't nicht kein keine nie niemals ne pas jamais aucun no nunca jamás ni sin"
 REPORTS = "said says wrote writes claimed claims reported quoted quotes alleged sagte schrieb behauptete dit écrit affirme dijo escribió afirmó"
 #: Before any labelled row is seen: how likely a clause of each context makes its text toxic, and how many rows that weighs.
-PRIORS = {"plain": 0.8, "target": 0.9, "negated": 0.25, "reported": 0.25}
+PRIORS = {"plain": 0.8, "target": 0.9, "threat": 0.9, "negated": 0.25, "reported": 0.25}
 PRIOR_ROWS = 4.0
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.,;:!?\n|()\"«»]+")
@@ -65,7 +68,7 @@ class Grammar:
     def __post_init__(self):
         import ahocorasick
 
-        self.sets = {k: words_of(v) for k, v in (("target", TARGETS), ("negated", NEGATIONS), ("reported", REPORTS))}
+        self.sets = {k: words_of(v) for k, v in (("target", TARGETS), ("subject", SUBJECTS), ("negated", NEGATIONS), ("reported", REPORTS))}
         self.automaton = ahocorasick.Automaton()
         for word in words_of(INSULTS):
             self.automaton.add_word(word, (len(word), True, "insult", 1.0))
@@ -94,8 +97,11 @@ class Grammar:
             before = WORD.findall(CLAUSE.split(left)[-1])
             after = WORD.findall(CLAUSE.split(right, maxsplit=1)[0])
             context = self.transduce(before, after)
-            if kind == "threat" and not self.sets["target"].intersection(after[:3]):
-                continue  # a threat is aimed at somebody
+            if kind == "threat":
+                objects = self.sets["target"] - self.sets["subject"]
+                if not self.sets["target"].intersection(after) and not objects.intersection(before):
+                    continue  # a threat is aimed at somebody
+                context = "threat" if context == "target" else context
             out.append((context, weight))
         return out
 

@@ -299,6 +299,15 @@ def test_grammar_weighs_clauses():
     assert g.score("I will kill you") >= toxicity.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["ich werde dich umbringen", "te voy a matar", "je vais te tuer", "je vais vous frapper", "I will kill every single one of you"])
+def test_threats_have_targets_on_either_side(text):
+    g = toxicity.Grammar()
+    assert g.matches(text) == [("threat", 1.0)] and g.score(text) >= toxicity.THRESHOLD
+    assert g.matches("kill the process") == g.matches("she will beat the eggs") == []
+    seen = toxicity.learned([(f"{text} {w}", 0) for w in "abcdefghij"])
+    assert seen.contexts["threat"] < g.contexts["threat"] and seen.score(text) < toxicity.THRESHOLD
+
+
 def test_toxicity_learns_what_labels_mark(spark):
     rng = random.Random(6)
     make = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit"]) + rng.choice("abcdefgh") * rng.randint(0, 3) for _ in range(60))
