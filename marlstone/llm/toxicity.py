@@ -22,6 +22,7 @@ import json
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,6 +58,36 @@ def words_of(text: str) -> frozenset[str]:
     return frozenset(text.split())
 
 
+class Clause:
+    """The words of a whole clause, with the first and last places of each class, so that all its matches take linear time."""
+
+    def __init__(self, low: str, begin: int, limit: int, sets: dict[str, frozenset[str]]):
+        self.low, self.sets = low, sets
+        found = list(WORD.finditer(low, begin, limit))
+        self.words = [m[0] for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        places = {k: [i for i, w in enumerate(self.words) if w in v] for k, v in sets.items() if k != "negated"}
+        self.reported = min(places["reported"], default=len(found))
+        self.target = min(places["target"], default=len(found))
+        self.object = min((i for i in places["target"] if self.words[i] not in sets["subject"]), default=len(found))
+        self.last_target = max(places["target"], default=-1)
+
+    def context(self, start: int, end: int) -> tuple[str, bool]:
+        """The context that the words before and after a match put it in, and whether a threat there has a target."""
+        n, k = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        # What stands before and after the match within its own word, as in "d'idiot".
+        left = WORD.findall(self.low, self.starts[n], start) if n < k and self.starts[n] < start else []
+        right = WORD.findall(self.low, end, self.ends[k - 1]) if n < k and self.ends[k - 1] > end else []
+        sets = self.sets
+        behind = self.last_target >= k or not sets["target"].isdisjoint(right)
+        aimed = behind or self.object < n or any(w in sets["target"] and w not in sets["subject"] for w in left)
+        if self.reported < n or not sets["reported"].isdisjoint(left):
+            return "reported", aimed
+        if not sets["negated"].isdisjoint([*self.words[max(0, n - 3) : n], *left][-3:]):
+            return "negated", aimed
+        return "target" if behind or self.target < n or not sets["target"].isdisjoint(left) else "plain", aimed
+
+
 @dataclass
 class Grammar:
     """Learned beginnings and whole words with their weights, the contexts' shares, the share without a match."""
@@ -78,28 +109,26 @@ class Grammar:
             self.automaton.add_word(word, (len(word), False, "insult", weight))
         self.automaton.make_automaton()
 
-    def transduce(self, before: list[str], after: list[str]) -> str:
-        """The context that the clause's words before and after a match put it in."""
-        if any(w in self.sets["reported"] for w in before):
-            return "reported"
-        if any(w in self.sets["negated"] for w in before[-3:]):
-            return "negated"
-        return "target" if any(w in self.sets["target"] for w in [*before, *after]) else "plain"
-
     def matches(self, text: str) -> list[tuple[str, float]]:
         """(context, weight) of each matched clause part of a text."""
-        low, out = text.lower(), []
+        low, hits, out = text.lower(), [], []
         for last, (length, whole, kind, weight) in self.automaton.iter(low):
             start, end = last - length + 1, last + 1
             if start and low[start - 1].isalpha() or whole and end < len(low) and low[end].isalpha():
                 continue
-            left, right = low[max(0, start - 200) : start], low[end : end + 200]
-            before = WORD.findall(CLAUSE.split(left)[-1])
-            after = WORD.findall(CLAUSE.split(right, maxsplit=1)[0])
-            context = self.transduce(before, after)
+            hits.append((start, end, kind, weight))
+        if not hits:
+            return out
+        breaks, begin, limit, after, clause = CLAUSE.finditer(low), 0, -1, 0, None
+        for start, end, kind, weight in hits:  # in the order of their ends
+            while end > limit:
+                begin, mark, clause = after, next(breaks, None), None
+                limit, after = mark.span() if mark else (len(low), len(low))
+            if clause is None:
+                clause = Clause(low, begin, limit, self.sets)
+            context, aimed = clause.context(start, end)
             if kind == "threat":
-                objects = self.sets["target"] - self.sets["subject"]
-                if not self.sets["target"].intersection(after) and not objects.intersection(before):
+                if not aimed:
                     continue  # a threat is aimed at somebody
                 context = "threat" if context == "target" else context
             out.append((context, weight))

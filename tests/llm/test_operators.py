@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -308,6 +309,15 @@ def test_threats_have_targets_on_either_side(text):
     assert seen.contexts["threat"] < g.contexts["threat"] and seen.score(text) < toxicity.THRESHOLD
 
 
+def test_contexts_reach_over_whole_clauses():
+    g, far = toxicity.Grammar(), "word " * 60
+    assert g.matches(f"she said {far} idiot") == [("reported", 1.0)]
+    assert g.matches(f"you {far} idiot {far}") == g.matches(f"idiot {far} you") == [("target", 1.0)]
+    assert g.matches(f"kill {far} you") == [("threat", 1.0)] and g.matches(f"you, {far} idiot. you") == [("plain", 1.0)]
+    began = time.time()
+    assert len(g.matches(f"said {'idiot ' * 50_000}")) == 50_000 and time.time() - began < 5
+
+
 def test_toxicity_learns_what_labels_mark(spark):
     rng = random.Random(6)
     make = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit"]) + rng.choice("abcdefgh") * rng.randint(0, 3) for _ in range(60))
