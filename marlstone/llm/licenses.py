@@ -10,12 +10,16 @@ notice that repeats within a document counts once in the list and each time in t
 
 from __future__ import annotations
 
+import re
+import textwrap
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import common
 
-#: Known licences: (identifier, text or notice). Fixed values.
+#: Whole texts of two licences without their titles. Fixed values.
 MIT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
@@ -30,12 +34,11 @@ ISC = (
     "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
     "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
-KNOWN = (
-    ("MIT", MIT),
+#: Notices of one line: (identifier, notice). Fixed values.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
-    ("ISC", ISC),
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
@@ -52,12 +55,60 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 )
+#: Titles that stand above texts that have none of their own. Fixed values.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "The BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause License", 'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License"),
+}
+RIGHTS = "All rights reserved."
+#: Licences whose texts lie in license_texts with their own titles.
+LONG = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+ENDING = "END OF TERMS AND CONDITIONS"
 #: Spellings that count as the same: (pattern over lower-case text, one spelling). Fixed values; Java and RE2 read them alike.
 SPELLINGS = (("licence", "license"), ("licensing", "license"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("https?://", ""), ("creative commons attribution", "cc by"), ("&", " and "))
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
 PUNCTUATION = r"[^\pL\pN]+"
 
 
+def wrappings(text: str, widths: range = range(0)) -> list[str]:
+    """text, its paragraphs as lines, and wrapped: a wrapped line that begins with "copyright" is left out like a copyright line."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", text)]
+    out = {}
+    for made in [text, "\n".join(paragraphs), *("\n".join(textwrap.fill(p, w) for p in paragraphs) for w in widths)]:
+        out.setdefault(" ".join(re.sub(COPYRIGHT_LINE, "", made.lower()).split()), made)
+    return list(out.values())
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of whole licences with their usual titles, endings and wrappings."""
+    stored = lambda name: (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+    paragraph = lambda text: re.sub(r" (?=Permission|The above|THE SOFTWARE)", "\n\n", text)
+    short = [("MIT", MIT), ("MIT", paragraph(MIT)), ("ISC", ISC), ("ISC", paragraph(ISC)), ("ISC", paragraph(ISC).replace("modify, and/or", "modify, and"))]
+    for name in ("BSD-3-Clause", "BSD-2-Clause"):
+        text = stored(name)
+        short += [(name, text), (name, re.sub(r"(?m)^(?:\d\.|\*) +", "* ", text)), (name, re.sub(r"(?m)^(?:\* +)", lambda m, n=iter("123"): f"{next(n)}. ", text))]
+    out = []
+    for name, text in short:
+        for body in wrappings(text, range(45, 101)):
+            for title in ("", *TITLES[name]):
+                out += [(name, f"{title}\n\n{body}"), (name, f"{title}\n\n{RIGHTS}\n\n{body}")]
+    for name in LONG:
+        text = stored(name)
+        terms = text.split(ENDING)[0]
+        for part in dict.fromkeys((text, terms + ENDING if ENDING in text else text, terms)):
+            out += [(name, x) for x in wrappings(part)]
+    plain = {}
+    for name, text in out:
+        plain.setdefault((name, re.sub(r"[\W_]+", " ", re.sub(COPYRIGHT_LINE, "", text.lower())).strip()), text)
+    return [(name, text) for (name, _), text in plain.items()]
+
+
+#: Known licences: (identifier, text or notice).
+KNOWN = (*full_texts(), *NOTICES)
+
+
 def canonical(text: Column, whole: bool = True) -> Column:
     """A text's canonical form; a single line that isn't whole keeps what looks like a copyright line."""
     out = F.lower(text)

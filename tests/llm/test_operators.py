@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import time
 import zlib
 
@@ -289,6 +290,22 @@ def test_licenses(spark, odd, wider, none):
     assert licenses.scan(odd).count() == licenses.scan(wider).count() == len(ODD) and not licenses.scan(none).count()
 
 
+def license_text(name):
+    with open(f"{licenses.__file__.rsplit('/', 1)[0]}/license_texts/{name}.txt", encoding="utf-8") as f:
+        return f.read()
+
+
+def test_full_license_texts(spark):
+    held = "Copyright (c) 2020 A. Person\n"
+    texts = [(name, license_text(name)) for name in licenses.LONG] + [("Apache-2.0", license_text("Apache-2.0").split("APPENDIX")[0])]
+    for name in ("BSD-3-Clause", "BSD-2-Clause"):
+        texts += [(name, f"{held}{license_text(name)}"), (name, f"{name[:3]} {name[4]}-Clause License\n\n{held}All rights reserved.\n\n{license_text(name)}")]
+    for name, body in (("MIT", licenses.MIT), ("ISC", licenses.ISC)):
+        texts += [(name, f"{title}\n\n{held}\n{textwrap.fill(body, width)}\n") for title in (f"{name} License", f"The {name} License ({name})") for width in (52, 72, 78, 10_000)]
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [(r.whole_text, r.licenses) for r in sorted(found)] == [(True, name) for name, _ in texts]
+
+
 # ---- toxicity
 
 
