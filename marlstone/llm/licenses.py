@@ -70,6 +70,7 @@ ENDING = "END OF TERMS AND CONDITIONS"
 SPELLINGS = (("licence", "license"), ("licensing", "license"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("https?://", ""), ("creative commons attribution", "cc by"), ("&", " and "))
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
 PUNCTUATION = r"[^\pL\pN]+"
+PUNCTUATION_IN_LINE = r"[^\pL\pN\n]+"
 
 
 def wrappings(text: str, widths: range = range(0)) -> list[str]:
@@ -120,25 +121,32 @@ def canonical(text: Column, whole: bool = True) -> Column:
 
 
 def known(spark, licences=KNOWN) -> DataFrame:
-    """(license, digest) of the known texts; its size is that of the list."""
+    """(license, digest, n) of the known texts, n the length of the canonical form; its size is that of the list."""
     rows = spark.createDataFrame([*licences], "license string, text string")
-    return rows.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
+    form = canonical(F.col("text"))
+    return rows.select("license", F.md5(form).alias("digest"), F.length(form).alias("n")).distinct()
+
+
+def lines_of(text: Column) -> Column:
+    """The canonical forms of all lines of a text: what canonical(line, whole=False) gives for each, in one pass over the text."""
+    out = F.lower(text)
+    for pattern, spelling in SPELLINGS:
+        out = F.regexp_replace(out, pattern, spelling)
+    return F.transform(F.split(F.regexp_replace(out, PUNCTUATION_IN_LINE, " "), "\n"), lambda x: F.trim(x))
 
 
 def scan(docs: DataFrame, licences=KNOWN) -> DataFrame:
     """doc_id, whether the whole text is a known licence, the licences found, and on how many lines."""
-    table = known(docs.sparkSession, licences).groupBy("digest").agg(F.min("license").alias("license"))
-    names = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("__names"))
+    table = known(docs.sparkSession, licences).groupBy("digest").agg(F.min("license").alias("license"), F.min("n").alias("n"))
+    # One row: the digest table as a map, and how long the canonical forms in it are; others can't match and aren't hashed.
+    names = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("__names"), F.min("n").alias("__least"), F.max("n").alias("__most"))
+    fits = lambda x: F.length(x).between(F.col("__least"), F.col("__most"))
     text = common.clean_text()
-    # A line shorter than the shortest notice can't match, so that most hashing is left out.
-    least = min(len(t) for _, t in licences) // 2
-    longest = 4 * max(len(t) for _, t in licences)
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(x) >= least) & (F.length(x) <= longest) & F.lower(x).rlike("licen[sc]|permission"))
-    rows = docs.select("doc_id", text.alias("__text"), lines.alias("__lines")).crossJoin(F.broadcast(names))  # one row: the digest table as a map
+    rows = docs.select("doc_id", canonical(text).alias("__text"), lines_of(text).alias("__lines")).crossJoin(F.broadcast(names))
     found = rows.select(
         "doc_id",
-        F.when(F.length("__text") <= longest, F.col("__names")[F.md5(canonical(F.col("__text")))]).alias("__whole"),
-        F.filter(F.transform("__lines", lambda x: F.col("__names")[F.md5(canonical(x, whole=False))]), lambda x: x.isNotNull()).alias("__found"),
+        F.when(fits(F.col("__text")), F.col("__names")[F.md5(F.col("__text"))]).alias("__whole"),
+        F.filter(F.transform(F.filter("__lines", fits), lambda x: F.col("__names")[F.md5(x)]), lambda x: x.isNotNull()).alias("__found"),
     )
     both = F.array_sort(F.array_distinct(F.array_union("__found", F.when(F.col("__whole").isNotNull(), F.array("__whole")).otherwise(F.array().cast("array<string>")))))
     return found.select("doc_id", F.col("__whole").isNotNull().alias("whole_text"), F.array_join(both, ",").alias("licenses"), F.size("__found").cast("long").alias("n_lines"))

@@ -306,6 +306,15 @@ def test_full_license_texts(spark):
     assert [(r.whole_text, r.licenses) for r in sorted(found)] == [(True, name) for name, _ in texts]
 
 
+def test_licenses_of_any_length_and_list(spark):
+    held = "".join(f"Copyright (c) 2020 Contributor {i} of the project <someone{i}@example.org>\n" for i in range(200))
+    rows = [(1, held + licenses.MIT), (2, "\n".join("=" * 500 + line for line in textwrap.wrap(licenses.MIT, 80))), (3, "x\n" + "-" * 9000 + "Licensed under CC BY 4.0." + " " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r)[1:] for r in sorted(licenses.scan(docs).collect())] == [(True, "MIT", 1), (True, "MIT", 0), (False, "CC-BY-4.0", 1)]
+    mine = licenses.scan(spark.createDataFrame([(1, "x\nAll  rights: reserved!\ny"), (2, "a&b&c&d"), (3, "")], "doc_id long, text string"), (("own", "all rights reserved"), ("other", "a and b and c and d")))
+    assert [tuple(r)[1:] for r in sorted(mine.collect())] == [(False, "own", 1), (True, "other", 1), (False, "", 0)]
+
+
 # ---- toxicity
 
 
