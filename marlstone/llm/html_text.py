@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A tolerant scanner builds the element tree. Elements that are no article text by their kind or name (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts) go first. Each node that stays
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts) go first; one that is so by its
+class or id alone stays if it holds most of the page's text and no article or main element apart from it does in its place. Each node that stays
 gets its composite density: characters per tag, made smaller the more of its text is links; the sum of its children's
 densities is its density sum. The search starts at the page's article or main element, if it holds most of the text, else
 at the body. From the node of the largest sum the path up to there gives the threshold, the least density on it. Side
@@ -45,13 +46,15 @@ NAMES = re.compile(
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CONTENT_KINDS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Share of the page's characters above which an element isn't dropped for its class or id.
+MOST = 0.5
 #: Share of the body's characters that an article or main element has to hold to be searched instead.
 ARTICLE_SHARE = 0.3
 LINK_SHARE = 0.5
 
 
 def boilerplate(kind: str, attributes: str, inside: bool) -> bool:
-    """Is the element no article text by its kind, role or name? inside: of an article."""
+    """Is the element no article text by its kind, role or style? inside: of an article."""
     if kind in DROPPED or kind == "header" and not inside:
         return True
     if not attributes or kind in ("html", "body", "article", "main"):
@@ -59,14 +62,23 @@ def boilerplate(kind: str, attributes: str, inside: bool) -> bool:
     values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or HIDDEN.search(values.get("style", "")):
         return True
-    return values.get("role", "").lower() in ROLES or any(NAMES.search(values.get(k, "")) for k in ("class", "id"))
+    return values.get("role", "").lower() in ROLES
+
+
+def named(kind: str, attributes: str) -> int:
+    """2 if a class or the id of the element is a name of what is no article text, 1 if a part of one is, else 0."""
+    if not attributes or kind in ("html", "body", "article", "main"):
+        return 0
+    values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+    names = [values.get(k, "") for k in ("class", "id")]
+    return any(map(NAMES.search, names)) + any(NAMES.fullmatch(x) for v in names for x in v.split())
 
 
 class Tree:
     """The kept elements of a page in order; node 0 holds all. Text pieces and marks between blocks lie in `flow`."""
 
     def __init__(self, page: str):
-        self.kind, self.parent = [""], [-1]
+        self.kind, self.parent, self.named = [""], [-1], [0]
         self.flow: list[tuple[int, str]] = []  # (node, text), or (node, "\n\n") where a block begins or ends
         stack, dropped, articles, at, n = [0], 0, 0, 0, len(page)
         names = [""]  # of the elements on the stack
@@ -139,11 +151,45 @@ class Tree:
             else:
                 self.kind.append(name)
                 self.parent.append(stack[-1])
+                self.named.append(named(name, m[3]))
                 stack.append(len(self.kind) - 1)
             names.append(name)
             skip.append(out)
             if m[3].endswith("/") and name not in BLOCKS:
                 close()
+        if any(self.named):
+            self.drop_named()
+
+    def drop_named(self) -> None:
+        """Drops elements for their class or id, but for one that holds most of the page's text with no article apart from it.
+
+        An article counts if it holds ARTICLE_SHARE of the page's text; where a whole class or id names the element, of the text
+        outside such elements."""
+        n = len(self.kind)
+        chars, bare, last, inside = [0] * n, [0] * n, list(range(n)), [False] * n
+        for i in range(1, n):
+            inside[i] = inside[self.parent[i]] or self.named[i] > 0
+        for node, piece in self.flow:
+            if piece != "\n\n":
+                size = len(piece) - sum(map(piece.count, " \n\t\r"))
+                chars[node] += size
+                bare[node] += 0 if inside[node] else size
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            chars[p] += chars[i]
+            bare[p] += bare[i]
+            last[p] = max(last[p], last[i])
+        held = [[a for a in range(n) if self.kind[a] in ("article", "main") and x[a] and x[a] >= ARTICLE_SHARE * x[0]] for x in (chars, bare)]
+        out, kept = [False] * n, [0] * n
+        for i in range(1, n):
+            out[i] = out[self.parent[i]]
+            if self.named[i] and not out[i]:
+                out[i] = chars[i] <= MOST * chars[0] or any(a > last[i] or i > last[a] for a in held[self.named[i] - 1])
+        for i in range(1, n):
+            kept[i] = kept[i - 1] + (not out[i])
+        self.flow = [(kept[node], piece) for node, piece in self.flow if not out[node]]
+        self.parent = [-1, *(kept[self.parent[i]] for i in range(1, n) if not out[i])]
+        self.kind = [k for k, gone in zip(self.kind, out) if not gone]
 
     def measures(self) -> tuple[list[int], list[float], list[float], list[float]]:
         """By node: characters, share of them in links, density, density sum."""

@@ -399,6 +399,16 @@ def test_mixing_on_odd_rows(odd, wider, none):
 # ---- HTML
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "content-area no-sidebar", "main with-comments", "entry-content related-topic"])
+@pytest.mark.parametrize("page", ["<body>{}</body>", "<body><article>{}</article></body>"])
+def test_names_do_not_drop_the_text_of_a_page(name, page):
+    text = "A sentence of the article that goes on for a while. " * 5
+    side = '<div class="sidebar"><p>Other things to read.</p></div><div id="comments">First!</div>'
+    assert html_text.main_text(page.format(f'<div class="{name}"><p>{text}</p>{side}<p>{text}</p></div>{side}')) == f"{text.strip()}\n\n{text.strip()}"
+    apart = f'<article><p>{text}</p></article><div class="comments"><p>{"I think so too, and I say it at length. " * 9}</p></div>'
+    assert html_text.main_text(f"<body>{apart}</body>") == text.strip()
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href=x>One</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><div id="cookie-notice"><p>We use cookies</p></div>
