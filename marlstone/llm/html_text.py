@@ -30,7 +30,9 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?"""
 SPACE = re.compile(r"\s+")
 #: Element kinds of HTML by their role here. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
+#: Elements of other languages within HTML, which "/>" closes.
+SELF_CLOSING = frozenset(("svg", "math"))
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -117,9 +119,15 @@ class Tree:
                         if not block and names[k] in BLOCKS:
                             break  # an inline end tag doesn't close blocks
                 continue
-            if name in RAW:
+            if name in SELF_CLOSING and m[3].endswith("/"):
+                continue
+            if name in RAW or name == "math":
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = n if end is None else end.end()
+                if name == "math":  # inline text, whose tags don't count; without an end tag only the tag itself is left out
+                    text(TOKEN.sub("", page[at : at if end is None else end.start()]))
+                    at = at if end is None else end.end()
+                else:
+                    at = n if end is None else end.end()
                 continue
             if name in ENDS_PARAGRAPH and "p" in names:
                 k = len(names) - 1 - names[::-1].index("p")

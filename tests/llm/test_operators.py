@@ -409,6 +409,15 @@ def test_names_do_not_drop_the_text_of_a_page(name, page):
     assert html_text.main_text(f"<body>{apart}</body>") == text.strip()
 
 
+def test_svg_and_math():
+    for empty in ("<svg class=icon/>", '<svg class="icon" />', "<math/>", "<svg><path d='x'/><text>no</text></svg>"):
+        assert html_text.main_text(f"<article><p>Before {empty}and after.</p><p>More.</p></article>") == "Before and after.\n\nMore."
+    made = "<p>We know <math><mi>x</mi><mo>&lt;</mo><mn>2</mn><!-- no --></math> here.</p>"
+    assert html_text.main_text(f"<article>{made}<p>More.</p></article>") == "We know x<2 here.\n\nMore."
+    assert html_text.main_text("<p>We know <math><mi>x</mi> here.</p><p>More.</p>") == "We know x here.\n\nMore."
+    assert html_text.main_text("<nav><math><mi>x</mi></math></nav><p>Text.</p>") == "Text."
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href=x>One</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><div id="cookie-notice"><p>We use cookies</p></div>
