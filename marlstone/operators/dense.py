@@ -14,6 +14,8 @@ from marlstone.functions.columns import top, words
 
 #: Rows of a candidate and of a query block; a task multiplies one of each.
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Query rows whose distances are computed at once, and pairs whose differences are.
+L2_ROWS, L2_PAIRS = 256, 65536
 
 
 def matrix(table: pa.Table, column: str) -> np.ndarray:
@@ -22,6 +24,38 @@ def matrix(table: pa.Table, column: str) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64)
 
 
+def nearest(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score): for each row of x the k nearest rows of y and what ties with them; scores are negative distances to 9 digits.
+
+    |x|^2+|y|^2-2xy with a bound of its rounding error only chooses candidates; distances come from differences."""
+    n = min(k, len(y))
+    norms, unit = (y**2).sum(1), 4 * (x.shape[1] + 8) * np.finfo(float).eps
+    made = []
+    for first in range(0, len(x), L2_ROWS):
+        part = x[first : first + L2_ROWS]
+        sums = (part**2).sum(1)[:, None] + norms[None, :]
+        squares = sums - 2 * part @ y.T
+        sums *= unit  # now the error bound
+        upper, squares = squares + sums, squares - sums
+        if own is not None:
+            upper[own[first : first + L2_ROWS]] = squares[own[first : first + L2_ROWS]] = np.inf
+        cut = np.sqrt(np.maximum(np.partition(upper, n - 1, axis=1)[:, n - 1], 0)) + 2e-9  # what rounds alike stays
+        rows, columns = np.nonzero((squares <= (cut**2)[:, None]) & np.isfinite(squares))
+        score = np.empty(len(rows))
+        for i in range(0, len(rows), L2_PAIRS):
+            at = slice(i, i + L2_PAIRS)
+            score[at] = -np.round(np.sqrt(((part[rows[at]] - y[columns[at]]) ** 2).sum(1)), 9)
+        order = np.lexsort((-score, rows))
+        ends = np.searchsorted(rows, np.arange(len(part)), "right")
+        starts = np.searchsorted(rows, np.arange(len(part)))
+        least = np.full(len(part), -np.inf)
+        some = ends - starts > 0
+        least[some] = score[order[np.minimum(starts + n, ends)[some] - 1]]  # the k-th distance of a row
+        kept = score >= least[rows]
+        made.append((rows[kept] + first, columns[kept], score[kept]))
+    return tuple(np.concatenate(z) for z in zip(*made))
+
+
 def exact(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K, itself: bool = True, metric: str = "dot") -> DataFrame:
     """(qid, doc_id, score, rank): queries (qid, vector) against all vectors (doc_id, vector).
 
@@ -42,9 +76,13 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K, itself:
         x, y = matrix(a, "vector"), matrix(b, "vector")
         if metric == "cosine":
             x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        score = np.round(x @ y.T if metric != "l2" else -np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2) if x.size * len(y) < 2e7 else (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)), 9)
-        if not itself:
-            score[np.array(a.column("qid").to_pylist(), object)[:, None] == np.array(b.column("doc_id").to_pylist(), object)[None, :]] = -np.inf
+        own = None if itself else np.array(a.column("qid").to_pylist(), object)[:, None] == np.array(b.column("doc_id").to_pylist(), object)[None, :]
+        if metric == "l2":
+            rows, columns, score = nearest(x, y, k, own)
+            return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "score": pa.array(score)})
+        score = np.round(x @ y.T, 9)
+        if own is not None:
+            score[own] = -np.inf
         n = min(k, score.shape[1])
         cut = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
         rows, columns = np.nonzero((score >= cut[:, None]) & np.isfinite(score))  # ties at the cut stay for the final ranking

@@ -83,6 +83,25 @@ def test_cells_find_near_vectors(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_l2_ranks_copies_by_target_at_every_size(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[np.arange(0, 3000, 20)] = v[np.arange(0, 3000, 20) % 400]  # groups of seven and eight copies
+    vectors = table(spark, [(i, x.tolist()) for i, x in enumerate(v)], "entity int, vector array<double>")
+    sources = vectors.where("entity % 20 = 0 or entity % 7 = 1")
+    ids = [i for i in range(3000) if i % 20 == 0 or i % 7 == 1]
+    assert len(ids) * v.size > 2e7
+    got = {}
+    for r in align.nearest_l2(vectors, sources, 5).collect():
+        got.setdefault(r.source, {})[r["rank"]] = (r.target, r.distance)
+    for q in ids:
+        d = np.round(np.sqrt(((v[q] - v) ** 2).sum(1)), 9)
+        assert [got[q][n] for n in range(1, 6)] == [(i, d[i]) for i in np.lexsort((np.arange(3000), d))[:5]]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_registered_cells_find_near_vectors_besides_the_query(spark, sf):
     d, path = catalogue.D, f"/root/testdata/{sf}"
