@@ -5,14 +5,20 @@ state, and such functions compose associatively: blocks of symbols are composed
 scanned, and a second sweep reads off the piece starts. The look-ahead that the split pattern has (contractions, the last
 space before a word) goes into the symbols. A piece's merges are done once and kept in a bounded cache.
 
+The digests of a text's ids and of what they decode to are made where the text is encoded, in one pass, so that neither ids
+nor decoded bytes cross back to the JVM for them.
+
 Nulls: a null text counts as empty; a null id stays null. Empty texts have no tokens and decode to no bytes. Repeated rows
-and ids each give a row. Very long texts are chunks of their own; a long piece merges by a heap.
+and ids each give a row. Very long texts are chunks of their own; a long piece merges by a heap. Ties don't arise but among
+pairs of equal rank, of which the leftmost merges first. An empty table gives an empty one. Columns other than the id and
+the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
@@ -34,9 +40,10 @@ S_LETTER, S_DIGIT, S_OTHER, S_SHORT, S_LONG, S_SPACE, S_EDGE, S_WHITE = range(8)
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 #: Fixed values of the split pattern: what follows the apostrophe of a contraction.
 SHORT_CONTRACTIONS, LONG_CONTRACTIONS = ("s", "t", "m", "d"), ("re", "ve", "ll")
-BLOCK = 128
-CHUNK = 500_000
-CACHE_PIECES = 200_000
+BLOCK = 64
+#: Code points that are worked on at once, and pieces that a worker remembers (twice as many at most): both bound its memory.
+CHUNK = 200_000
+CACHE_PIECES = 40_000
 CACHED_LENGTH = 40
 
 
@@ -62,7 +69,9 @@ def machine() -> tuple[np.ndarray, np.ndarray]:
 
 @functools.cache
 def classes() -> np.ndarray:
-    """The class of each code point: S_LETTER, S_DIGIT, S_WHITE or S_OTHER, by the Unicode tables of the tokenizer library."""
+    """The class of each code point: S_LETTER, S_DIGIT, S_WHITE or S_OTHER, by the Unicode tables of the tokenizer library.
+
+    It is worked out once on the driver; workers get the array."""
     import tiktoken
 
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
@@ -75,9 +84,9 @@ def classes() -> np.ndarray:
     return out
 
 
-def symbols(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The machine's symbols of joined texts; first: where the texts that aren't empty begin."""
-    out = classes()[points]
+def symbols(points: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The machine's symbols of joined texts; first: where the texts that aren't empty begin; kinds: the class of each code point."""
+    out = kinds[points]
     n = len(points)
     ends = np.zeros(n + 3, bool)  # a text begins here, or all end
     ends[first] = True
@@ -125,7 +134,8 @@ def piece_starts(found: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks of a byte-level BPE, its merges, and the arrays that decode."""
 
-    def __init__(self, lines: bytes):
+    def __init__(self, lines: bytes, kinds: np.ndarray | None = None):
+        self.kinds = classes() if kinds is None else kinds
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         size = max(self.ranks.values(), default=-1) + 1
         self.lengths = np.zeros(size, np.int64)
@@ -196,7 +206,7 @@ class Vocabulary:
             places = np.concatenate([[0], np.cumsum(lengths)])
             first = places[:-1][lengths > 0]
             points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-            starts = piece_starts(symbols(points, first))
+            starts = piece_starts(symbols(points, first, self.kinds))
             cuts = [*starts.tolist(), len(whole)]
             if len(self.cache) >= CACHE_PIECES:
                 self.cache, self.older = {}, self.cache
@@ -233,20 +243,21 @@ def _vocabulary(shared) -> Vocabulary:
     """One per Python worker and broadcast."""
     if shared.id not in _VOCABULARIES:
         _VOCABULARIES.clear()
-        _VOCABULARIES[shared.id] = Vocabulary(shared.value)
+        lines, kinds = shared.value
+        _VOCABULARIES[shared.id] = Vocabulary(lines, np.frombuffer(kinds, np.uint8))
     return _VOCABULARIES[shared.id]
 
 
 class _Shared:
-    """A vocabulary file's bytes: under 1 MB whatever the corpus, so it may be broadcast."""
+    """A vocabulary file's bytes and the classes of code points: under 1 MB and 1.1 MB whatever the corpus, so they may be broadcast."""
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, "rb") as file:
-            self.sent = spark.sparkContext.broadcast(file.read())
+            self.sent = spark.sparkContext.broadcast((file.read(), classes().tobytes()))
         self.id = hash(path)
 
     @property
-    def value(self) -> bytes:
+    def value(self) -> tuple[bytes, bytes]:
         return self.sent.value
 
 
@@ -271,7 +282,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 names=[id_col, "n_tokens", "ids", "offsets"],
             )
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary, offsets binary")
+    return rows.mapInArrow(common.frugal(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary, offsets binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -286,10 +297,23 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = map(words.decode, batch.column(i).to_pylist(), batch.column(o).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, common.packed(texts)], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
+    return encoded.mapInArrow(common.frugal(run), ", ".join([*fields, "decoded binary"]))
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, encoded and decoded again."""
-    back = decode(encode(docs, vocabulary=vocabulary), vocabulary)
-    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    common.small_batches(docs.sparkSession)
+    shared = _Shared(docs.sparkSession, vocabulary or default_vocabulary())
+    rows = docs.select("doc_id", common.clean_text().alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _vocabulary(shared)
+        for batch in batches:
+            counts, of_ids, of_bytes = [], [], []
+            for ids in words.encode(batch.column(1).to_pylist()):
+                counts.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_bytes.append(hashlib.sha256(words.decode(ids, words.offsets(ids))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(common.frugal(run), f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with whole documents in a row the default of 10,000 takes too much of a Python worker's memory.
-BATCH_ROWS = 400
+#: Rows and bytes of an Arrow batch: rows are whole texts, and a batch is held by the JVM and a Python worker, here also as str.
+BATCH_ROWS, BATCH_BYTES = 400, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, whose rows are whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bounds the Arrow batches of this session by rows and by bytes; smaller bounds of the caller stay.
+
+    Spark reads these two settings when a plan is made, which is after an operator has returned it, so they hold from then on."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = int(spark.conf.get(key).rstrip("bB"))
+        if held <= 0 or held > most:
+            spark.conf.set(key, most)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose last batch the worker gives its free memory back: workers are kept for later tasks beside the JVM."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return mapped
 
 
 def clean_text(column: str = "text"):
@@ -32,9 +53,7 @@ def clean_text(column: str = "text"):
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, kept in the shared checkpoint folder, so that lost executors cost no recomputation of what comes before.
-
-    The folder is spark.checkpoint.dir of the session. Where it is unset, as in tests, it is a temporary local one."""
+    """df, kept in the shared checkpoint folder, so that lost executors cost no recomputation of what comes before."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
@@ -42,8 +61,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary local one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors see; a temporary local one where it is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that the driver and all executors share")
     return named or os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
 
 

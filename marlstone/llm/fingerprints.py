@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([written(sketch(t)) for t in batch.column(1).to_pylist()])], names=[id_col, "fingerprint"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint string")
+    return rows.mapInArrow(common.frugal(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint string")
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -164,4 +164,4 @@ def report(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(common.frugal(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -279,7 +279,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{fields}, text string")
+    return rows.mapInArrow(common.frugal(run), f"{fields}, text string")
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 node = pc.if_else(live, part.column(1).cast(pa.binary()), none[0])
                 yield pa.RecordBatch.from_arrays([part.column(0), node, pc.if_else(live, lists, none[1])], names=["doc_id", "node", "bands"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
+    return rows.mapInArrow(common.frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             values = [overlap(bags[p], bags[q]) for p, q in zip(a, b)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(values, pa.float64())], names=["a", "b", "s"])
 
-    return both.mapInArrow(run, "a binary, b binary, s double")
+    return both.mapInArrow(common.frugal(run), "a binary, b binary, s double")
 
 
 def own_parts(texts: DataFrame) -> DataFrame:
@@ -182,11 +182,11 @@ def own_parts(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["node", "total"])
 
     rows = texts.select("node", "text")
-    items = rows.mapInArrow(listed, "node binary, item long, weight int")
+    items = rows.mapInArrow(common.frugal(listed), "node binary, item long, weight int")
     once = items.groupBy("item").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("weight").alias("weight"))
     of = lambda g: F.coalesce(F.sum(F.when(F.pmod("item", F.lit(GROUPS)) == g, F.col("weight"))), F.lit(0).cast("long"))
     own = once.where("n = 1").groupBy("node").agg(F.sum("weight").alias("own"), F.array(*[of(g) for g in range(GROUPS)]).alias("alone"))
-    both = rows.mapInArrow(grouped, "node binary, total array<long>").join(own, "node", "left")
+    both = rows.mapInArrow(common.frugal(grouped), "node binary, total array<long>").join(own, "node", "left")
     size = F.aggregate("total", F.lit(0).cast("long"), lambda x, y: x + y)
     held = F.when(F.col("alone").isNull(), F.col("total")).otherwise(F.zip_with("total", "alone", lambda x, y: x - y))
     return both.select("node", size.alias("size"), F.coalesce("own", F.lit(0).cast("long")).alias("own"), held.alias("held"))

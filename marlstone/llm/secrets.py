@@ -119,7 +119,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             spans = [[dict(zip(("kind", "start", "end"), x)) for x in each] for each in spans_of(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[id_col, "spans"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, spans {SPANS}")
+    return rows.mapInArrow(common.frugal(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, spans {SPANS}")
 
 
 def covered(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -147,7 +147,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
             columns[at] = pa.array(fixed, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = rows.mapInArrow(run, rows.schema)
+    out = rows.mapInArrow(common.frugal(run), rows.schema)
     if length_col in names:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(kind))

@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([g.beginnings, g.contexts, g.base])])], names=["grammar"])
 
     common.small_batches(docs.sparkSession)
-    made = rows.select("__text", "__toxic").repartition(1).mapInArrow(run, "grammar string").collect()
+    made = rows.select("__text", "__toxic").repartition(1).mapInArrow(common.frugal(run), "grammar string").collect()
     return Grammar(*json.loads(made[0][0])) if made else Grammar()
 
 
@@ -247,7 +247,7 @@ def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(common.frugal(run), f"{fields}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
