@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df in the session's shared checkpoint folder; a temporary local one only where spark.checkpoint.dir is unset, as in tests."""
+    """df in the session's shared checkpoint folder; a temporary local one only where spark.checkpoint.dir is unset and the master is local."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "marlstone-checkpoints"))
     return df.checkpoint(eager=True)
