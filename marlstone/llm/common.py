@@ -74,7 +74,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/marlstone-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_dropped, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the files of a table that stored() gave and that nothing will read any more."""
+    _dropped(df.sparkSession, df._stored_at)
 
 
 def _dropped(spark: SparkSession, path: str) -> None:

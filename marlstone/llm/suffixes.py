@@ -1,277 +1,336 @@
 """Repeated passages by a depth-limited radix sort of suffixes.
 
-Two suffixes are equal to depth LENGTH (400 bytes) exactly if the same 400-byte string starts at both; such strings are to
-be removed. The sort goes by digits, the most significant first, and a suffix leaves it as soon as it is alone:
-
-1. The first digit is a 128-byte gram within the string: the one with the least hash, which is the same wherever the string
-   stands. So only about one suffix in 140 is dealt out, and a gram that stands once ends the matter.
-2. The second digit is the whole context of the gram, all that strings around it can reach. Suffixes that agree in it are
-   equal to full depth, with all neighbours up to there.
-3. Grams with several contexts are left, at the edges of passages. Their strings are compared at each offset.
-
-Groups of the third pass that are too large for one task go by counts: offsets are taken together in intervals, and only
-an interval in which a passage begins or ends is divided further.
-
-Nulls: a null text counts as empty, a null id stays null. Empty and short texts keep all bytes. Repeated rows are copies,
-so their strings repeat. Very long texts are one numpy pass each. An empty table gives an empty result.
+Two suffixes are equal to the depth of LENGTH tokens exactly if the same string of LENGTH tokens, a window, starts at both;
+such windows repeat. The sort goes by digits, the most significant first, every group in the same way whatever its size, and
+a suffix leaves it as soon as it is alone or known to be equal to another to full depth:
+
+1. The first digit is a gram within the window: the one of least hash, the leftmost of equal ones, which is the same in equal
+   windows wherever they stand. Windows side by side that have the same gram are one unit, so that one row is dealt out for
+   about GRAM tokens and a gram that stands once ends the matter.
+2. The second digit is the unit's whole content with the gram's place in it: units that agree in it agree in all windows.
+3. Grams with several contents are left, at the edges of passages. Their windows are divided by their offset to the gram into
+   blocks of WIDTHS[0] offsets. A block's digit is the core, what all its windows have in common: if it stands in no other
+   unit, none of its windows does. If all that the block's windows cover stands elsewhere, they all do. Only blocks in between
+   are divided, into blocks of the next width, at last into single windows, whose digit is the window itself.
+
+All groups are counted by aggregation, hot ones too: no task gathers a group, and rows follow the number of units. A digit is
+a 64-bit polynomial hash within a gram, itself such a hash; a content is known by its gram and an xxh3 digest of its bytes.
+So equality is one of 128 bits from two kinds of hashes, at which 10**12 units have a false match with a chance of 10**-14.
+
+Two kinds of tokens go through the same passes: bytes, whose repeated windows are removed, and words (of 51 and more, by
+exact bytes between white space), of which it is only asked whether a window also stands in another document.
+
+Nulls: a null text counts as empty, a null id stays null. Empty and short texts keep all bytes. Repeated rows are copies, so
+their strings repeat; rows that are equal in id and text are one document for the question about words. Ties between equal
+grams go to the leftmost. Very long texts are cut into chunks that overlap by a window. An empty table gives an empty
+result. Columns other than the id's and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import common
 
-LENGTH = 400
-GRAM = 128
-REACH = LENGTH - GRAM  # a string begins at most so many bytes before its gram
-#: Distinct contexts of a gram that one task compares.
-GROUP = 1000
-#: Widths of the intervals of offsets in larger groups.
-WIDTHS = (39, 6, 1)
-
-
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, gram, context) of the grams that are the least in some string of the text: hashes, the first of equal ones."""
-    n = len(data)
-    if n < LENGTH:
-        return (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
-    hashes = common.RunHashes(data.astype(np.uint64) + np.uint64(1))
-    grams = hashes.fixed(GRAM)
-    width = REACH + 1
-    m = len(grams)
-    blocks = -(-m // width)
+
+@dataclass(frozen=True)
+class Kind:
+    """Tokens: their number, that of a window and of a gram, the bytes of a token."""
+
+    number: int
+    length: int
+    gram: int
+    size: int
+
+    @property
+    def reach(self) -> int:
+        """A window begins at most so many tokens before its gram."""
+        return self.length - self.gram
+
+
+BYTES, WORDS = KINDS = (Kind(0, 400, 128, 1), Kind(1, 51, 12, 8))
+#: Widths of the blocks of offsets; each divides the one before.
+WIDTHS = (36, 6, 1)
+#: Tokens whose windows are worked on at once.
+CHUNK = 1 << 20
+#: White space between words, as bytes. Fixed values.
+SPACES = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
+UNIT = ["kind", "gram", "context"]
+
+
+def anchors(grams: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last): each gram that is the least of a window, the leftmost of equal ones, and the windows of which it is."""
+    width = reach + 1
+    windows = len(grams) - reach
+    blocks = -(-len(grams) // width)
     padded = np.full(blocks * width, np.uint64(2**64 - 1))
-    padded[:m] = grams
+    padded[: len(grams)] = grams
     grid = padded.reshape(blocks, width)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: m - REACH], ahead[REACH:m])  # of each string
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))  # where runs of strings of the same least begin
-    last = np.concatenate([first[1:], [len(least)]]) - 1
-    at = first + REACH  # right where the least becomes less: the gram has just come in
+    least = np.minimum(behind[:windows], ahead[reach : len(grams)])  # of each window
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))  # where runs of windows of the same least begin
+    last = np.concatenate([first[1:], [windows]]) - 1
+    at = first + reach  # right where the least becomes less: the gram has just come in
     seek = np.flatnonzero(np.concatenate([[True], least[first[1:]] > least[first[1:] - 1]]))
     at[seek] = first[seek] + np.lib.stride_tricks.sliding_window_view(grams, width)[first[seek]].argmin(1)
-    places = [at]
-    for i in np.flatnonzero(last > at).tolist():  # the least occurs again, as in repeated lines
+    again = last > at  # the least occurs again, as in repeated lines
+    parts = [(at[~again], first[~again], last[~again])]
+    for i in np.flatnonzero(again).tolist():
         same = first[i] + np.flatnonzero(grams[first[i] : last[i] + width] == least[first[i]])
-        places.append(same[np.unique(np.searchsorted(same, np.arange(first[i], last[i] + 1)))])
-    at = np.unique(np.concatenate(places))
-    left, right = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, n)
-    context = hashes.of(left, right) ^ common.mixed((at - left).astype(np.uint64) << np.uint64(32) | (right - at).astype(np.uint64))
-    return at, grams[at], context
+        same = same[np.searchsorted(same, first[i]) : np.searchsorted(same, last[i]) + 1]
+        parts.append((same, np.concatenate([[first[i]], same[:-1] + 1]), np.minimum(same, last[i])))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The hashes of a text's words."""
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = np.isin(data, SPACES)
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    parts = []
+    for a in range(0, len(starts), CHUNK // 8):
+        s, e = starts[a : a + CHUNK // 8], ends[a : a + CHUNK // 8]
+        parts.append(common.RunHashes(data[s[0] : e[-1]].astype(np.uint64) + np.uint64(1)).of(s - s[0], e - s[0]))
+    return common.joined(parts, np.uint64)
+
+
+def tokens_of(data: np.ndarray, kind: Kind) -> np.ndarray:
+    return data if kind == BYTES else words_of(data)
+
+
+def hashes_of(tokens: np.ndarray) -> common.RunHashes:
+    return common.RunHashes(tokens.astype(np.uint64) + np.uint64(1))
+
+
+def units(tokens: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """(gram, context, place, before, span) of a text's units: before tokens of the content stand before the gram, span + 1 windows begin in it."""
+    found: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(tokens) - kind.length + 1, CHUNK):
+        part = np.ascontiguousarray(tokens[a : a + CHUNK + kind.length - 1])
+        grams = hashes_of(part).fixed(kind.gram)
+        at, first, last = anchors(grams, kind.reach)
+        raw, size = memoryview(part.view(np.uint8)), kind.size
+        before = at - first
+        contexts = [xxhash.xxh3_64_intdigest(raw[s * size : (t + kind.length) * size], b) for s, t, b in zip(first.tolist(), last.tolist(), before.tolist())]
+        found.append((grams[at], np.array(contexts, np.uint64), at + a, before, last - first))
+    if not found:
+        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+FIRST = "kind byte, key binary, gram long, context long, before short, span short, places binary"
 
 
 def digits(rows: DataFrame) -> DataFrame:
-    """(key, gram, context, places, times): a row for each document and distinct context, with the places of its gram."""
+    """A row for each document and distinct unit, with the places of its gram: all of them among bytes, the first among words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, grams, contexts, places = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                at, gram, context = anchors(np.frombuffer(text.encode(), np.uint8))
-                owner.append(np.full(len(at), i))
-                places.append(at)
-                grams.append(gram)
-                contexts.append(context)
-            o, g, c, p = (common.joined(x, t) for x, t in ((owner, np.int64), (grams, np.uint64), (contexts, np.uint64), (places, np.int64)))
-            order = np.lexsort((p, c, g, o))
-            o, g, c, p = o[order], g[order], c[order], p[order]
-            new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])])) if len(o) else np.empty(0, np.int64)
-            cuts = np.concatenate([new, [len(o)]])
-            listed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(p.astype("<u4").tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(o[new])), pa.array(g[new].view(np.int64)), pa.array(c[new].view(np.int64)), listed, pa.array(np.diff(cuts))],
-                names=["key", "gram", "context", "places", "times"],
-            )
-
-    return rows.mapInArrow(run, "key binary, gram long, context long, places binary, times long")
-
-
-def windows(context: bytes, before: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offset, hash) of the strings of a context whose gram begins `before` bytes in."""
-    hashes = common.RunHashes(np.frombuffer(context, np.uint8).astype(np.uint64) + np.uint64(1)).fixed(LENGTH)
-    offset = before - np.arange(len(hashes))
-    fit = (offset >= 0) & (offset <= REACH)
-    return offset[fit], hashes[fit]
+            for kind in KINDS:
+                owner, found = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    got = units(tokens_of(np.frombuffer(text.encode(), np.uint8), kind), kind)
+                    owner.append(np.full(len(got[0]), i))
+                    found.append(got)
+                o = common.joined(owner, np.int64)
+                if not len(o):
+                    continue
+                g, c, p, b, s = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((p, c, g, o))
+                o, g, c, p, b, s = (x[order] for x in (o, g, c, p, b, s))
+                new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
+                cuts = np.concatenate([new, [len(o)]])
+                if kind == WORDS:
+                    p, cuts = p[new], np.arange(len(new) + 1)
+                listed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(p.astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(new), kind.number, np.int8)), batch.column(0).take(pa.array(o[new])), pa.array(g[new].view(np.int64)), pa.array(c[new].view(np.int64)),
+                     pa.array(b[new].astype(np.int16)), pa.array(s[new].astype(np.int16)), listed],
+                    names=["kind", "key", "gram", "context", "before", "span", "places"],
+                )
+
+    return rows.mapInArrow(common.frugal(run), FIRST)
 
 
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, context, before, bytes) of the wanted (key, gram, context, place)."""
-    grouped = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "context", "place")).alias("w"))  # as many as a document has grams
+    """The wanted units (key, kind, gram, context, a, b, place, before, span) without key and place, with their content's tokens as bytes."""
+    names = ["kind", "gram", "context", "a", "b", "before", "span"]
+    grouped = wanted.groupBy("key").agg(F.collect_list(F.struct(*names, "place")).alias("w"))  # as many as a document has units
     joined = rows.join(grouped, "key").select("text", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = text.encode()
-                for w in wants:
-                    left = max(w["place"] - REACH, 0)
-                    out.append((w["gram"], w["context"], w["place"] - left, data[left : w["place"] + LENGTH]))
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["gram", "context", "before", "bytes"])
-
-    return joined.mapInArrow(run, "gram long, context long, before int, bytes binary")
-
-
-def runs_of(offsets: np.ndarray) -> bytes:
-    """(first, last) of the runs of offsets, packed."""
-    offsets = np.unique(offsets)
-    if not len(offsets):
-        return b""
-    cut = np.flatnonzero(np.diff(offsets) != 1)
-    return np.stack([offsets[np.concatenate([[0], cut + 1])], offsets[np.concatenate([cut, [len(offsets) - 1]])]], 1).astype("<u2").tobytes()
-
-
-def third_pass(contexts: DataFrame) -> DataFrame:
-    """(gram, context, runs): the offsets at which strings of the context stand elsewhere too; the groups are of bounded size."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        found = [windows(d, b) for d, b in zip(table.column("bytes").to_pylist(), table.column("before").to_pylist())]
-        owner = np.repeat(np.arange(len(found)), [len(o) for o, _ in found])
-        offset = common.joined([o for o, _ in found], np.int64)
-        key = common.joined([h for _, h in found], np.uint64)
-        order = np.lexsort((owner, key, offset))
-        owner, offset, key = owner[order], offset[order], key[order]
-        same = (key[1:] == key[:-1]) & (offset[1:] == offset[:-1])
-        many = np.zeros(len(key), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        owner, offset = owner[many], offset[many]
-        order = np.argsort(owner, kind="stable")
-        cuts = np.split(offset[order], np.searchsorted(owner[order], np.arange(1, len(found))))
-        return pa.table({"gram": table.column("gram"), "context": table.column("context"), "runs": pa.array([runs_of(c) for c in cuts], pa.binary())})
-
-    return contexts.groupBy("gram").applyInArrow(compare, "gram long, context long, runs binary")
-
-
-def third_pass_of_large(contexts: DataFrame) -> DataFrame:
-    """The same for groups of any size, by counts alone: strings are taken together by intervals of offsets, which shrink.
-
-    If what all strings of an interval have in common stands in no other context, none of them does. If the string that
-    holds all of them stands elsewhere, they all do. Only the intervals in between are divided, so that a context costs a
-    few dozen rows and no task holds a group."""
-    done = None
-    nodes = contexts.select("gram", "context", "before", "bytes", F.array(F.struct(F.lit(0).alias("lo"), F.lit(REACH).alias("hi"))).alias("parents"))
-    for width in WIDTHS:
+            asked = batch.column(1)
+            each = asked.flatten()
+            column = {n: each.field(n) for n in (*names, "place")}
+            ends = np.cumsum(np.diff(asked.offsets.to_numpy()))
+            place, before, span = (column[n].to_numpy().astype(np.int64) for n in ("place", "before", "span"))
+            numbers, out, done = column["kind"].to_numpy(), [], 0
+            for text, end in zip(batch.column(0).to_pylist(), ends.tolist()):
+                data = np.frombuffer(text.encode(), np.uint8)
+                held = {0: data.tobytes()}
+                if (numbers[done:end] == WORDS.number).any():
+                    held[1] = words_of(data).tobytes()
+                for i in range(done, end):
+                    kind = KINDS[numbers[i]]
+                    first = place[i] - before[i]
+                    out.append(held[kind.number][first * kind.size : (first + span[i] + kind.length) * kind.size])
+                done = end
+            yield pa.RecordBatch.from_arrays([*(column[n] for n in names), common.packed(out)], names=[*names, "content"])
+
+    return joined.mapInArrow(common.frugal(run), "kind byte, gram long, context long, a long, b long, before short, span short, content binary")
+
+
+BLOCKS = "kind byte, gram long, context long, a long, b long, lo short, hi short, core long, whole long"
 
-        def run(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out: list[tuple] = []
-                for gram, context, before, data, parents in zip(*(c.to_pylist() for c in batch.columns)):
-                    hashes = common.RunHashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1))
-                    least, most = max(0, LENGTH - (len(data) - before)), min(before, REACH)
-                    lo, end = np.array([(x, p["hi"]) for p in parents for x in range(p["lo"], p["hi"] + 1, width)]).T
-                    hi = np.minimum(lo + width - 1, end)
-                    fit = (lo <= most) & (hi >= least)
-                    lo, hi = lo[fit], hi[fit]
-                    core = hashes.of(before - lo, before + LENGTH - hi).view(np.int64)
-                    inside = (lo >= least) & (hi <= most)
-                    whole = hashes.of(np.maximum(before - hi, 0), np.minimum(before + LENGTH - lo, len(data))).view(np.int64)
-                    out += [(gram, context, x, y, c, w if i else None) for x, y, c, w, i in zip(lo.tolist(), hi.tolist(), core.tolist(), whole.tolist(), inside.tolist())]
-                columns = list(zip(*out)) if out else [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", "context", "lo", "hi", "core", "whole"])
-
-        rows = common.stored(nodes.mapInArrow(run, "gram long, context long, lo int, hi int, core long, whole long"))
-        core = rows.groupBy("gram", "lo", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        whole = rows.where("whole IS NOT NULL").groupBy("gram", "lo", "whole").agg(F.count("*").alias("n")).where("n > 1").select("gram", "lo", "whole", F.lit(True).alias("all"))
-        alive = common.stored(rows.join(core, ["gram", "lo", "core"], "left_semi").join(whole, ["gram", "lo", "whole"], "left").select("gram", "context", "lo", "hi", "core", "whole", "all"))
-        hit = alive.where("all").select("gram", "context", "lo", "hi")
-        done = hit if done is None else done.unionByName(hit)
-        # one context of each string that is settled goes on beside the open ones with that core, which may share a part of it
-        open_ = alive.where("all IS NULL")
-        settled = alive.where("all").join(open_.select("gram", "lo", "core").distinct(), ["gram", "lo", "core"], "left_semi").groupBy("gram", "lo", "hi", "whole").agg(F.min("context").alias("context"))
-        left = open_.select("gram", "context", "lo", "hi").unionByName(settled.select("gram", "context", "lo", "hi")).groupBy("gram", "context").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("parents"))
-        nodes = contexts.dropDuplicates(["gram", "context"]).join(left, ["gram", "context"]).select("gram", "context", "before", "bytes", "parents")
-    two = lambda x: F.concat(F.substring(F.lpad(F.hex(x), 4, "0"), 3, 2), F.substring(F.lpad(F.hex(x), 4, "0"), 1, 2))
-    lists = done.groupBy("gram", "context").agg(F.collect_set(F.struct("lo", "hi")).alias("o"))
-    return lists.select("gram", "context", F.unhex(F.array_join(F.transform("o", lambda x: F.concat(two(x["lo"]), two(x["hi"]))), "")).alias("runs"))
-
-
-def marked(docs_keyed: DataFrame) -> DataFrame:
-    """(key, starts and ends of the bytes to remove): packed, in rows that may overlap."""
-    first = common.stored(digits(docs_keyed))
-    by_context = first.groupBy("gram", "context").agg(F.sum("times").alias("n"), F.min(F.struct("key", "places")).alias("one"))
-    by_context = common.stored(by_context)
-    several = by_context.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    edge = by_context.join(several, "gram")
-    little = lambda i: F.conv(F.hex(F.substring("one.places", i, 1)), 16, 10).cast("long")
-    place = little(1) + little(2) * 256 + little(3) * 65536 + little(4) * 16777216
-    wanted = edge.select(F.col("one.key").alias("key"), "gram", "context", place.cast("int").alias("place"))
-    contexts = common.stored(fetched(docs_keyed, wanted))
-    large = several.where(F.col("c") > GROUP).select("gram")
-    small = third_pass(contexts.join(large, "gram", "left_anti"))
-    runs = small.where("length(runs) > 0")
-    large = common.checkpointed(large)
-    if not large.isEmpty():
-        runs = runs.unionByName(third_pass_of_large(common.stored(contexts.join(large, "gram"))))
-    runs = runs.groupBy("gram", "context").agg(F.array_join(F.collect_list(F.hex("runs")), "").alias("h")).select("gram", "context", F.unhex("h").alias("runs"))
-    whole = by_context.where("n > 1").select("gram", "context", F.lit(True).alias("whole"))
-    marks = whole.join(runs, ["gram", "context"], "full")
-    return first.join(marks, ["gram", "context"]).select("key", "places", "whole", "runs")
+
+def divided(nodes: DataFrame, width: int) -> DataFrame:
+    """The blocks of `width` offsets of units (with content and parents, the ranges of offsets that are open), with the hashes of core and whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for kind in KINDS:
+                own = np.flatnonzero(numbers == kind.number)
+                if not len(own):
+                    continue
+                part = batch.take(pa.array(own))
+                gram, context, a, b, before, contents, parents = (part.column(i) for i in range(1, 8))
+                content = contents.to_pylist()
+                starts = np.cumsum([0, *map(len, content)]) // kind.size
+                hashes = hashes_of(np.frombuffer(b"".join(content), np.uint8 if kind == BYTES else np.uint64))
+                ranges = parents.flatten()
+                unit = np.repeat(np.arange(len(own)), np.diff(parents.offsets.to_numpy()))
+                low, high = (ranges.field(n).to_numpy().astype(np.int64) for n in ("lo", "hi"))
+                times = high // width - low // width + 1
+                block = np.repeat(low // width, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                unit, low, high = np.repeat(unit, times), np.repeat(low, times), np.repeat(high, times)
+                lo, hi = np.maximum(low, block * width), np.minimum(high, block * width + width - 1)
+                zero = starts[unit] + before.to_numpy().astype(np.int64)[unit]  # where the gram stands
+                core = hashes.of(zero - block * width, zero + kind.length - (block * width + width - 1))
+                core ^= common.mixed(block.astype(np.uint64) << np.uint64(8) | np.uint64(width))
+                whole = hashes.of(zero - hi, zero - lo + kind.length) ^ common.mixed(lo.astype(np.uint64) << np.uint64(16) | hi.astype(np.uint64))
+                at = pa.array(unit)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(unit), kind.number, np.int8)), *(x.take(at) for x in (gram, context, a, b)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16)),
+                     pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
+                    names=["kind", "gram", "context", "a", "b", "lo", "hi", "core", "whole"],
+                )
+
+    return nodes.select("kind", "gram", "context", "a", "b", "before", "content", "parents").mapInArrow(common.frugal(run), BLOCKS)
+
+
+def passes(contexts: DataFrame) -> DataFrame:
+    """(kind, gram, context, lo, hi): the ranges of offsets whose windows stand in other units too.
+
+    a and b of a unit are the least and the greatest of its owners; a class is repeated if its units have different ones."""
+    nodes = contexts.withColumn("parents", F.array(F.struct((F.col("before") - F.col("span")).cast("short").alias("lo"), F.col("before").alias("hi"))))
+    hits = None
+    for width in WIDTHS:
+        rows = common.stored(divided(nodes, width))
+        classes = rows.groupBy("kind", "gram", "core", "whole").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("context").alias("one"))
+        cores = classes.groupBy("kind", "gram", "core").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.count("*").alias("n")).where("least <> most").select("kind", "gram", "core", "n")
+        alive = classes.join(cores, ["kind", "gram", "core"]).select("kind", "gram", "core", "whole", (F.col("a") != F.col("b")).alias("all"), "one", "n")
+        # of units that agree in a repeated block one goes on, beside others of that core, which may share a part of it
+        on = (F.col("n") > 1) & (~F.col("all") | (F.col("context") == F.col("one")))
+        found = common.stored(rows.join(alive, ["kind", "gram", "core", "whole"]).select(*UNIT, "lo", "hi", "all", on.alias("on")).where("all OR on"))
+        common.released(rows)
+        hit = found.where("all").select(*UNIT, "lo", "hi")
+        hits = hit if hits is None else hits.unionByName(hit)
+        if width != WIDTHS[-1]:
+            left = found.where("on").groupBy(*UNIT).agg(F.collect_list(F.struct("lo", "hi")).alias("parents"))  # as many as a unit has blocks
+            nodes = contexts.join(left, UNIT)
+    return hits
+
+
+def marked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, places, before, span, runs): units of bytes with windows that repeat, in all of them if runs is null; and (key)
+    of the documents that have a window of words which another one has."""
+    first = common.stored(digits(keyed))
+    words = F.col("kind") == WORDS.number
+    doc = F.xxhash64("key")
+    place = F.struct("key", F.substring("places", 1, 4).alias("place"), "before", "span")
+    by_context = first.groupBy(*UNIT).agg(F.sum(F.length("places") / 4).cast("long").alias("n"), F.min(place).alias("one"), F.min(doc).alias("a"), F.max(doc).alias("b"))
+    # bytes: units are their own owners, for windows may repeat within a document
+    by_context = by_context.withColumn("repeated", F.when(words, F.col("a") != F.col("b")).otherwise(F.col("n") > 1))
+    by_context = common.stored(by_context.withColumns({"a": F.when(words, F.col("a")).otherwise(F.col("context")), "b": F.when(words, F.col("b")).otherwise(F.col("context"))}))
+    several = by_context.groupBy("kind", "gram").agg(F.count("*").alias("c"), F.min("a").alias("least"), F.max("b").alias("most")).where("c > 1 AND least <> most")
+    edge = by_context.join(several, ["kind", "gram"], "left_semi")
+    wanted = edge.select(F.col("one.key").alias("key"), *UNIT, "a", "b", little("one.place").alias("place"), "one.before", "one.span")
+    contexts = common.stored(fetched(keyed, wanted))
+    hits = passes(contexts)
+    whole = by_context.where("repeated").select(*UNIT, F.lit(True).alias("whole"))
+    runs = hits.groupBy(*UNIT).agg(F.collect_list(F.col("lo").cast("int") * 1024 + F.col("hi")).alias("runs"))
+    marks = whole.join(runs, UNIT, "full").select(*UNIT, F.when(F.col("whole").isNull(), F.col("runs")).alias("runs"))
+    joined = common.stored(first.join(marks, UNIT).select("kind", "key", "places", "before", "span", "runs"))
+    common.released(first)
+    return joined.where(~words).drop("kind"), joined.where(words).select("key").distinct()
+
+
+def little(column: str) -> F.Column:
+    """A number from four bytes, the least first."""
+    byte = lambda i: F.conv(F.hex(F.substring(column, i, 1)), 16, 10).cast("long")
+    return byte(1) + byte(2) * 256 + byte(3) * 65536 + byte(4) * 16777216
 
 
 def removed(docs: DataFrame, doc_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """doc_columns, n_bytes, spans (array of start, end in bytes, maximal) and kept (binary) of each row."""
+    """doc_columns, n_bytes, spans (array of start, end in bytes, maximal), kept (binary) and repeats_passage of each row.
+
+    repeats_passage: does a run of over 50 words of the text also stand in another document?"""
     common.small_batches(docs.sparkSession)
-    text = common.clean_text()
-    # the key of a row is the digest of what is in it; copies of a row share it, with their number
-    base = docs.select(*doc_columns, text.alias("text"))
-    keyed_rows = base.withColumn("key", F.unhex(F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in doc_columns], "text"))))
-    marks = marked(keyed_rows.select("key", "text"))
-
-    def cover(places: bytes, whole: bool, runs: bytes | None, out: list) -> None:
-        at = np.frombuffer(places, "<u4").astype(np.int64)
-        if whole:
-            out.append(np.stack([np.maximum(at - REACH, 0), at + LENGTH], 1))
-        if runs:
-            pairs = np.frombuffer(runs, "<u2").astype(np.int64).reshape(-1, 2)
-            out.append(np.stack([(at[:, None] - pairs[:, 1]).ravel(), (at[:, None] - pairs[:, 0] + LENGTH).ravel()], 1))
+    # the key of a row is the digest of what is in it; copies of a row share it
+    base = docs.select(*doc_columns, common.clean_text().alias("text"))
+    keyed = base.withColumn("key", F.unhex(F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in doc_columns], "text"))))
+    marks, flagged = marked(keyed.select("key", "text"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            key, places, before, span, runs = batch.columns
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                spans_: list = []
-                cover(*row, spans_)
-                out.append(np.concatenate(spans_).astype("<u4").tobytes() if spans_ else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), common.packed(out)], names=["key", "cuts"])
-
-    cuts = marks.mapInArrow(spread, "key binary, cuts binary").groupBy("key").agg(F.collect_list("cuts").alias("cuts"))  # as many as a document has grams
+            for at, b, s, r in zip(places.to_pylist(), before.to_pylist(), span.to_pylist(), runs.to_pylist()):
+                place = np.frombuffer(at, "<u4").astype(np.int64)
+                pairs = np.array([(b - s, b)] if r is None else [divmod(x, 1024) for x in r], np.int64)
+                out.append(np.stack([(place[:, None] - pairs[:, 1]).ravel(), (place[:, None] - pairs[:, 0] + BYTES.length).ravel()], 1).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([key, common.packed(out)], names=["key", "cuts"])
+
+    cuts = marks.mapInArrow(common.frugal(spread), "key binary, cuts binary").withColumn("flag", F.lit(False))
+    both = cuts.unionByName(flagged.select("key", F.lit(None).cast("binary").alias("cuts"), F.lit(True).alias("flag")))
+    both = both.groupBy("key").agg(F.collect_list("cuts").alias("cuts"), F.max("flag").alias("flag"))  # as many as a document has units
     n = len(doc_columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans_, kept = [], [], []
-            for text_, lists in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
-                data = text_.encode()
+            for text, lists in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                data = text.encode()
                 change = np.zeros(len(data) + 1, np.int32)
                 if lists:
                     pairs = np.frombuffer(b"".join(lists), "<u4").astype(np.int64).reshape(-1, 2)
                     np.add.at(change, pairs[:, 0], 1)
-                    np.add.at(change, np.minimum(pairs[:, 1], len(data)), -1)
+                    np.add.at(change, pairs[:, 1], -1)
                 gone = np.cumsum(change)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 sizes.append(len(data))
                 spans_.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
                 kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if len(edges) else data)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes, pa.int64()), pa.array(spans_, kind), common.packed(kept)], names=[*doc_columns, "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes, pa.int64()), pa.array(spans_, kind), common.packed(kept), batch.column(n + 2)], names=[*doc_columns, "n_bytes", "spans", "kept", "repeats_passage"])
 
-    joined = keyed_rows.join(cuts, "key", "left").select(*doc_columns, "text", "cuts")
+    joined = keyed.join(both, "key", "left").select(*doc_columns, "text", "cuts", F.coalesce("flag", F.lit(False)).alias("flag"))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in doc_columns)
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(common.frugal(cut), f"{fields}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, repeats_passage boolean")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats_passage of each document."""
     out = removed(docs)
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "repeats_passage")
