@@ -40,11 +40,12 @@ S_LETTER, S_DIGIT, S_OTHER, S_SHORT, S_LONG, S_SPACE, S_EDGE, S_WHITE = range(8)
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 #: Fixed values of the split pattern: what follows the apostrophe of a contraction.
 SHORT_CONTRACTIONS, LONG_CONTRACTIONS = ("s", "t", "m", "d"), ("re", "ve", "ll")
-BLOCK = 64
+BLOCK = 128
 #: Code points that are worked on at once, and pieces that a worker remembers (twice as many at most): both bound its memory.
 CHUNK = 200_000
-CACHE_PIECES = 40_000
+CACHE_PIECES = 100_000
 CACHED_LENGTH = 40
+NO_RANK = 1 << 40
 
 
 @functools.cache
@@ -143,6 +144,10 @@ class Vocabulary:
         for word, rank in self.ranks.items():
             words[rank] = word
             self.lengths[rank] = len(word)
+        self.pairs = [NO_RANK] * 65536  # the ranks of all pairs of bytes
+        for word, rank in self.ranks.items():
+            if len(word) == 2:
+                self.pairs[word[0] << 8 | word[1]] = rank
         self.blob = np.frombuffer(b"".join(words), np.uint8)
         self.places = np.concatenate([[0], np.cumsum(self.lengths)])[:-1].astype(np.int64)
         self.cache: dict[str, bytes] = {}
@@ -154,18 +159,17 @@ class Vocabulary:
         if piece in ranks:
             return [ranks[piece]]
         if len(piece) <= CACHED_LENGTH:
-            none, get = 1 << 40, ranks.get
-            parts = [piece[i : i + 1] for i in range(len(piece))]
-            pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+            none, get = NO_RANK, ranks.get
+            cuts = list(range(len(piece) + 1))
+            pairs = [self.pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
             while pairs and (best := min(pairs)) != none:
                 i = pairs.index(best)
-                parts[i] += parts[i + 1]
-                del parts[i + 1], pairs[i]
+                del cuts[i + 1], pairs[i]
                 if i < len(pairs):
-                    pairs[i] = get(parts[i] + parts[i + 1], none)
+                    pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
                 if i:
-                    pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-            return [ranks[x] for x in parts]
+                    pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+            return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
         n = len(piece)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
