@@ -5,12 +5,16 @@ less than its share gives the shortage to its siblings, by their weights, before
 the amount is poured in by weight until the smaller children are full. A leaf's budget is met by whole epochs of its
 documents and then by a prefix, in tokens, of a further epoch in an order that a hash with the seed gives.
 
-Shares are integers throughout. Only tables with a row for each leaf, as many as there are sources and languages, come to
-the driver. No leaf's rows are sorted in one task: sums by leaf and hash bucket find the one bucket in which the prefix
-ends, and only its rows are ordered.
-
-Nulls: a null text counts as empty, a null source or language as 'unknown'. Empty texts have no tokens and are
-drawn like others. Repeated rows each count. Rows of one id are ordered by their tokens. An empty table gives one.
+Shares are integers throughout. Texts are read once for their sizes, which are kept as a narrow table; budgets, prefixes and
+their ends come from it. Tables with a row for each leaf, as many as there are sources and languages, are written tables
+too, so that the optimizer knows their size and broadcasts them only if that is small; nothing comes to the driver. No
+leaf's rows are sorted in one task: sums by leaf and hash bucket find the one bucket in which the prefix ends, and only its
+rows are ordered.
+
+Nulls: a null text counts as empty, a null source or language as 'unknown'. Empty texts have no tokens and are drawn like
+others. Long texts count by their tokens and are drawn in part at the end of a prefix. Repeated rows each count. Rows of one
+id are ordered by their tokens; equal ones are alike. An empty table gives one. Other columns are left out by mixed() and
+stay in kept(), whatever their names, but for names with two leading underscores, which are this module's own.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from marlstone.llm import common
 
 #: Hexadecimal digits of the order's hash that make a bucket: 65,536 of them in a leaf.
 BUCKET_DIGITS = 4
+#: Files of a table with a row for each leaf.
+LEAF_FILES = 4
+LEAF = ["__domain", "__lang", "__source"]
 
 
 @dataclass(frozen=True)
@@ -72,9 +79,9 @@ def weights(column: str, given: dict[str, int], other: int) -> Column:
     return out.cast("long")
 
 
-def budgets(sized: DataFrame, mix: Mixture) -> DataFrame:
+def budgets(narrow: DataFrame, mix: Mixture) -> DataFrame:
     """(domain, language, source, tokens there, budget) of each leaf; one row for each, whatever the corpus."""
-    leaves = sized.groupBy("__domain", "__lang", "__source").agg(F.sum("__tokens").alias("__there"))
+    leaves = narrow.groupBy(*LEAF).agg(F.sum("__tokens").alias("__there"))
     leaves = leaves.withColumn("__cap", F.col("__there") * mix.epochs)
     total = W.partitionBy()
     top = leaves.withColumn("__amount", F.expr(f"(sum(__there) over () * {mix.percent}) div 100"))
@@ -86,16 +93,9 @@ def budgets(sized: DataFrame, mix: Mixture) -> DataFrame:
     return poured(sources, ["__domain", "__lang"], "__source").select("__domain", "__lang", "__source", "__there", F.col("__take").alias("__budget"))
 
 
-def inlined(small: DataFrame) -> DataFrame:
-    """A table with a row for each leaf as a literal one, so that its size is known to the optimizer, which broadcasts it if small."""
-    kinds = [f.dataType.simpleString() for f in small.schema]
-    quoted = lambda v, k: f"CAST(NULL AS {k})" if v is None else f"CAST({v} AS {k})" if k != "string" else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = small.collect()
-    names = ", ".join(f"`{f.name}`" for f in small.schema)
-    if not rows:
-        return small.limit(0)
-    values = ", ".join("(" + ", ".join(quoted(v, k) for v, k in zip(r, kinds)) + ")" for r in rows)
-    return small.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+def leaf_table(small: DataFrame) -> DataFrame:
+    """A table with a row for each leaf, written in a few files, so that its size is known to the optimizer."""
+    return common.stored(small.coalesce(LEAF_FILES))
 
 
 def ending(sums: DataFrame, leaf: list[str], finer: DataFrame | None = None) -> DataFrame:
@@ -114,20 +114,27 @@ def ending(sums: DataFrame, leaf: list[str], finer: DataFrame | None = None) ->
     return finer.join(last, leaf).where(inside).select(*leaf, "__want", "__base", F.col("__bucket").alias("__b"), "__sum")
 
 
-def planned(docs: DataFrame, mix: Mixture) -> DataFrame:
-    """docs with the columns __tokens, __full (whole epochs taken), __part (tokens taken of one more epoch, null if none)."""
-    leaf = ["__domain", "__lang", "__source"]
-    sized = docs.withColumns(leaf_columns()).withColumn("__tokens", tokens(common.clean_text()))
-    plan = budgets(sized, mix).withColumn("__full", F.expr("CASE WHEN __there = 0 THEN 0 ELSE __budget div __there END"))
-    plan = inlined(plan.select(*leaf, "__full", (F.col("__budget") - F.col("__full") * F.col("__there")).alias("__want")))
-    keyed = sized.join(plan, leaf).withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), (F.col("__full") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    keyed = keyed.withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
-    sums = keyed.where("__want > 0").groupBy(*leaf, "__want", "__bucket").agg(F.sum("__tokens").alias("__sum"))
-    ends = ending(ending(sums.withColumn("__b", F.substring("__bucket", 1, BUCKET_DIGITS // 2)), leaf, sums), leaf)
-    ends = inlined(ends.select(*leaf, "__last", "__base"))
-    placed = keyed.join(ends, leaf, "left")
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with the columns of their leaf and __tokens."""
+    return docs.withColumns(leaf_columns()).withColumn("__tokens", tokens(common.clean_text()))
+
+
+def planned(rows: DataFrame, narrow: DataFrame, mix: Mixture) -> DataFrame:
+    """rows with the columns __full (whole epochs taken) and __part (tokens taken of one more epoch, null if none).
+
+    rows and narrow have doc_id, LEAF and __tokens of the same documents; narrow, a written table, is read for all sums."""
+    plan = budgets(narrow, mix).withColumn("__full", F.expr("CASE WHEN __there = 0 THEN 0 ELSE __budget div __there END"))
+    plan = leaf_table(plan.select(*LEAF, "__full", (F.col("__budget") - F.col("__full") * F.col("__there")).alias("__want")))
+
+    def keyed(table: DataFrame) -> DataFrame:
+        key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), (F.col("__full") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        return table.join(plan, LEAF).withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
+
+    sums = keyed(narrow).where("__want > 0").groupBy(*LEAF, "__want", "__bucket").agg(F.sum("__tokens").alias("__sum"))
+    ends = ending(ending(sums.withColumn("__b", F.substring("__bucket", 1, BUCKET_DIGITS // 2)), LEAF, sums), LEAF)
+    placed = keyed(rows).join(leaf_table(ends.select(*LEAF, "__last", "__base")), LEAF, "left")
     inside = placed.where("__bucket = __last")
-    order = W.partitionBy(*leaf).orderBy("__key", "doc_id", "__tokens").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*LEAF).orderBy("__key", "doc_id", "__tokens").rowsBetween(W.unboundedPreceding, -1)
     inside = inside.withColumn("__before", F.col("__base") + F.coalesce(F.sum("__tokens").over(order), F.lit(0)))
     inside = inside.withColumn("__part", F.when(F.col("__before") < F.col("__want"), F.least("__tokens", F.col("__want") - F.col("__before"))))
     outside = placed.where("__last IS NULL OR __bucket <> __last").withColumn("__before", F.lit(None).cast("long"))
@@ -137,7 +144,8 @@ def planned(docs: DataFrame, mix: Mixture) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     """doc_id, lang, source, epoch, n_tokens taken: a row for each time that a document is drawn."""
-    rows = planned(docs.select("doc_id", "text", "lang", "source"), mix)
+    narrow = common.stored(sized(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+    rows = planned(narrow, narrow, mix)
     drawn = F.concat(
         F.transform(F.sequence(F.lit(1), F.lit(mix.epochs + 1)), lambda e: F.when(e <= F.col("__full"), F.struct(e.cast("long").alias("epoch"), F.col("__tokens").alias("n_tokens")))),
         F.array(F.when(F.col("__part").isNotNull(), F.struct((F.col("__full") + 1).cast("long").alias("epoch"), F.col("__part").alias("n_tokens")))),
@@ -148,7 +156,9 @@ def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
 def kept(docs: DataFrame, mix: Mixture) -> DataFrame:
     """The rows of docs that a mixture of one epoch draws, whole, with their own columns."""
     once = Mixture(mix.domains, mix.languages, mix.other, mix.percent, 1, mix.seed)
-    return planned(docs, once).where("__full > 0 OR __part IS NOT NULL").select(*[f"`{c}`" for c in docs.columns])
+    rows = sized(docs)
+    narrow = common.stored(rows.select("doc_id", *LEAF, "__tokens"))
+    return planned(rows, narrow, once).where("__full > 0 OR __part IS NOT NULL").select(*[f"`{c}`" for c in docs.columns])
 
 
 def oracle(mix: Mixture = Mixture()) -> str:
