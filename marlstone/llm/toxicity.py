@@ -1,28 +1,36 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Word classes come first: insults (a seed list and word beginnings learned from labelled rows), threats, targets, negation,
-reported speech. Five small transducers run over the words of each clause that holds an insult or a threat: insult and
-threat emit a match, target strengthens it, negation in the three words before and reported speech before it weaken it.
-A threat needs a target on either side of it; pronouns that are always subjects are none before the verb.
-What is scored is the matched clause with its context, not the word alone; how much each context counts is calibrated on
-the labelled rows, from a prior that holds where no rows show otherwise.
+A clause is read as a string of word classes: insult, threat, target, negation, reported speech, other. Five transducers
+read it, each a table of states and arcs (INSULT, THREAT, TARGET, NEGATION, REPORT below): insult and threat emit a match;
+target knows whether one was named before; negation holds for the three words behind it; report holds up to the clause's
+end. Whether a target follows a match is not known yet when the match is read, so the target transducer is
+nondeterministic: it promises one or none, and only the path whose promises come true is accepted. compose() multiplies the
+five into one machine whose arcs emit a match in its context (plain, target, threat, negated, reported) or nothing. A path's
+weight is the product over its matches of one minus the match's weight times its context's share; a text's score is what
+its clauses' accepted paths leave of one. So it is the matched clause that counts, not the word alone.
+
+A threat needs a target on either side; pronouns that are always subjects are none before the verb. Insults are a seed list
+and words and stems (of STEMS letters) that labelled rows mark. How much each context counts is calibrated on the labelled
+rows, from a prior that holds where no rows show otherwise: by the prior a lone insult without a target isn't toxic.
 
 Labels are learned only from rows with crc32(doc_id) mod 4 other than 2, at most SAMPLE of them, picked by a hash. Nothing
 but the text goes into a score.
 
 Nulls: a null text counts as empty, a null id stays null and is not held out. Texts without a match get the share of toxic
-rows among such texts. Repeated rows score alike; a label that repeats counts as toxic if any of its rows does. Without
-labels the seed lists and priors work alone.
+rows among such texts, empty ones too. Repeated rows score alike; a label that repeats counts as toxic if any of its rows
+does. Words of equal gain are taken in the order of the alphabet. Long texts and long clauses are read whole, in linear
+time. Without labels the seed lists and priors work alone. An empty table gives an empty one. Other columns stay as they
+are, also one named score, which without_toxic() keeps.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import math
 import re
 import zlib
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,110 +53,158 @@ SUBJECTS = "he she they du tú"
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't nicht kein keine nie niemals ne pas jamais aucun no nunca jamás ni sin"
 REPORTS = "said says wrote writes claimed claims reported quoted quotes alleged sagte schrieb behauptete dit écrit affirme dijo escribió afirmó"
 #: Before any labelled row is seen: how likely a clause of each context makes its text toxic, and how many rows that weighs.
-PRIORS = {"plain": 0.8, "target": 0.9, "threat": 0.9, "negated": 0.25, "reported": 0.25}
+PRIORS = {"plain": 0.25, "target": 0.9, "threat": 0.9, "negated": 0.2, "reported": 0.2}
 PRIOR_ROWS = 4.0
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.,;:!?\n|()\"«»]+")
-BEGINNINGS = range(3, 8)
+#: Letters of learned stems, which stand for all words that begin with them.
+STEMS = range(5, 8)
+LEAST_LETTERS = 3  # of learned whole words
 LEAST_TEXTS = 3
-MOST_ENTRIES = 2000
+
+#: Word classes, as bits of a symbol. A target that can be an object has both of the last two.
+I, H, N, R, SUBJECT, OBJECT = 1, 2, 4, 8, 16, 32
 
 
 def words_of(text: str) -> frozenset[str]:
     return frozenset(text.split())
 
 
-class Clause:
-    """The words of a whole clause, with the first and last places of each class, so that all its matches take linear time."""
-
-    def __init__(self, low: str, begin: int, limit: int, sets: dict[str, frozenset[str]]):
-        self.low, self.sets = low, sets
-        found = list(WORD.finditer(low, begin, limit))
-        self.words = [m[0] for m in found]
-        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
-        places = {k: [i for i, w in enumerate(self.words) if w in v] for k, v in sets.items() if k != "negated"}
-        self.reported = min(places["reported"], default=len(found))
-        self.target = min(places["target"], default=len(found))
-        self.object = min((i for i in places["target"] if self.words[i] not in sets["subject"]), default=len(found))
-        self.last_target = max(places["target"], default=-1)
-
-    def context(self, start: int, end: int) -> tuple[str, bool]:
-        """The context that the words before and after a match put it in, and whether a threat there has a target."""
-        n, k = bisect_right(self.ends, start), bisect_left(self.starts, end)
-        # What stands before and after the match within its own word, as in "d'idiot".
-        left = WORD.findall(self.low, self.starts[n], start) if n < k and self.starts[n] < start else []
-        right = WORD.findall(self.low, end, self.ends[k - 1]) if n < k and self.ends[k - 1] > end else []
-        sets = self.sets
-        behind = self.last_target >= k or not sets["target"].isdisjoint(right)
-        aimed = behind or self.object < n or any(w in sets["target"] and w not in sets["subject"] for w in left)
-        if self.reported < n or not sets["reported"].isdisjoint(left):
-            return "reported", aimed
-        if not sets["negated"].isdisjoint([*self.words[max(0, n - 3) : n], *left][-3:]):
-            return "negated", aimed
-        return "target" if behind or self.target < n or not sets["target"].isdisjoint(left) else "plain", aimed
+#: The transducers: state -> (class of the word read -> next state), None for any other word.
+NEGATION = {0: {N: 3, None: 0}, 1: {N: 3, None: 0}, 2: {N: 3, None: 1}, 3: {N: 3, None: 2}}
+REPORT = {"own": {R: "reported", None: "own"}, "reported": {R: "reported", None: "reported"}}
+#: What was named before a match: nobody, somebody as a subject, somebody who can be an object.
+TARGET = {"none": {OBJECT: "object", SUBJECT: "subject", None: "none"}, "subject": {OBJECT: "object", SUBJECT: "subject", None: "subject"}, "object": {OBJECT: "object", SUBJECT: "object", None: "object"}}
+#: What a match may promise about targets behind it, by the promise that is open, and the promise open then.
+PROMISES = {"free": {True: "owed", False: "barred"}, "owed": {True: "owed"}, "barred": {False: "barred"}}
+#: What a target does to an open promise: one that is owed is given, one that is barred ends the path.
+GIVEN = {"free": "free", "owed": "free"}
+ACCEPTED = ("free", "barred")
+#: One state each; the word classes at which they emit a match.
+INSULT, THREAT = {"at": I}, {"at": H}
+START = (0, "own", "none", "free")
+
+
+def context(kind: int, negated: int, report: str, target: str, behind: bool) -> str | None:
+    """The context of a match that the composed machine emits; None for a threat that is aimed at nobody."""
+    if kind == THREAT["at"] and not (behind or target == "object"):
+        return None
+    if report == "reported":
+        return "reported"
+    if negated:
+        return "negated"
+    if kind == THREAT["at"]:
+        return "threat"
+    return "target" if behind or target != "none" else "plain"
+
+
+@functools.cache
+def compose(state: tuple, symbol: int) -> tuple[tuple[tuple, str | None, bool], ...]:
+    """The arcs of the product of all five transducers from a state for a symbol: (next state, context emitted, is it a match?)."""
+    negated, report, target, promise = state
+    made = [(promise, None, False)]
+    for kind in (INSULT["at"], THREAT["at"]):
+        if symbol & kind:
+            made = [(to, context(kind, negated, report, target, behind), True) for behind, to in PROMISES[promise].items()]
+            break
+    step = lambda machine, at, *classes: next((machine[at][c] for c in classes if symbol & c), machine[at][None])
+    after = (step(NEGATION, negated, N), step(REPORT, report, R), step(TARGET, target, OBJECT, SUBJECT))
+    if symbol & (SUBJECT | OBJECT):
+        made = [(GIVEN[to], emitted, match) for to, emitted, match in made if to in GIVEN]
+    return tuple(((*after, to), emitted, match) for to, emitted, match in made)
+
+
+def accepted(symbols: list[tuple[int, float]]) -> list[tuple[str, float]]:
+    """(context, weight) of the matches on the one accepted path over a clause's symbols with their words' weights."""
+    paths: dict[tuple, tuple | None] = {START: None}  # each state's matches, the last one first
+    for symbol, weight in symbols:
+        ahead = {}
+        for state, held in paths.items():
+            for to, emitted, _ in compose(state, symbol):
+                ahead[to] = (held, emitted, weight) if emitted else held
+        paths = ahead
+    held = next(held for state, held in paths.items() if state[3] in ACCEPTED)
+    out = []
+    while held:
+        held, emitted, weight = held
+        out.append((emitted, weight))
+    return out[::-1]
 
 
 @dataclass
 class Grammar:
-    """Learned beginnings and whole words with their weights, the contexts' shares, the share without a match."""
+    """Learned stems and whole words (with a blank behind) and their weights, the contexts' shares, the share without a match."""
 
-    beginnings: dict[str, float] = field(default_factory=dict)
+    learned: dict[str, float] = field(default_factory=dict)
     contexts: dict[str, float] = field(default_factory=lambda: dict(PRIORS))
     base: float = 0.02
 
     def __post_init__(self):
         import ahocorasick
 
-        self.sets = {k: words_of(v) for k, v in (("target", TARGETS), ("subject", SUBJECTS), ("negated", NEGATIONS), ("reported", REPORTS))}
+        self.classes: dict[str, int] = {}
+        for text, bits in ((INSULTS, I), (THREATS, H), (NEGATIONS, N), (REPORTS, R), (TARGETS, SUBJECT | OBJECT)):
+            for word in words_of(text):
+                self.classes[word] = self.classes.get(word, 0) | bits
+        for word in words_of(SUBJECTS):
+            self.classes[word] &= ~OBJECT
+        self.weights = {w: 1.0 for w, bits in self.classes.items() if bits & (I | H)}
+        self.stems = {}
+        for word, weight in self.learned.items():
+            if word.endswith(" "):
+                self.classes[word[:-1]] = self.classes.get(word[:-1], 0) | I
+                self.weights.setdefault(word[:-1], weight)
+            else:
+                self.stems[word] = weight
         self.automaton = ahocorasick.Automaton()
-        for word in words_of(INSULTS):
-            self.automaton.add_word(word, (len(word), True, "insult", 1.0))
-        for word in words_of(THREATS):
-            self.automaton.add_word(word, (len(word), True, "threat", 1.0))
-        for word, weight in self.beginnings.items():
-            self.automaton.add_word(word, (len(word), False, "insult", weight))
+        for word in (*self.weights, *self.stems):
+            self.automaton.add_word(word, len(word))
         self.automaton.make_automaton()
 
+    def symbols(self, clause: str) -> list[tuple[int, float]]:
+        """The class and the weight of each word; a word with an apostrophe that no list has is two."""
+        out = []
+        for word in WORD.findall(clause):
+            for part in [word] if word in self.classes or "'" not in word else word.split("'"):
+                bits, weight = self.classes.get(part, 0), self.weights.get(part, 0.0)
+                if not bits & (I | H) and len(part) >= STEMS[0]:
+                    weight = max((self.stems.get(part[:n], 0.0) for n in STEMS), default=0.0)
+                    bits |= I if weight else 0
+                out.append((bits, weight))
+        return out
+
     def matches(self, text: str) -> list[tuple[str, float]]:
-        """(context, weight) of each matched clause part of a text."""
-        low, hits, out = text.lower(), [], []
-        for last, (length, whole, kind, weight) in self.automaton.iter(low):
-            start, end = last - length + 1, last + 1
-            if start and low[start - 1].isalpha() or whole and end < len(low) and low[end].isalpha():
-                continue
-            hits.append((start, end, kind, weight))
+        """(context, weight) of each match of a text, clause by clause; only clauses that hold an insult or a threat are read."""
+        low = text.lower()
+        hits = [last - length + 1 for last, length in self.automaton.iter(low) if last < length or not low[last - length].isalpha()]
+        out: list[tuple[str, float]] = []
         if not hits:
             return out
-        breaks, begin, limit, after, clause = CLAUSE.finditer(low), 0, -1, 0, None
-        for start, end, kind, weight in hits:  # in the order of their ends
-            while end > limit:
-                begin, mark, clause = after, next(breaks, None), None
-                limit, after = mark.span() if mark else (len(low), len(low))
-            if clause is None:
-                clause = Clause(low, begin, limit, self.sets)
-            context, aimed = clause.context(start, end)
-            if kind == "threat":
-                if not aimed:
-                    continue  # a threat is aimed at somebody
-                context = "threat" if context == "target" else context
-            out.append((context, weight))
+        breaks, begin, limit, after = CLAUSE.finditer(low), 0, -1, 0
+        for start in sorted(hits):
+            if start < limit:
+                continue  # in the clause that was read last
+            while start >= limit:
+                mark, begin = next(breaks, None), after
+                limit, after = mark.span() if mark else (len(low) + 1, len(low))
+            out += accepted(self.symbols(low[begin:limit]))
         return out
 
     def score(self, text: str) -> float:
         """Chance that any of the matched clauses makes the text toxic."""
         clean = 1.0 - self.base
-        for context, weight in self.matches(text):
-            clean *= 1.0 - min(0.999, weight * self.contexts[context])
+        for kind, weight in self.matches(text):
+            clean *= 1.0 - min(0.999, weight * self.contexts[kind])
             if clean < 1e-6:
                 break
         return 1.0 - clean
 
 
 def features(text: str) -> set[str]:
-    """Word beginnings of a text, and its longer words."""
+    """The words of a text, with a blank behind, and the stems of longer ones."""
     words = set(WORD.findall(text.lower()))
-    out = {w for w in words if len(w) >= BEGINNINGS[0]}
-    for size in BEGINNINGS:
+    out = {f"{w} " for w in words if len(w) >= LEAST_LETTERS}
+    for size in STEMS:
         out.update([w[:size] for w in words if len(w) > size])
     return out
 
@@ -166,7 +222,7 @@ def families(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 
 def lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Word beginnings that stand in toxic texts far too often for chance; of beginnings that stand in the same number, the longest."""
+    """Words and stems that stand in toxic texts far too often for chance; a stem only where it covers more of them than its words do alone."""
     rows = families(rows)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for text, toxic in rows:
@@ -174,20 +230,21 @@ def lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
     toxic = sum(y for _, y in rows)
     base = min(0.5, max(0.02, toxic / max(1, len(rows))))
     needed = math.log(len(counts[1]) + 1) + 3
+    seeds = words_of(INSULTS) | words_of(THREATS)
     fit_for = {}
     for word, hit in counts[1].items():
         miss = counts[0][word]
-        if hit >= LEAST_TEXTS and hit >= 4 * miss:
+        if hit >= LEAST_TEXTS and hit >= 4 * miss and word.rstrip() not in seeds:
             share = hit / (hit + miss)
             gain = hit * math.log(share / base) + (miss * math.log((1 - share) / (1 - base)) if miss else 0)
             if gain >= needed:
                 fit_for[word] = (hit + 1) / (hit + miss + 2)
-    covered = {parent for word in fit_for for n in BEGINNINGS if (parent := word[:n]) != word and counts[1][parent] == counts[1][word] and parent in fit_for}
     kept: dict[str, float] = {}
-    for word in sorted(fit_for.keys() - covered, key=lambda w: (len(w), w)):
-        if not any(kept.get(word[:n], 0) >= fit_for[word] - 0.02 for n in BEGINNINGS if n < len(word)):
+    for word in sorted(fit_for, key=lambda w: (not w.endswith(" "), -len(w), w)):  # whole words first, then the longest stems
+        inside = [w for w in (*kept, *(f"{x} " for x in seeds)) if w.startswith(word)]
+        if all(counts[1][word] > counts[1][w] + counts[1][w] // 4 for w in inside):
             kept[word] = fit_for[word]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
+    return dict(sorted(kept.items()))
 
 
 def learned(rows: list[tuple[str, int]]) -> Grammar:
@@ -201,11 +258,11 @@ def learned(rows: list[tuple[str, int]]) -> Grammar:
         if not contexts:
             quiet[toxic] += 1
         if len(contexts) == 1:
-            (context,) = contexts
-            hits[context] += toxic
-            seen[context] += 1
+            (only,) = contexts
+            hits[only] += toxic
+            seen[only] += 1
     shares = {c: (hits[c] + PRIOR_ROWS * p) / (seen[c] + PRIOR_ROWS) for c, p in PRIORS.items()}
-    return Grammar(grammar.beginnings, shares, (quiet[1] + 0.02 * 50) / (sum(quiet) + 50))
+    return Grammar(grammar.learned, shares, (quiet[1] + 0.02 * 50) / (sum(quiet) + 50))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -226,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         for batch in batches:
             held += zip(batch.column(0).to_pylist(), map(int, batch.column(1).to_pylist()))
         g = learned(sorted(held))
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([g.beginnings, g.contexts, g.base])])], names=["grammar"])
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([g.learned, g.contexts, g.base])])], names=["grammar"])
 
     common.small_batches(docs.sparkSession)
     made = rows.select("__text", "__toxic").repartition(1).mapInArrow(common.frugal(run), "grammar string").collect()
@@ -236,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
 def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """docs with a score."""
     common.small_batches(docs.sparkSession)
-    made = json.dumps([grammar.beginnings, grammar.contexts, grammar.base])
+    made = json.dumps([grammar.learned, grammar.contexts, grammar.base])
     at = docs.columns.index(text_col)
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
 

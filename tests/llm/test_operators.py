@@ -243,9 +243,13 @@ def test_secrets_on_odd_rows(odd, wider, none):
 
 def removed_by_force(rows):
     seen = collections.Counter()
-    for _, t in rows:
+    owners = collections.defaultdict(set)
+    for doc_id, t in rows:
         b = (t or "").encode()
         seen.update(b[s : s + 400] for s in range(len(b) - 399))
+        w = b.split()
+        for s in range(len(w) - 50):
+            owners[tuple(w[s : s + 51])].add((doc_id, b))
     out = []
     for doc_id, t in rows:
         b = (t or "").encode()
@@ -254,22 +258,36 @@ def removed_by_force(rows):
             if seen[b[s : s + 400]] > 1:
                 gone[s : s + 400] = b"\1" * 400
         spans = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
-        out.append((doc_id, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+        w = b.split()
+        passage = any(len(owners[tuple(w[s : s + 51])]) > 1 for s in range(len(w) - 50))
+        out.append((doc_id, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), passage))
     return pairs(out)
 
 
-@pytest.mark.parametrize("group", [1000, 7])
-def test_suffixes_equal_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(suffixes, "GROUP", group)
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_suffixes_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
     rng = random.Random(2)
     make = lambda n: " ".join(rng.choice(["the", "ing", "ßä", "foo", "zed", "q"]) + rng.choice("abcdefgh") for _ in range(n))
     p, q, r = make(200), make(90), make(150)
+    w, v = make(120).split(), make(300)
     rows = [(1, make(50) + p + make(60)), (2, p), (3, p[:500] + make(100) + p[300:]), (4, q + make(5) + q + make(3) + q), (5, "For " * 400), (6, "For " * 300 + make(20)), (7, "x" * 399), (8, "y" * 400), (9, "z" * 401)]
     rows += [(10, None), (11, ""), (12, r), (12, r), (13, r + "!"), (None, make(100) + p[200:900])] + [(100 + k, make(30) + p[k * 9 : k * 9 + 700] + make(30)) for k in range(20)]
+    # runs of 50, 51 and 52 words, with other white space between; a text that repeats only within itself
+    rows += [(200 + k, f"{make(30)}\n{sep.join(w[k : k + n])}\t{make(9)}") for k, (n, sep) in enumerate([(50, " "), (52, "  "), (51, "\n"), (50, " ")])] + [(300, v + " " + v)]
+    # a common passage in many surroundings, and near copies of it with edits at any place
+    rows += [(400 + k, make(40) + p[:650] + make(40)) for k in range(30)] + [(500 + k, v[: 30 * k] + "#" + v[30 * k + 1 :]) for k in range(25)]
     found = suffixes.report(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, key int"))
     assert pairs(found.collect()) == removed_by_force(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_suffixes_of_few_letters(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, "".join(rng.choice("ab") for _ in range(300)) * rng.randint(1, 4) + " a" * rng.randint(0, 300) + "b" * rng.randint(0, 500)) for k in range(40)]
+    assert pairs(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == removed_by_force(rows)
+
+
 def test_suffixes_of_an_empty_table(none):
     assert not suffixes.report(none).count()
 
