@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -84,6 +85,12 @@ def released(df: DataFrame) -> None:
     _dropped(df.sparkSession, df._stored_at)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of finished jobs now: it does so when the driver collects their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _dropped(spark: SparkSession, path: str) -> None:
     try:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -244,12 +244,12 @@ def test_secrets_on_odd_rows(odd, wider, none):
 def removed_by_force(rows):
     seen = collections.Counter()
     owners = collections.defaultdict(set)
-    for doc_id, t in rows:
+    for k, (_, t) in enumerate(rows):
         b = (t or "").encode()
         seen.update(b[s : s + 400] for s in range(len(b) - 399))
         w = b.split()
         for s in range(len(w) - 50):
-            owners[tuple(w[s : s + 51])].add((doc_id, b))
+            owners[tuple(w[s : s + 51])].add(k)
     out = []
     for doc_id, t in rows:
         b = (t or "").encode()
