@@ -2,10 +2,14 @@
 
 The canonical form is lower case, without copyright lines, with equivalent spellings made one, punctuation turned into
 spaces and white space into single ones. What is looked up are entire texts: the document as a whole, and each of its
-lines, as notices stand on lines of their own. The known digests are a small fixed table, so the join broadcasts it.
-
-Nulls: a null text counts as empty, a null id stays null. Empty texts match nothing. Repeated rows each give a row, and a
-notice that repeats within a document counts once in the list and each time in the number of lines. Extra columns are ignored.
+lines, as notices stand on lines of their own, both of any length. Texts are read once; digests of what may be known, by a
+bitmap of the known forms' hashes, are kept as a narrow table, which is hash-joined with the table of known digests. That
+table and the bitmap have the size of the list of licences.
+
+Nulls: a null text counts as empty, a null id stays null. Empty texts match nothing. Long texts and lines are looked up
+whole. Repeated rows each give a row, and a notice that repeats within a document counts once in the list and each time in
+the number of lines. Of licences with equal texts the first by name counts. An empty table gives an empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,6 +73,8 @@ ENDING = "END OF TERMS AND CONDITIONS"
 #: Spellings that count as the same: (pattern over lower-case text, one spelling). Fixed values; Java and RE2 read them alike.
 SPELLINGS = (("licence", "license"), ("licensing", "license"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("https?://", ""), ("creative commons attribution", "cc by"), ("&", " and "))
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Slots of the bitmap of known forms.
+SLOTS = 1 << 16
 PUNCTUATION = r"[^\pL\pN]+"
 PUNCTUATION_IN_LINE = r"[^\pL\pN\n]+"
 
@@ -120,13 +126,6 @@ def canonical(text: Column, whole: bool = True) -> Column:
     return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
 
 
-def known(spark, licences=KNOWN) -> DataFrame:
-    """(license, digest, n) of the known texts, n the length of the canonical form; its size is that of the list."""
-    rows = spark.createDataFrame([*licences], "license string, text string")
-    form = canonical(F.col("text"))
-    return rows.select("license", F.md5(form).alias("digest"), F.length(form).alias("n")).distinct()
-
-
 def lines_of(text: Column) -> Column:
     """The canonical forms of all lines of a text: what canonical(line, whole=False) gives for each, in one pass over the text."""
     out = F.lower(text)
@@ -137,19 +136,28 @@ def lines_of(text: Column) -> Column:
 
 def scan(docs: DataFrame, licences=KNOWN) -> DataFrame:
     """doc_id, whether the whole text is a known licence, the licences found, and on how many lines."""
-    table = known(docs.sparkSession, licences).groupBy("digest").agg(F.min("license").alias("license"), F.min("n").alias("n"))
-    # One row: the digest table as a map, and how long the canonical forms in it are; others can't match and aren't hashed.
-    names = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("__names"), F.min("n").alias("__least"), F.max("n").alias("__most"))
-    fits = lambda x: F.length(x).between(F.col("__least"), F.col("__most"))
+    slot = lambda form: F.pmod(F.xxhash64(form), F.lit(SLOTS)).cast("int")
+    forms = docs.sparkSession.createDataFrame([*licences], "license string, text string").select("license", canonical(F.col("text")).alias("form"))
+    bits = bytearray(SLOTS)
+    for (taken,) in forms.select(slot(F.col("form"))).distinct().collect():  # at most as many as the list is long
+        bits[taken] = 1
+    held = F.lit(bytes(bits))
+    maybe = lambda form: F.substr(held, slot(form) + 1, F.lit(1)) == F.lit(b"\x01")
+    table = common.stored(forms.groupBy(F.md5("form").alias("digest")).agg(F.min("license").alias("license")).coalesce(1))
     text = common.clean_text()
-    rows = docs.select("doc_id", canonical(text).alias("__text"), lines_of(text).alias("__lines")).crossJoin(F.broadcast(names))
-    found = rows.select(
+    rows = docs.select("doc_id", canonical(text).alias("__text"), lines_of(text).alias("__lines"))
+    rows = rows.select(
         "doc_id",
-        F.when(fits(F.col("__text")), F.col("__names")[F.md5(F.col("__text"))]).alias("__whole"),
-        F.filter(F.transform(F.filter("__lines", fits), lambda x: F.col("__names")[F.md5(x)]), lambda x: x.isNotNull()).alias("__found"),
+        F.monotonically_increasing_id().alias("__row"),
+        F.when(maybe(F.col("__text")), F.md5("__text")).alias("digest"),
+        F.transform(F.filter("__lines", maybe), F.md5).alias("__found"),
     )
-    both = F.array_sort(F.array_distinct(F.array_union("__found", F.when(F.col("__whole").isNotNull(), F.array("__whole")).otherwise(F.array().cast("array<string>")))))
-    return found.select("doc_id", F.col("__whole").isNotNull().alias("whole_text"), F.array_join(both, ",").alias("licenses"), F.size("__found").cast("long").alias("n_lines"))
+    rows = common.stored(rows)  # numbers of rows are fixed from here on
+    found = rows.select("__row", F.explode("__found").alias("digest")).join(table, "digest").withColumn("__line", F.lit(1))
+    whole = rows.select("__row", "digest").join(table, "digest").withColumn("__line", F.lit(0))
+    by_row = found.unionByName(whole).groupBy("__row").agg(F.array_sort(F.collect_set("license")).alias("names"), F.sum("__line").alias("n"), (F.min("__line") == 0).alias("whole"))  # no more names than the list has
+    out = rows.select("doc_id", "__row").join(by_row, "__row", "left")
+    return out.select("doc_id", F.coalesce("whole", F.lit(False)).alias("whole_text"), F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses"), F.coalesce("n", F.lit(0).cast("long")).alias("n_lines"))
 
 
 def oracle(licences=KNOWN) -> str:
