@@ -5,11 +5,14 @@ footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hi
 class or id alone stays if it holds most of the page's text and no article or main element apart from it does in its place. Each node that stays
 gets its composite density: characters per tag, made smaller the more of its text is links; the sum of its children's
 densities is its density sum. The search starts at the page's article or main element, if it holds most of the text, else
-at the body. From the node of the largest sum the path up to there gives the threshold, the least density on it. Side
-branches below it go if they are mostly links or, where the body is searched, containers; the rest is the text.
+at the body. From the node of the largest sum the path up to there gives the threshold, the least density on it. Where the
+body is searched, side branches below it go if they are containers or mostly links; within an article, if their class or id
+is a name of what is no article text (adverts and comments go there in any case). The rest is the text.
 
 Nulls: a null page gives an empty text, a null id stays null. Empty pages and pages without text give "". Repeated rows
-each give a row. Unclosed and truncated markup is closed at the end; a tag cut off by the end is dropped.
+each give a row. Of nodes with equal sums the first counts. Long pages are read whole. Unclosed and truncated markup is
+closed at the end; a tag cut off by the end is dropped. An empty table gives an empty one. Other columns are ignored,
+whatever their names; a name of the result that is among `keep` comes from there.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import common
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
+#: Quotes delimit a value only right behind the equals sign; elsewhere they are characters like others.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
 #: Element kinds of HTML by their role here. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +50,8 @@ NAMES = re.compile(
     r"newsletter|subscribe|signup|login|search|pagination|pager|toolbar|copyright|skip|hidden|sr-only)(?:$|[\s_-])",
     re.I,
 )
+#: Those of adverts and reader comments, which are no article text inside an article either.
+FOREIGN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CONTENT_KINDS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Share of the page's characters above which an element isn't dropped for its class or id.
@@ -55,25 +61,33 @@ ARTICLE_SHARE = 0.3
 LINK_SHARE = 0.5
 
 
+def values_of(attributes: str) -> dict[str, str]:
+    """An element's attributes; of equal names the first."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        out.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value))
+    return out
+
+
 def boilerplate(kind: str, attributes: str, inside: bool) -> bool:
     """Is the element no article text by its kind, role or style? inside: of an article."""
     if kind in DROPPED or kind == "header" and not inside:
         return True
     if not attributes or kind in ("html", "body", "article", "main"):
         return False
-    values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+    values = values_of(attributes)
     if "hidden" in values or values.get("aria-hidden") == "true" or HIDDEN.search(values.get("style", "")):
         return True
     return values.get("role", "").lower() in ROLES
 
 
-def named(kind: str, attributes: str) -> int:
-    """2 if a class or the id of the element is a name of what is no article text, 1 if a part of one is, else 0."""
+def named(kind: str, attributes: str, names: re.Pattern) -> int:
+    """2 if a class or the id of the element is one of the names, 1 if a part of one is, else 0."""
     if not attributes or kind in ("html", "body", "article", "main"):
         return 0
-    values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    names = [values.get(k, "") for k in ("class", "id")]
-    return any(map(NAMES.search, names)) + any(NAMES.fullmatch(x) for v in names for x in v.split())
+    values = values_of(attributes)
+    held = [values.get(k, "") for k in ("class", "id")]
+    return any(map(names.search, held)) + any(names.fullmatch(x) for v in held for x in v.split())
 
 
 class Tree:
@@ -81,6 +95,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.kind, self.parent, self.named = [""], [-1], [0]
+        self.aside = [False]  # is the element, inside an article, named like what is no article text?
         self.flow: list[tuple[int, str]] = []  # (node, text), or (node, "\n\n") where a block begins or ends
         stack, dropped, articles, at, n = [0], 0, 0, 0, len(page)
         names = [""]  # of the elements on the stack
@@ -159,7 +174,9 @@ class Tree:
             else:
                 self.kind.append(name)
                 self.parent.append(stack[-1])
-                self.named.append(named(name, m[3]))
+                within = articles > (name in ("article", "main"))
+                self.named.append(named(name, m[3], FOREIGN if within else NAMES))
+                self.aside.append(within and named(name, m[3], NAMES) > 0)
                 stack.append(len(self.kind) - 1)
             names.append(name)
             skip.append(out)
@@ -198,6 +215,7 @@ class Tree:
         self.flow = [(kept[node], piece) for node, piece in self.flow if not out[node]]
         self.parent = [-1, *(kept[self.parent[i]] for i in range(1, n) if not out[i])]
         self.kind = [k for k, gone in zip(self.kind, out) if not gone]
+        self.aside = [k for k, gone in zip(self.aside, out) if not gone]
 
     def measures(self) -> tuple[list[int], list[float], list[float], list[float]]:
         """By node: characters, share of them in links, density, density sum."""
@@ -251,8 +269,11 @@ class Tree:
             if not kept[i] or not kept[p]:
                 kept[i] = False
             elif i not in path and density[i] < least and self.kind[i] in BLOCKS and chars[i]:
-                side = not scope and p in path and not below[i] and self.kind[i] not in CONTENT_KINDS
-                kept[i] = not side and linked[i] < LINK_SHARE
+                if scope:  # within an article links are text, and only names and density together tell what isn't
+                    kept[i] = not self.aside[i]
+                else:
+                    side = p in path and not below[i] and self.kind[i] not in CONTENT_KINDS
+                    kept[i] = not side and linked[i] < LINK_SHARE
         parts, blocks = [], []
         for node, piece in self.flow:
             if piece == "\n\n":
