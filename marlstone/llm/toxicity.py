@@ -10,7 +10,8 @@ weight is the product over its matches of one minus the match's weight times its
 its clauses' accepted paths leave of one. So it is the matched clause that counts, not the word alone.
 
 A threat needs a target on either side; pronouns that are always subjects are none before the verb. Insults are a seed list
-and words and stems (of STEMS letters) that labelled rows mark. How much each context counts is calibrated on the labelled
+and words and stems (of STEMS letters) that labelled rows mark. A learned one, which may stand in any text by chance, is an
+insult only in a text in which at least one word in SPARSE has it. How much each context counts is calibrated on the labelled
 rows, from a prior that holds where no rows show otherwise: by the prior a lone insult without a target isn't toxic.
 
 Labels are learned only from rows with crc32(doc_id) mod 4 other than 2, at most SAMPLE of them, picked by a hash. Nothing
@@ -58,7 +59,9 @@ PRIOR_ROWS = 4.0
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.,;:!?\n|()\"«»]+")
 #: Letters of learned stems, which stand for all words that begin with them.
-STEMS = range(5, 8)
+STEMS = range(5, 9)
+#: Learned words and stems count in a text if they make up one in so many of its words at least.
+SPARSE = 125
 LEAST_LETTERS = 3  # of learned whole words
 LEAST_TEXTS = 3
 
@@ -157,18 +160,20 @@ class Grammar:
             else:
                 self.stems[word] = weight
         self.automaton = ahocorasick.Automaton()
-        for word in (*self.weights, *self.stems):
-            self.automaton.add_word(word, len(word))
+        for word in {*self.weights, *self.stems}:
+            self.automaton.add_word(word, word)
         self.automaton.make_automaton()
 
-    def symbols(self, clause: str) -> list[tuple[int, float]]:
-        """The class and the weight of each word; a word with an apostrophe that no list has is two."""
+    def symbols(self, clause: str, dense: frozenset[str] | None = None) -> list[tuple[int, float]]:
+        """The class and the weight of each word; a word with an apostrophe that no list has is two. dense: the learned words and stems that count."""
         out = []
         for word in WORD.findall(clause):
             for part in [word] if word in self.classes or "'" not in word else word.split("'"):
                 bits, weight = self.classes.get(part, 0), self.weights.get(part, 0.0)
+                if bits & I and f"{part} " in self.learned and dense is not None and part not in dense:
+                    bits, weight = bits & ~I, 0.0
                 if not bits & (I | H) and len(part) >= STEMS[0]:
-                    weight = max((self.stems.get(part[:n], 0.0) for n in STEMS), default=0.0)
+                    weight = max((self.stems.get(part[:n], 0.0) for n in STEMS if dense is None or part[:n] in dense), default=0.0)
                     bits |= I if weight else 0
                 out.append((bits, weight))
         return out
@@ -176,18 +181,21 @@ class Grammar:
     def matches(self, text: str) -> list[tuple[str, float]]:
         """(context, weight) of each match of a text, clause by clause; only clauses that hold an insult or a threat are read."""
         low = text.lower()
-        hits = [last - length + 1 for last, length in self.automaton.iter(low) if last < length or not low[last - length].isalpha()]
+        hits = [(last - len(word) + 1, word) for last, word in self.automaton.iter(low) if last < len(word) or not low[last - len(word)].isalpha()]
         out: list[tuple[str, float]] = []
         if not hits:
             return out
+        times = Counter(word for start, word in hits if word in self.stems or not low[start + len(word) : start + len(word) + 1].isalpha())
+        least = len(low.split()) / SPARSE
+        dense = frozenset(word for word, n in times.items() if n >= least)
         breaks, begin, limit, after = CLAUSE.finditer(low), 0, -1, 0
-        for start in sorted(hits):
-            if start < limit:
-                continue  # in the clause that was read last
+        for start, word in sorted(hits):
+            if start < limit or word not in dense and (word in self.stems or f"{word} " in self.learned):
+                continue  # in the clause that was read last, or learned and rare
             while start >= limit:
                 mark, begin = next(breaks, None), after
                 limit, after = mark.span() if mark else (len(low) + 1, len(low))
-            out += accepted(self.symbols(low[begin:limit]))
+            out += accepted(self.symbols(low[begin:limit], dense))
         return out
 
     def score(self, text: str) -> float:
@@ -201,12 +209,15 @@ class Grammar:
 
 
 def features(text: str) -> set[str]:
-    """The words of a text, with a blank behind, and the stems of longer ones."""
-    words = set(WORD.findall(text.lower()))
-    out = {f"{w} " for w in words if len(w) >= LEAST_LETTERS}
-    for size in STEMS:
-        out.update([w[:size] for w in words if len(w) > size])
-    return out
+    """The words of a text, with a blank behind, and the stems of longer ones that make up one in SPARSE of its words at least."""
+    counts = Counter(WORD.findall(text.lower()))
+    times = Counter({f"{w} ": n for w, n in counts.items() if len(w) >= LEAST_LETTERS})
+    for word, n in counts.items():
+        for size in STEMS:
+            if len(word) > size:
+                times[word[:size]] += n
+    least = len(text.split()) / SPARSE
+    return {word for word, n in times.items() if n >= least}
 
 
 def families(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -222,7 +233,7 @@ def families(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 
 def lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Words and stems that stand in toxic texts far too often for chance; a stem only where it covers more of them than its words do alone."""
+    """Words and stems that stand in toxic texts far too often for chance, without those that another one covers."""
     rows = families(rows)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for text, toxic in rows:
@@ -231,18 +242,19 @@ def lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
     base = min(0.5, max(0.02, toxic / max(1, len(rows))))
     needed = math.log(len(counts[1]) + 1) + 3
     seeds = words_of(INSULTS) | words_of(THREATS)
-    fit_for = {}
+    fit_for, gains = {}, {}
     for word, hit in counts[1].items():
         miss = counts[0][word]
         if hit >= LEAST_TEXTS and hit >= 4 * miss and word.rstrip() not in seeds:
             share = hit / (hit + miss)
             gain = hit * math.log(share / base) + (miss * math.log((1 - share) / (1 - base)) if miss else 0)
             if gain >= needed:
-                fit_for[word] = (hit + 1) / (hit + miss + 2)
+                fit_for[word], gains[word] = (hit + 1) / (hit + miss + 2), gain
     kept: dict[str, float] = {}
-    for word in sorted(fit_for, key=lambda w: (not w.endswith(" "), -len(w), w)):  # whole words first, then the longest stems
+    for word in sorted(fit_for, key=lambda w: (-gains[w], w)):  # what tells most first
+        wider = any(word.startswith(x) for x in kept if not x.endswith(" "))
         inside = [w for w in (*kept, *(f"{x} " for x in seeds)) if w.startswith(word)]
-        if all(counts[1][word] > counts[1][w] + counts[1][w] // 4 for w in inside):
+        if not wider and all(4 * counts[1][word] > 5 * counts[1][w] for w in inside):
             kept[word] = fit_for[word]
     return dict(sorted(kept.items()))
 
