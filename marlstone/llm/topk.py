@@ -108,7 +108,7 @@ def best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, names: np.nd
             both = np.concatenate([top[own], scores], axis=1)
             where = np.concatenate([rows[own], np.broadcast_to(able + a, scores.shape)], axis=1)
             cut = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
-            near = np.nonzero(both >= cut[:, None])
+            near = np.nonzero((both >= cut[:, None]) & ~np.isneginf(both))
             keep = where[near] >= 0
             r, w, s = near[0][keep], where[near][keep], both[near][keep]
             sort = np.lexsort((names[w], -s, r))
