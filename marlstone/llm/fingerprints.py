@@ -1,17 +1,22 @@
 """Document fingerprints: sketches that keep every shingle hash below a fixed fraction of the hash range.
 
-Shingles are runs of SHINGLE code points. The threshold is the same for all documents, so sketches of parts merge by union,
-and the share of common hashes estimates containment and likeness even between texts of very unequal length. A text's
-smallest hash stays in any case, so that short texts can be compared. A sketch is written as sorted hexadecimal hashes
-with its number of kept ones in front.
+Shingles are runs of SHINGLE code points, their hashes have 48 bits. The fraction is the same for all documents; a text with
+fewer than FLOOR hashes below it keeps its FLOOR least ones, a shorter one all. So a sketch has a threshold of its own, below
+which it is complete and which can be read off it. Sketches of parts merge by union. Two sketches are compared below the
+lesser of their thresholds, where the share of common hashes estimates containment and likeness, also between texts of very
+unequal length. A sketch is written as the number of its hashes and the hashes in order, in base 64.
+
+Documents are dealt out once, by ranges of ids; a range gets an extra copy of the row that follows it.
 
 Nulls: a null text counts as empty; its sketch is empty, and two empty sketches are alike (1.0). A text shorter than a
-shingle is one shingle. A null id sorts first and stays null. Rows of one id are in the order of their texts. A table of
-one row is followed by itself; an empty one gives an empty result. Very long texts are hashed in one numpy pass each.
+shingle is one shingle. A null id sorts first and stays null. Rows of one id are in the order of their texts, equal ones are
+alike; they are one range, read in order by one task. A table of one row is followed by itself; an empty one gives an empty
+result. Very long texts are hashed in one numpy pass each. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -19,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm import common
 
 SHINGLE = 12
-FRACTION = 8  # one hash in so many is kept
-#: Rows that one range of ids holds, about; a range's rows are in one task.
-RANGE_ROWS = 4000
+FRACTION = 16  # one hash in so many is kept
+FLOOR = 64  # hashes that are kept in any case
+LIMIT = 2**48 // FRACTION
+#: Rows of a range of ids, about, as long as that makes no more than RANGES of them; a range is read in order, not held.
+RANGE_ROWS, RANGES = 4000, 65_536
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,41 +65,57 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
                 break
             run = run[:-length] * (BASE + np.uint64(2 * length)) + run[length:]
             length *= 2
-        return mixed(whole)
+        return mixed(whole) >> np.uint64(16)
+
+
+def least(hashes: np.ndarray) -> np.ndarray:
+    """Those of a set of hashes that a sketch keeps, in order."""
+    kept = np.unique(hashes[hashes < LIMIT])
+    return kept if len(kept) >= FLOOR else np.unique(hashes)[:FLOOR]
 
 
 def sketch(text: str) -> np.ndarray:
     """The sorted hashes that are kept of a text."""
-    hashes = shingle_hashes(text)
-    if not len(hashes):
-        return hashes
-    kept = np.unique(hashes[hashes < np.uint64(2**64 // FRACTION)])
-    return kept if len(kept) else np.array([hashes.min()])
+    return least(shingle_hashes(text))
+
+
+def threshold(kept: np.ndarray) -> int:
+    """Below this a sketch has all hashes of its text."""
+    return 2**48 if len(kept) < FLOOR else max(LIMIT, int(kept[-1]) + 1)
 
 
 def written(kept: np.ndarray) -> str:
-    return f"{len(kept)}:{kept.astype('>u8').tobytes().hex()}"
+    return f"{len(kept)}:{base64.b64encode(kept.astype('>u8').view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()}"
 
 
 def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint.partition(":")[2]), ">u8").astype(np.uint64)
+    parts = np.frombuffer(base64.b64decode(fingerprint.partition(":")[2]), np.uint8).reshape(-1, 6)
+    return np.pad(parts, ((0, 0), (2, 0))).view(">u8").ravel().astype(np.uint64)
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of both texts together."""
-    return np.union1d(a, b)
+    """The sketch of all shingles of both texts."""
+    return least(np.union1d(a, b))
+
+
+def common_range(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What both sketches have below the lesser threshold."""
+    most = min(threshold(a), threshold(b))
+    return a[: np.searchsorted(a, most)], b[: np.searchsorted(b, most)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of the shingles of either text that are in both."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    either = len(a) + len(b) - both
+    x, y = common_range(a, b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    either = len(x) + len(y) - both
     return both / either if either else 1.0
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles of the first text that are in the second."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+    """Estimated share of the shingles of the first text that are in the second; 1 for an empty first text."""
+    x, y = common_range(a, b)
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else float(not len(a))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,28 +133,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def followed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, __range, __extra): the rows dealt by ranges of ids, and at each range's end an extra copy of the row that follows it.
 
-    Texts are shuffled once. Only the ranges' bounds and the first row of each, a fixed number, are handled apart."""
+    Texts are shuffled once. Bounds of ranges and the ids that begin them are tables of RANGES rows at most."""
+    none = -(2**63)
     rows = docs.select("doc_id", common.clean_text().alias("text"))
-    ids = rows.select(F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))).alias("__id"))
-    count = ids.count()
-    ranges = max(1, count // RANGE_ROWS)
+    ids = rows.select(F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308)).alias("__id"))
+    ranges = max(1, min(ids.count() // RANGE_ROWS, RANGES))
     cuts = sorted(set(ids.approxQuantile("__id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    splits = [float("-inf"), *(c for c in cuts if c > float("-inf")), float("inf")]
+    splits = [float("-inf"), *cuts, float("inf")]
     placed = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308)))
-    if len(splits) > 2:
+    if cuts:
         placed = Bucketizer(splits=splits, inputCol="__id", outputCol="__at").transform(placed)
     else:
         placed = placed.withColumn("__at", F.lit(0.0))
-    placed = placed.select("doc_id", "text", F.col("__at").cast("int").alias("__range"))
-    least = {r[0]: r[1] for r in placed.groupBy("__range").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-(2**63))))).collect()}
-    order = sorted(least)
-    before = {least[b]: a for a, b in zip([order[-1], *order], order)} if order else {}
-    shown = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    heads = placed.where(shown.isin(list(before)))  # a row for each range, or a few where an id repeats
-    heads = heads.groupBy(shown.alias("__first")).agg(F.min(F.struct("text")).alias("m"), F.first("doc_id").alias("doc_id"))
-    previous = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map().cast("map<bigint,int>")
-    heads = heads.select("doc_id", "m.text", previous[F.col("__first")].alias("__range"), F.lit(True).alias("__extra"))
-    return placed.withColumn("__extra", F.lit(False)).unionByName(heads).repartition(max(2, min(len(order), 20000)), "__range").sortWithinPartitions("__range", "__extra", F.asc_nulls_first("doc_id"), "text")
+    placed = placed.select("doc_id", "text", F.col("__at").cast("int").alias("__range"), F.coalesce("doc_id", F.lit(none)).alias("__key"))
+    firsts = placed.groupBy("__range").agg(F.min("__key").alias("__key"))
+    order = W.orderBy("__range")  # of RANGES rows at most
+    firsts = firsts.select("__key", F.coalesce(F.lag("__range").over(order), F.max("__range").over(W.partitionBy())).alias("__before"))
+    heads = placed.drop("__range").join(F.broadcast(common.checkpointed(firsts)), "__key")  # RANGES bounds what is broadcast
+    heads = heads.groupBy("__key").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"), F.first("__before").alias("__range"))
+    both = placed.select("doc_id", "text", "__range", F.lit(False).alias("__extra")).unionByName(heads.select("doc_id", "text", "__range", F.lit(True).alias("__extra")))
+    return both.repartition(max(2, len(splits) - 1), "__range").sortWithinPartitions("__range", "__extra", F.asc_nulls_first("doc_id"), "text")
 
 
 def report(docs: DataFrame) -> DataFrame:
