@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import math
 import random
 import re
 import textwrap
@@ -82,8 +83,17 @@ def test_bpe_query_on_odd_rows(spark, odd, wider, none):
     out = {r.doc_id: r for r in bpe.digests(odd).collect()}
     assert bpe.digests(odd).count() == len(ODD) and bpe.digests(wider).count() == len(ODD) and not bpe.digests(none).count()
     assert out[2].n_tokens == 0 and out[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    import public_tokenizers
+    import tiktoken
+
+    with open(bpe.default_vocabulary(), "rb") as file:
+        other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Vocabulary(file.read()).ranks, special_tokens={})
     for doc_id, text, *_ in ODD:
+        ids = np.array(other.encode_ordinary(text or ""), "<u4")
         assert out[doc_id].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+        assert (out[doc_id].n_tokens, out[doc_id].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+    both = bpe.decode(bpe.encode(odd)).collect()
+    assert sorted(bytes(r.decoded) for r in both) == sorted((r[1] or "").encode() for r in ODD)
 
 
 # ---- near duplicates
@@ -141,9 +151,27 @@ def test_signatures_estimate_the_similarity():
     assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.07
 
 
+def test_minhash_of_long_texts_and_recall_of_near_copies(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-400], *["x"] * 400]))]  # some 98 in 100
+    truth = 0
+    for k in range(60):
+        first = [f"v{rng.randrange(3000)}" for _ in range(200)]
+        other = list(first)
+        for _ in range(rng.randint(1, 8)):
+            other[rng.randrange(200)] = f"edit{rng.random()}"
+        rows += [(100 + 2 * k, " ".join(first)), (101 + 2 * k, " ".join(other))]
+        a, b = bag(rows[-1][1]), bag(rows[-2][1])
+        truth += sum((a & b).values()) / sum((a | b).values()) >= 0.8
+    found = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[2] == 1 and 10 < truth < 60 and sum(found[101 + 2 * k] == 100 + 2 * k for k in range(60)) == truth
+
+
 def test_minhash_on_odd_rows(odd, wider, none):
     assert pairs(minhash.classes(odd).collect()) == pairs([(1, 1, 3), (1, 1, 3), (8, 1, 3), (2, 2, 1), (3, 3, 1), (None, None, 1), (5, 5, 1), (6, 6, 1), (7, 7, 1)])
     assert not minhash.classes(none).count() and not minhash.representatives(none).count()
+    assert pairs(minhash.classes(wider).collect()) == pairs(minhash.classes(odd).collect())
     kept = minhash.representatives(wider)
     assert kept.columns == wider.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, (1, 2, 3, None, 5, 6, 7)))
 
@@ -172,11 +200,39 @@ def test_sketches_estimate_likeness_and_merge():
     make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
     a, b, c = make(800), make(800), make(800)
     left, both = fingerprints.sketch(a + b), fingerprints.sketch(b)
-    assert abs(fingerprints.likeness(left, both) - 0.5) < 0.06 and fingerprints.containment(both, left) > 0.97
+    assert abs(fingerprints.likeness(left, both) - 0.5) < 0.07 and fingerprints.containment(both, left) > 0.97
     assert fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(c)) < 0.02
-    assert len(np.setdiff1d(fingerprints.merged(fingerprints.sketch(a), fingerprints.sketch(b)), left)) == 0
-    assert np.array_equal(fingerprints.read(fingerprints.written(left)), left)
+    for x, y in ((a, b), (a[:300], b[:200]), (a[:40], c), ("", b), (a[:700], c[:5000]), ("abc", "abd")):
+        whole = fingerprints.least(np.union1d(fingerprints.shingle_hashes(x), fingerprints.shingle_hashes(y)))
+        assert np.array_equal(fingerprints.merged(fingerprints.sketch(x), fingerprints.sketch(y)), whole)
+        assert np.array_equal(fingerprints.read(fingerprints.written(whole)), whole)
+    assert fingerprints.containment(fingerprints.sketch(b[3000:3400]), left) > 0.9
     assert len(np.unique(fingerprints.shingle_hashes("abcdefghijkl" * 9, 5))) == 12
+    assert len(fingerprints.written(left)) < 0.7 * len(a + b)
+
+
+def shares(text):
+    return {text[i : i + 12] for i in range(max(1, len(text) - 11))} if text else set()
+
+
+def test_near_columns_estimate_exact_shares(spark):
+    rng = random.Random(12)
+    words_ = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    base = [rng.choice(words_) for _ in range(900)]
+    texts = ["", "tiny", "x" * 5000]
+    for k in range(40):
+        part = list(base[: rng.choice([3, 40, 300, 900])])
+        for _ in range(rng.choice([0, 3, 40])):
+            part[rng.randrange(len(part))] = rng.choice(words_)
+        texts.append(" ".join(part))
+    found = {r.doc_id: r for r in fingerprints.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    errors = []
+    for k, text in enumerate(texts):
+        after, half = texts[(k + 1) % len(texts)], len(text) // 2
+        for other, got in ((text[: len(text) - half] + after[:half], found[k].near_edited), (after, found[k].near_next)):
+            x, y = shares(text), shares(other)
+            errors.append(abs(got - (len(x & y) / len(x | y) if x | y else 1.0)))
+    assert max(errors) < 0.2 and np.mean(errors) < 0.03
 
 
 # ---- exact top-k
@@ -199,6 +255,30 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert not topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count()
 
 
+def topk_by_force(rows):
+    valid = [(i, [math.floor(64 * float(np.float32(x) if abs(x) < 1e30 else x)) for x in v]) for i, v in rows]
+    out = []
+    for q, a in valid:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in valid if i != q and len(a) == len(b))[:20]
+            out += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best, 1)]
+    return pairs(out)
+
+
+def test_topk_of_large_values_ties_and_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1e7, 8)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert pairs(topk.search(docs).collect()) == topk_by_force(rows)
+    ties = [(i, [1.0, float(i % 3), 0.0]) for i in range(90)]  # the 20th score stands many times
+    wider = spark.createDataFrame(ties, "vec_id long, embedding array<float>").withColumns({c: F.lit(7) for c in ("id", "v", "dim", "bucket", "q", "b", "d", "i", "floor", "score", "rank", "n")})
+    assert pairs(topk.search(wider).collect()) == topk_by_force(ties)
+    long = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.1 * (1 + i % 30), 500)]) for i in range(70)]  # many buckets, few of which matter
+    assert pairs(topk.search(spark.createDataFrame(long, "vec_id long, embedding array<float>")).collect()) == topk_by_force(long)
+
+
 # ---- secrets
 
 
@@ -232,6 +312,9 @@ def test_secrets_on_odd_rows(odd, wider, none):
     expected = spans_by_force(ODD[7][1])
     assert found[7].n_assign == found[7].n_access == found[7].n_hex == 1
     assert found[7].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in expected).encode()).hexdigest()
+    rng = random.Random(14)
+    long = "".join(rng.choice(["password: ", "hunter2x ", "é ", "token=", "abcdef0123456789abcdef0123 ", "AKIA", "ABCDEFGHIJ234567XY "]) for _ in range(30_000))
+    assert [s for s in secrets.spans_of([long, "x"])[0] if s[0] in secrets.BASE_KINDS] == spans_by_force(long)
     assert found[2].spans == "" and secrets.report(wider).count() == len(ODD) and not secrets.report(none).count()
     clean = {r.doc_id: r for r in secrets.redact(odd).collect()}
     assert clean[7].text == "Ärger über Öl 😀 [assign] [access] [hex]" and clean[7].n_chars == len(clean[7].text)
@@ -288,8 +371,23 @@ def test_suffixes_of_few_letters(spark, seed):
     assert pairs(suffixes.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == removed_by_force(rows)
 
 
-def test_suffixes_of_an_empty_table(none):
+def test_suffixes_of_odd_and_long_rows(spark, odd, wider, none):
     assert not suffixes.report(none).count()
+    assert pairs(suffixes.report(wider).collect()) == pairs(suffixes.report(odd).collect()) == removed_by_force([(r[0], r[1]) for r in ODD])
+    rng = random.Random(15)
+    long = " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"]) + rng.choice("abcdefgh") for _ in range(30_000))
+    rows = [(1, long), (2, "y " * 300 + long[70_000:71_000] + " z" * 300), (3, long[5000:5399])]
+    found = {r.doc_id: r for r in suffixes.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(found[k].n_removed, found[k].repeats_passage) for k in (1, 2, 3)] == [(1000, True), (sum(r[2] for r in removed_by_force(rows[1:2] + [(9, long[69_000:72_000])]) if r[0] == 2), True), (0, True)]
+
+
+def test_anchors_cover_each_window_once():
+    rng = np.random.default_rng(16)
+    for letters, reach in ((2, 5), (50, 5), (1, 7), (4, 30)):
+        grams = rng.integers(0, letters, 400).astype(np.uint64)
+        at, first, last = suffixes.anchors(grams, reach)
+        seen = {s: a for a, f, t in zip(at, first, last) for s in range(f, t + 1)}
+        assert seen == {s: s + int(grams[s : s + reach + 1].argmin()) for s in range(400 - reach)} and sum(last - first + 1) == len(seen)
 
 
 # ---- licences
@@ -333,6 +431,19 @@ def test_licenses_of_any_length_and_list(spark):
     assert [tuple(r)[1:] for r in sorted(mine.collect())] == [(False, "own", 1), (True, "other", 1), (False, "", 0)]
 
 
+def test_licenses_equal_sql_at_any_length(spark, tmp_path, odd):
+    import duckdb
+
+    held = "".join(f"Copyright (c) 20{i % 100:02d} Contributor {i}\n" for i in range(120))
+    rows = [(1, held + licenses.MIT), (2, "x y\n" * 100_000 + "Released under the MIT License.\n" * 3 + "word " * 100_000), (3, licenses.ISC), (4, "Licensed  under CC BY 4.0!\r\nSPDX-License-Identifier: MIT"), (5, "-" * 1_000_000), (None, "Released under the MIT License."), (None, "Released under the MIT License."), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    few = (("MIT", licenses.MIT), ("ISC", licenses.ISC), *licenses.NOTICES)
+    assert pairs(licenses.scan(docs, few).select("doc_id", "whole_text", "licenses", "n_lines").collect()) == pairs(con.execute(licenses.oracle(few)).fetchall())
+
+
 # ---- toxicity
 
 
@@ -362,6 +473,45 @@ def test_contexts_reach_over_whole_clauses():
     assert len(g.matches(f"said {'idiot ' * 50_000}")) == 50_000 and time.time() - began < 5
 
 
+def contexts_by_force(grammar, text):
+    """The contexts of all matches, each from the words around it."""
+    out = []
+    for clause in toxicity.CLAUSE.split(text.lower()):
+        found = grammar.symbols(clause)
+        for i, (bits, _) in enumerate(found):
+            threat = bits & toxicity.H and not bits & toxicity.I
+            if not bits & (toxicity.I | toxicity.H):
+                continue
+            before, behind = [b for b, _ in found[:i]], [b for b, _ in found[i + 1 :]]
+            either = toxicity.SUBJECT | toxicity.OBJECT
+            after = any(b & either for b in behind)
+            if threat and not after and not any(b & toxicity.OBJECT for b in before):
+                continue
+            if any(b & toxicity.R for b in before):
+                out.append("reported")
+            elif any(b & toxicity.N for b in before[-3:]):
+                out.append("negated")
+            else:
+                out.append("threat" if threat else "target" if after or any(b & either for b in before) else "plain")
+    return out
+
+
+def test_transducers_equal_brute_force():
+    rng = random.Random(17)
+    g = toxicity.Grammar({"blargy": 0.7, "zonk ": 0.6})
+    parts = ["idiot", "kill", "you", "he", "du", "not", "said", "the", "word", "d'idiot", "l'idiot", "blargyish", "zonk", "zonks", ",", ".", "isn't", "killer", "beat"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert [c for c, _ in g.matches(text)] == contexts_by_force(g, text), text
+
+
+def test_words_alone_are_not_toxic():
+    g = toxicity.Grammar()
+    for text in ("We work with words in the world.", "the trash can is full", "a beautiful loser", "kill the process", "", "the idiom is old"):
+        assert g.score(text) < toxicity.THRESHOLD
+    assert all(len(w.rstrip()) >= (3 if w.endswith(" ") else 5) for w in toxicity.lexicon([(f"wor{x} wor{y} abcdefg{x}", int(x < "d")) for x in "abcdefgh" for y in "xyz" for _ in range(9)]))
+
+
 def test_toxicity_learns_what_labels_mark(spark):
     rng = random.Random(6)
     make = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit"]) + rng.choice("abcdefgh") * rng.randint(0, 3) for _ in range(60))
@@ -436,6 +586,85 @@ def test_svg_and_math():
     assert html_text.main_text("<nav><math><mi>x</mi></math></nav><p>Text.</p>") == "Text."
 
 
+def test_quotes_delimit_values_only():
+    text = "A sentence of the article that goes on for a while."
+    for attributes in ("title=it's", 'class=a"', "title='a > b'", 'data-x = "<p>no</p>"', "a='1'b=\"2\"", "hidden=", 'x"y', "=odd", "title=&quot;"):
+        if attributes != "hidden=":
+            assert html_text.main_text(f"<article><p {attributes}>{text}</p><p>It's more.</p></article>") == f"{text}\n\nIt's more.", attributes
+    assert html_text.values_of(""" a="1" b='2' c=3 d e="x&amp;y" A=9 """) == {"a": "1", "b": "2", "c": "3", "d": "", "e": "x&y"}
+
+
+def test_an_article_keeps_its_references():
+    text = "<p>A sentence of the article that goes on for a while, and then for longer than that.</p>" * 3
+    links = "".join(f'<li><a href="{i}">Reference number {i}</a></li>' for i in range(5))
+    assert html_text.main_text(f"<article>{text}<ul>{links}</ul></article>").endswith("Reference number 4")
+    related = f'<div class="related"><p>{"Prose that is related to what was said above, and long. " * 4}</p></div>'
+    assert "Prose that is related" in html_text.main_text(f"<article>{text}{related}</article>")
+    assert "Reference" not in html_text.main_text(f'<article>{text}<div class="related"><ul>{links}</ul></div></article>')
+    assert "I think so" not in html_text.main_text(f'<article>{text}<div class="comments"><p>{"I think so too. " * 30}</p></div></article>')
+
+
+def densities_by_force(page):
+    """Density and density sum of each node from its own characters and tags, counted anew for every node."""
+    tree = html_text.Tree(page)
+    n = len(tree.kind)
+
+    def under(i, j):
+        while j > i:
+            j = tree.parent[j]
+        return j == i
+
+    def count(i, link=False):
+        total = 0
+        for node, piece in tree.flow:
+            inside, j = False, node
+            while j >= i and j >= 0:
+                inside = inside or tree.kind[j] == "a"
+                if j == i:
+                    break
+                j = tree.parent[j]
+            if piece != "\n\n" and under(i, node) and (inside or not link):
+                total += len(piece) - piece.count(" ")
+        return total
+
+    chars, links = [count(i) for i in range(n)], [count(i, True) for i in range(n)]
+    tags = [sum(under(i, j) for j in range(i, n)) for i in range(n)]
+    link_tags = [sum(under(i, j) and tree.kind[j] == "a" for j in range(i, n)) for i in range(n)]
+    whole, out = links[0] / max(1, chars[0]), []
+    for c, lc, t, lt in zip(chars, links, tags, link_tags):
+        inner = c / max(1, c - lc) * lc + whole * c + math.e
+        scale = max(1e-9, math.log(max(1.0001, math.log(inner)))) if math.log(inner) > math.e else 1.0
+        out.append(c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / scale if c else 0.0)
+    return out, [sum(out[j] for j in range(1, n) if tree.parent[j] == i) for i in range(n)]
+
+
+def test_densities_equal_brute_force():
+    rng = random.Random(18)
+
+    def made(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["div", "p", "ul", "span", "section", "b"]) if depth else "p"
+            inner = made(depth - 1) if depth and rng.random() < 0.7 else "text of some words " * rng.randint(0, 6)
+            out += f"<{kind}>{inner}" + ("<a href=x>a link</a>" * rng.randint(0, 3) if rng.random() < 0.3 else "") + f"</{kind}>"
+        return out
+
+    for _ in range(40):
+        page = f"<body>{made(3)}</body>"
+        _, _, density, sums = html_text.Tree(page).measures()
+        want = densities_by_force(page)
+        assert density == pytest.approx(want[0]) and sums == pytest.approx(want[1])
+
+
+def test_long_pages_and_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    body = "".join(f"<p>Paragraph {i} of a page that is very long.</p>" for i in range(20_000))
+    assert html_text.main_text(f"<body><nav><a>x</a></nav><article>{body}</article></body>").count("\n\n") == 19_999
+    rows = spark.createDataFrame([(1, "u", "<p>a b</p>")], "page_id long, url string, html string").withColumns({c: F.lit(7) for c in ("text", "n_chars", "__html", "kind")})
+    assert pairs(html_text.report(rows).collect()) == [(1, "u", "a b", 3)]
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href=x>One</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><div id="cookie-notice"><p>We use cookies</p></div>
