@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and reads
 again for the next one. All but the last return the columns of documents. Rows that repeat, nulls and empty tables are as
-each operator defines them. SQL can't express the stages, so the pipeline is tested against a brute-force version.
+each operator defines them: a null text counts as empty and passes all stages but the choice among equal ones, long texts
+are taken whole, an empty table gives an empty result, and columns beyond those of documents stay up to the last stage,
+whatever their names. SQL can't express the stages, so the pipeline is tested against a brute-force version.
 """
 
 from __future__ import annotations
@@ -57,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, read = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
+        made = common.stored(stage(spark, docs, sf_dir))
+        if read is not None:
+            common.released(read)  # nothing reads the stage before any more
+        docs = read = made
     return STAGES[-1][1](spark, docs, sf_dir)
