@@ -1,21 +1,42 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops, and scratch folders that all executors see."""
 
 from __future__ import annotations
 
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary local one only where that is unset and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that the driver and all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df in the session's shared checkpoint folder; a temporary local one only where spark.checkpoint.dir is unset and the master is local."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """df in the session's shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "marlstone-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class scratch:
+    """A folder below the shared one, deleted at the end; what is read from it is held by a checkpoint before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/marlstone-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> str:
+        return self.path
+
+    def __exit__(self, *_) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    held = staticmethod(kept)

@@ -7,23 +7,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.columns import l2
+from marlstone.functions.columns import dot, l2
 from marlstone.operators.dense import exact
+from marlstone.operators.graph import numbered
 
 
 def encoded(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entity ids, relation ids, triples as h, r, t): ids number the names in their order."""
-    from pyspark.sql import Window as W
-
-    ranked = lambda names: names.distinct().withColumn("id", (F.dense_rank().over(W.orderBy("name")) - 1).cast("long"))  # noqa: E731  names of a graph
+    ranked = lambda names: numbered(names.distinct().withColumn("__all", F.lit(0)), "__all", "name").select("name", F.col("number").cast("long").alias("id"))
     entities = ranked(triples.select(F.explode(F.array("source", "target")).alias("name")))
     relations = ranked(triples.select(F.col("type").alias("name")))
     out = triples.join(entities.select(F.col("name").alias("source"), F.col("id").alias("h")), "source").join(entities.select(F.col("name").alias("target"), F.col("id").alias("t")), "target")
     return entities, relations, out.join(relations.select(F.col("name").alias("type"), F.col("id").alias("r")), "type").select("h", "r", "t")
 
 
-def trained(triples: DataFrame, dim: int = 32, margin: float = 1.0, rate: float = 0.05, epochs: int = 50, seed: int = 42) -> DataFrame:
-    """(entity, vector): margin-ranking training with corrupted heads or tails, in one task; a graph of concepts is small by contract."""
+def translation_scores(triples: DataFrame, entities: DataFrame, relations: DataFrame, projection: list[list[float]] | None = None) -> DataFrame:
+    """triples (source, type, target) with score = |hM + r - t|, the smaller the likelier.
+
+    entities: (entity, vector); relations: (type, vector). M is the projection, rows by the head's numbers, the unit matrix if
+    it isn't given; it has as many numbers as a vector squared and goes into the expression."""
+    head = F.col("hv")
+    if projection is not None:
+        columns = [F.array(*[F.lit(float(row[j])) for row in projection]) for j in range(len(projection[0]))]
+        head = F.array(*[dot(head, c) for c in columns])
+    joined = triples.join(entities.select(F.col("entity").alias("source"), F.col("vector").alias("hv")), "source").join(entities.select(F.col("entity").alias("target"), F.col("vector").alias("tv")), "target").join(relations.select("type", F.col("vector").alias("rv")), "type")
+    moved = F.zip_with(head, F.col("rv"), lambda x, y: x + y)
+    return joined.select(*triples.columns, F.round(l2(moved, F.col("tv")), 9).alias("score"))
+
+
+def trained(triples: DataFrame, dim: int = 128, margin: float = 1.0, rate: float = 1e-3, batch: int = 128, epochs: int = 50, seed: int = 42, parts: bool = False) -> DataFrame:
+    """(entity, vector): margin-ranking training with corrupted heads or tails, in shuffled batches by Adam; relations too with parts,
+    as (kind, name, vector) of kinds entity and relation.
+
+    Training is sequential by nature and runs in one task, whose memory holds the graph's triples: graphs of concepts are small
+    by contract. Seeds and the order of names and triples are fixed, so the same graph gives the same vectors."""
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*part["source"], *part["target"]})
@@ -33,22 +50,39 @@ def trained(triples: DataFrame, dim: int = 32, margin: float = 1.0, rate: float
         order = np.lexsort((r, t, h))
         h, t, r = h[order], t[order], r[order]
         rng = np.random.default_rng(seed)
-        e, q = rng.normal(0, 0.1, (len(names), dim)), rng.normal(0, 0.1, (len(kinds), dim))
+        bound = lambda n: np.sqrt(6.0 / (n + dim))
+        weights = np.concatenate([rng.uniform(-bound(n), bound(n), (n, dim)) for n in (len(names), len(kinds))])
+        first, second, steps = np.zeros_like(weights), np.zeros_like(weights), 0
         for _ in range(epochs):
-            head = rng.random(len(h)) < 0.5
-            other = rng.integers(0, len(names), len(h))
-            nh, nt = np.where(head, other, h), np.where(head, t, other)
-            good, bad = e[h] + q[r] - e[t], e[nh] + q[r] - e[nt]
-            a, b = (np.sqrt((x**2).sum(1, keepdims=True) + 1e-12) for x in (good, bad))
-            on = (margin + a - b > 0) * rate
-            g, n = on * good / a, on * bad / b
-            for target, step in ((h, -g), (t, g), (nh, n), (nt, -n)):
-                np.add.at(e, target, step)
-            np.add.at(q, r, n - g)
-            e /= np.maximum(1.0, np.linalg.norm(e, axis=1, keepdims=True))
-        return pd.DataFrame({"entity": names, "vector": [x.tolist() for x in e]})
-
-    return triples.select("source", "target", "type").groupBy().applyInPandas(fit, "entity string, vector array<double>")
+            shuffled = rng.permutation(len(h))
+            for start in range(0, len(h), batch):
+                own = shuffled[start : start + batch]
+                a, b, q = h[own], t[own], r[own] + len(names)
+                head, other = rng.random(len(own)) < 0.5, rng.integers(0, len(names), len(own))
+                na, nb = np.where(head, other, a), np.where(head, b, other)
+                good, bad = weights[a] + weights[q] - weights[b], weights[na] + weights[q] - weights[nb]
+                near, far = (np.sqrt((x**2).sum(1, keepdims=True) + 1e-12) for x in (good, bad))
+                on = (margin + near - far > 0) / len(own)
+                g, n = on * good / near, on * bad / far
+                gradient = np.zeros_like(weights)
+                for target, step in ((a, g), (b, -g), (na, -n), (nb, n), (q, g - n)):
+                    np.add.at(gradient, target, step)
+                steps += 1
+                first = 0.9 * first + 0.1 * gradient
+                second = 0.999 * second + 0.001 * gradient**2
+                weights -= rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.999**steps)) + 1e-8)
+        return pd.DataFrame({"kind": ["entity"] * len(names) + ["relation"] * len(kinds), "name": names + kinds, "vector": [x.tolist() for x in weights]})
+
+    made = triples.select("source", "target", "type").groupBy().applyInPandas(fit, "kind string, name string, vector array<double>")
+    return made if parts else made.where("kind = 'entity'").select(F.col("name").alias("entity"), "vector")
+
+
+def entity_table(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entity ids by seq of the nodes, relation ids of all edges, triples h, r, t of the edges with both ends): ids from 0 on."""
+    entities = numbered(nodes.withColumn("__all", F.lit(0)), "__all", "seq").select("id", F.col("number").alias("e"))
+    relations = numbered(edges.select("type").distinct().withColumn("__all", F.lit(0)), "__all", "type").select("type", F.col("number").alias("r"))
+    both = edges.join(entities.select(F.col("id").alias("source"), F.col("e").alias("h")), "source").join(entities.select(F.col("id").alias("target"), F.col("e").alias("t")), "target")
+    return entities, relations, both.join(relations, "type").select("h", "r", "t")
 
 
 def nearest_l2(vectors: DataFrame, sources: DataFrame, k: int = 5) -> DataFrame:

@@ -14,6 +14,8 @@ from marlstone.functions.columns import top, words
 
 #: Rows of a candidate and of a query block; a task multiplies one of each.
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Bytes of queries that are sent to all tasks.
+SHIPPED = 32 << 20
 #: Query rows whose distances are computed at once, and pairs whose differences are.
 L2_ROWS, L2_PAIRS = 256, 65536
 
@@ -56,15 +58,74 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray | None = None)
     return tuple(np.concatenate(z) for z in zip(*made))
 
 
+def scored(x: np.ndarray, y: np.ndarray, k: int, metric: str, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score): for each row of x the k best rows of y and what ties with them."""
+    if metric == "cosine":
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+    if metric == "l2":
+        return nearest(x, y, k, own)
+    score = np.round(x @ y.T, 9)
+    if own is not None:
+        score[own] = -np.inf
+    n = min(k, score.shape[1])
+    cut = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+    rows, columns = np.nonzero((score >= cut[:, None]) & np.isfinite(score))  # ties at the cut stay for the final ranking
+    return rows, columns, score[rows, columns]
+
+
 def exact(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K, itself: bool = True, metric: str = "dot") -> DataFrame:
     """(qid, doc_id, score, rank): queries (qid, vector) against all vectors (doc_id, vector).
 
-    Blocks of both sides meet in one task each, multiply as matrices and hand on k rows a query; neither side is broadcast.
-    Cosine is the inner product for unit vectors; "l2" gives distances, the smaller the better."""
+    Queries of up to SHIPPED bytes, which is measured, are sent to where the vectors are; each task keeps the k best for each
+    of them, so that vectors aren't shuffled. More queries and the vectors are dealt out in blocks, of which each pair meets in
+    one task. Cosine is the inner product for unit vectors; "l2" gives distances, the smaller the better."""
     if metric not in ("dot", "cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
+    asked = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).first()
+    met = _shipped if asked["numbers"] * 8 <= SHIPPED else _in_blocks
+    out = top(met(vectors, queries, asked["n"], k, itself, metric), ["qid"], [F.desc("score"), F.col("doc_id")], k)
+    return out.withColumn("score", -F.col("score")) if metric == "l2" else out
+
+
+def _shipped(vectors: DataFrame, queries: DataFrame, n: int, k: int, itself: bool, metric: str) -> DataFrame:
+    kinds = queries.schema["qid"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
+    small = queries.select("qid", "vector").toArrow().combine_chunks()  # SHIPPED bounds it
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, small.schema) as writer:
+        writer.write_table(small)
+    sent = vectors.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def run(batches):
+        held = pa.ipc.open_stream(sent.value).read_all()
+        if not held.num_rows:
+            return
+        x, names = matrix(held, "vector"), held.column("qid").combine_chunks()
+        asked = None if itself else np.array(names.to_pylist(), object)
+        rows, score, ids = np.empty(0, np.int64), np.empty(0), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            own = None if itself else asked[:, None] == np.array(part.column("doc_id").to_pylist(), object)[None, :]
+            r, c, s = scored(x, matrix(part, "vector"), k, metric, own)
+            got = part.column("doc_id").combine_chunks().take(pa.array(c))
+            ids = got if ids is None else pa.concat_arrays([ids, got])
+            rows, score = np.concatenate([rows, r]), np.concatenate([score, s])
+            order = np.lexsort((-score, rows))  # keep the k best so far and what ties with the k-th
+            place = np.searchsorted(rows[order], np.arange(len(x)), "left")
+            last = np.minimum(place + k, np.searchsorted(rows[order], np.arange(len(x)), "right")) - 1
+            least = np.where(last >= place, score[order][np.maximum(last, 0)], -np.inf) if len(order) else np.full(len(x), -np.inf)
+            kept = np.flatnonzero(score >= least[rows])
+            rows, score, ids = rows[kept], score[kept], ids.take(pa.array(kept))
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), ids, pa.array(score)], names=["qid", "doc_id", "score"])
+
+    return vectors.select("doc_id", "vector").mapInArrow(run, f"qid {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
+def _in_blocks(vectors: DataFrame, queries: DataFrame, n: int, k: int, itself: bool, metric: str) -> DataFrame:
     blocks = max(1, -(-vectors.count() // BLOCK))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    query_blocks = max(1, -(-n // QUERY_BLOCK))
     dealt = lambda n, key: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = queries.select("qid", "vector", dealt(query_blocks, "qid").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     right = vectors.select("doc_id", "vector", dealt(blocks, "doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
@@ -73,25 +134,12 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K, itself:
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"qid": a.column("qid").slice(0, 0), "doc_id": b.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
-        x, y = matrix(a, "vector"), matrix(b, "vector")
-        if metric == "cosine":
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
         own = None if itself else np.array(a.column("qid").to_pylist(), object)[:, None] == np.array(b.column("doc_id").to_pylist(), object)[None, :]
-        if metric == "l2":
-            rows, columns, score = nearest(x, y, k, own)
-            return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "score": pa.array(score)})
-        score = np.round(x @ y.T, 9)
-        if own is not None:
-            score[own] = -np.inf
-        n = min(k, score.shape[1])
-        cut = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
-        rows, columns = np.nonzero((score >= cut[:, None]) & np.isfinite(score))  # ties at the cut stay for the final ranking
-        return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "score": pa.array(score[rows, columns])})
+        rows, columns, score = scored(matrix(a, "vector"), matrix(b, "vector"), k, metric, own)
+        return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "score": pa.array(score)})
 
     schema = f"qid {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
-    met = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(meet, schema)
-    out = top(met, ["qid"], [F.desc("score"), F.col("doc_id")], k)
-    return out.withColumn("score", -F.col("score")) if metric == "l2" else out
+    return left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(meet, schema)
 
 
 def hashed(docs: DataFrame, key: str, text: str, buckets: int = config.HASH_BUCKETS) -> DataFrame:
@@ -133,6 +181,75 @@ def probe(cells: DataFrame, centres: DataFrame, queries: DataFrame, k: int = con
     return top(scored, ["qid"], [F.desc("score"), F.col("doc_id")], k)
 
 
+def build_codes(cells: DataFrame, centres: DataFrame, m: int = 8, bits: int = 8, sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, vector, cell, code binary) and the code books (m, 2**bits, numbers of a part): product quantisation of what
+    vectors differ by from their cell's centre.
+
+    Books are fitted by Lloyd's rounds on at most about `sample` vectors, picked by a hash of the id, in one task; every vector
+    is coded. Books have a fixed size and are sent to all tasks."""
+    joined = cells.join(F.broadcast(centres), "cell").select("doc_id", "vector", "cell", "centre")  # nlist centres
+    share = min(1.0, sample / max(1, cells.count()))
+    picked = joined.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
+
+    def fit(part: pa.Table) -> pa.Table:
+        rest = matrix(part, "vector") - matrix(part, "centre")
+        rest = rest[np.lexsort(rest.T)]
+        rng = np.random.default_rng(seed)
+        books = []
+        for x in np.split(rest, m, axis=1):
+            book = x[rng.choice(len(x), 1 << bits, replace=len(x) < 1 << bits)].copy()
+            for _ in range(12):
+                near = ((x**2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * x @ book.T).argmin(1)
+                sums, n = np.zeros_like(book), np.bincount(near, minlength=len(book))
+                np.add.at(sums, near, x)
+                book[n > 0] = sums[n > 0] / n[n > 0, None]
+            books.append(book)
+        return pa.table({"books": [np.stack(books).astype("<f8").tobytes()], "width": [rest.shape[1] // m]})
+
+    made = picked.groupBy().applyInArrow(fit, "books binary, width int").first()
+    books = np.frombuffer(made["books"], "<f8").reshape(m, 1 << bits, made["width"])
+
+    def code(batches):
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            rest = matrix(part, "vector") - matrix(part, "centre") if batch.num_rows else np.empty((0, m * books.shape[2]))
+            near = [((x**2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * x @ book.T).argmin(1) for x, book in zip(np.split(rest, m, axis=1), books)]
+            codes = np.stack(near, 1).astype(np.uint8 if bits <= 8 else np.uint16)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary())], names=["doc_id", "vector", "cell", "code"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema[:3])
+    return joined.mapInArrow(code, f"{fields}, code binary"), books
+
+
+def probe_codes(coded: DataFrame, centres: DataFrame, books: np.ndarray, queries: DataFrame, k: int = config.TOP_K, nprobe: int = 10, refine: int = 10) -> DataFrame:
+    """Top k of each query by inner product: refine * k candidates by their codes in the nprobe nearest cells, then by whole vectors."""
+    from marlstone.functions.columns import dot
+
+    near = queries.join(F.broadcast(centres)).withColumn("near", dot(F.col("vector"), F.col("centre")))
+    near = top(near, ["qid"], [F.desc("near"), F.col("cell")], nprobe, "probe").select("qid", F.col("vector").alias("query"), "cell", "near")
+    kinds = queries.schema["qid"].dataType.simpleString(), coded.schema["doc_id"].dataType.simpleString()
+    m, size, width = books.shape
+    kind = np.uint8 if size <= 256 else np.uint16
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"qid": a.column("qid").slice(0, 0), "doc_id": b.column("doc_id").slice(0, 0), "about": pa.array([], pa.float64())})
+        codes = np.frombuffer(b"".join(b.column("code").to_pylist()), kind).reshape(-1, m)
+        tables = np.einsum("qmw,msw->qms", matrix(a, "query").reshape(-1, m, width), books)
+        about = a.column("near").to_numpy()[:, None] + sum(tables[:, i, codes[:, i]] for i in range(m))
+        n = min(refine * k, about.shape[1])
+        cut = np.partition(about, about.shape[1] - n, axis=1)[:, about.shape[1] - n]
+        rows, columns = np.nonzero(about >= cut[:, None])
+        return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "about": pa.array(about[rows, columns])})
+
+    split = F.pmod(F.xxhash64("doc_id"), F.lit(64))  # a cell's vectors go to several tasks
+    parts = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    found = parts.groupBy("cell", "part").cogroup(coded.withColumn("part", split).groupBy("cell", "part")).applyInArrow(meet, f"qid {kinds[0]}, doc_id {kinds[1]}, about double")
+    best = top(found, ["qid"], [F.desc("about"), F.col("doc_id")], refine * k).select("qid", "doc_id")
+    whole = best.join(coded.select("doc_id", "vector"), "doc_id").join(queries.select("qid", F.col("vector").alias("query")), "qid")
+    return top(whole.select("qid", "doc_id", F.round(dot(F.col("query"), F.col("vector")), 9).alias("score")), ["qid"], [F.desc("score"), F.col("doc_id")], k)
+
+
 def nlist_for(files: int, nlist: int = 100) -> int:
     """The number of cells for so many corpus files of about 100 documents."""
     estimate = 100 * files

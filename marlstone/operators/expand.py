@@ -73,6 +73,17 @@ def scored_paths(paths: DataFrame, method: str = "combined") -> DataFrame:
     return out.withColumn("score", F.round(one.get(method, combined), 9))
 
 
+def explained_paths(paths: DataFrame) -> DataFrame:
+    """Scored paths with their components as one column: score and what it is made of, with the relations' weights."""
+    parts = F.struct("depth_score", "weight_score", "relation_score", F.transform("relations", lambda x: relation_weight(x)).alias("relation_weights"), F.col("score").alias("combined"))
+    return scored_paths(paths).withColumn("explanation", parts)
+
+
+def node_lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the given ids (id)."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def edge_paths(expanded: DataFrame) -> DataFrame:
     """The one-edge paths that expansion emits, stamped with their hop."""
     return expanded.select("seed", F.col("hop").alias("length"), F.array("type").alias("relations"), F.array(F.col("weight").cast("double")).alias("weights"), F.array("source", "target").alias("node_ids"))

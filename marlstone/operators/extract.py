@@ -38,15 +38,15 @@ def relations(docs: DataFrame, patterns=PATTERNS) -> DataFrame:
     found = []
     for relation, flags, pattern in patterns:
         full = F.lit(flags + word(pattern))
-        pairs = F.arrays_zip(F.regexp_extract_all(text, full, F.lit(1)).alias("a"), F.regexp_extract_all(text, full, F.lit(2)).alias("b"))
-        found.append(F.transform(pairs, _named(relation)))
+        whole = F.regexp_extract_all(text, full, F.lit(0))  # the groups are found again within each match
+        found.append(F.transform(whole, _named(relation, flags + word(pattern))))
     every = F.array_distinct(F.flatten(F.array(*found)))
     rows = docs.select("doc_id", F.posexplode(every).alias("ord", "r"))
     return rows.select("doc_id", "r.relation", "r.source", "r.target", F.lit(CONFIDENCE).alias("confidence"), F.lit("rule").alias("method"))
 
 
-def _named(relation: str):
-    return lambda pair: F.struct(F.lit(relation).alias("relation"), pair["a"].alias("source"), pair["b"].alias("target"))
+def _named(relation: str, pattern: str):
+    return lambda match: F.struct(F.lit(relation).alias("relation"), F.regexp_extract(match, pattern, 1).alias("source"), F.regexp_extract(match, pattern, 2).alias("target"))
 
 
 def with_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -54,6 +54,12 @@ def with_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:
     return docs.join(entities.select("doc_id", "entities"), "doc_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast(entities.schema["entities"].dataType)))
 
 
+def relations_of_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations of the documents that have text and at least one entity (entities: doc_id, entities)."""
+    some = entities.where(F.size("entities") > 0).select("doc_id")
+    return relations(docs.where(F.coalesce("content", F.lit("")) != "").join(some, "doc_id", "left_semi"))
+
+
 def gazetteer(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, lang, text, type, score, start, end): mentions of known names (name, type), whole words, with the place of the first.
 

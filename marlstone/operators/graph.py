@@ -8,16 +8,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from marlstone.functions.lineage import kept
 
 
+#: Names of difficulties, the easiest first; fixed values.
+LEVELS = ("beginner", "intermediate", "advanced")
+
+
+def mentions_of(batches: DataFrame) -> DataFrame:
+    """Mentions (name, lang, type, source_doc, seq) of entity batches (doc_id, lang, entities, seq): one for each element of the
+    array, in its order; the name is the element's `entity`, or its `text` where that is null or missing."""
+    has = {f.name for f in batches.schema["entities"].dataType.elementType.fields}
+    name = F.coalesce(*[F.col(f"e.{c}") for c in ("entity", "text") if c in has])
+    kind = F.col("e.type") if "type" in has else F.lit(None).cast("string")
+    each = batches.select("doc_id", "lang", "seq", F.posexplode("entities").alias("at", "e"))
+    return each.select(name.alias("name"), F.coalesce("lang", F.lit("unknown")).alias("lang"), kind.alias("type"), F.col("doc_id").cast("string").alias("source_doc"), F.struct("seq", "at").alias("seq"))
+
+
 def nodes(mentions: DataFrame) -> DataFrame:
     """Nodes of mentions (name, lang, type, source_doc, seq): the first of each lower-case name and language; ids number each type across languages."""
     named = mentions.where(F.coalesce(F.trim("name"), F.lit("")) != "").withColumn("type", F.coalesce("type", F.lit("CONCEPT")))
     first = named.groupBy(F.lower(F.concat_ws("_", "name", "lang")).alias("k")).agg(F.min(F.struct("seq", "name", "lang", "type", "source_doc")).alias("m")).select("m.*")
-    number = F.row_number().over(W.partitionBy("type").orderBy("seq")) - 1
-    return first.select(F.format_string("%s_%s_%06d", "lang", "type", number).alias("id"), "name", "lang", "type", "source_doc", "seq")
+    return numbered(first, "type", "seq").select(F.format_string("%s_%s_%06d", "lang", "type", "number").alias("id"), "name", "lang", "type", "source_doc", "seq")
+
+
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with a number from 0 on within their group, by order; a group's rows are numbered in ranges, so no task holds a group.
+
+    The rows are kept sorted in ranges of (group, order); a range's rows of a group are numbered by themselves and moved on by
+    what the ranges before it have, a table of a row for each range and group."""
+    dealt = kept(rows.repartitionByRange(group, order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy(group, "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col(group).alias("__group"), F.col("__range").alias("__of"), before.alias("__before"))
+    local = F.row_number().over(W.partitionBy(group, "__range").orderBy(order)) - 1
+    placed = dealt.withColumn("__local", local).join(offsets, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__of")))
+    return placed.withColumn("number", F.col("__local") + F.col("__before")).drop("__range", "__local", "__group", "__of", "__before")
 
 
 def ids_by_name(node_table: DataFrame) -> DataFrame:
@@ -41,9 +69,40 @@ def alignment_edges(pairs: DataFrame, node_table: DataFrame) -> DataFrame:
 
 
 def upsert(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The last row of each key."""
+    """The last row of each key by seq; of rows with the same seq the one whose other columns are the greatest, in their order."""
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "seq").alias("m")).select(*key, "m.*")
+    order = ["seq", *(c for c in rest if c != "seq" and not isinstance(rows.schema[c].dataType, MapType))]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("m")).select(*key, "m.*")
+
+
+def upsert_edges(rows: DataFrame, node_table: DataFrame, key: tuple[str, ...] = ("source", "target", "type")) -> DataFrame:
+    """The last row of each edge both of whose ends are nodes; others are left out."""
+    known = node_table.select("id").distinct()
+    for end in ("source", "target"):
+        rows = rows.join(known.select(F.col("id").alias(end)), end, "left_semi")
+    return upsert(rows, list(key))
+
+
+def imported(node_rows: DataFrame, edge_rows: DataFrame, held: tuple[DataFrame, DataFrame] | None = None, clear: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables after an import: rows that are there and new ones, the last of each id or edge, edges with both ends.
+
+    held: the tables before, whose rows come first; with clear they are dropped. seq has to grow from one import to the next."""
+    if held is not None and not clear:
+        node_rows, edge_rows = held[0].unionByName(node_rows, allowMissingColumns=True), held[1].unionByName(edge_rows, allowMissingColumns=True)
+    nodes_ = upsert(node_rows, ["id"])
+    return nodes_, upsert_edges(edge_rows, nodes_)
+
+
+def repeated_ids(rows: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Keys that stand in several rows, with their number: an empty result says that the key is unique."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def adjacency_sample(node_table: DataFrame, edge_table: DataFrame, k: int = 5) -> DataFrame:
+    """(name, type, target): the first k edges by seq with the names of their ends, as a report shows them."""
+    few = edge_table.orderBy("seq", "source", "target", "type").limit(k)
+    names = node_table.select("id", "name")
+    return few.join(names.select(F.col("id").alias("source"), "name"), "source").join(names.select(F.col("id").alias("target"), F.col("name").alias("target_name")), "target").select("name", "type", F.col("target_name").alias("target"))
 
 
 def basic_stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
@@ -113,20 +172,43 @@ def alignment_stats(node_table: DataFrame, edge_table: DataFrame, kind: str = "A
     n_ends = ends.agg(F.count("*").cast("double").alias("value")).select(F.lit("aligned_nodes").alias("kind"), F.lit("all").alias("name"), "value")
     flagged = node_table.join(ends.withColumn("hit", F.lit(1)), "id", "left")
     by_lang = flagged.groupBy("lang").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("value")).select(F.lit("coverage").alias("kind"), F.col("lang").alias("name"), "value")
-    return total.unionByName(pairs).unionByName(n_ends).unionByName(by_lang)
+    overall = flagged.agg(F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(0.0)), 6).alias("value")).select(F.lit("coverage").alias("kind"), F.lit("all").alias("name"), "value")
+    return total.unionByName(pairs).unionByName(n_ends).unionByName(by_lang).unionByName(overall)
 
 
-def ontology_violations(node_table: DataFrame, edge_table: DataFrame, hops: int = 25) -> DataFrame:
-    """(rule, source, target): alignments within a language, and prerequisite edges on a cycle of up to `hops` edges."""
+def ontology_violations(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """(rule, source, target): alignments within a language, prerequisite edges on a cycle, and, where nodes have a difficulty,
+    prerequisite edges from a harder to an easier concept (difficulty as a number, or one of LEVELS)."""
     lang = node_table.select("id", "lang")
     same = edge_table.where("type = 'ALIGNED_WITH'").join(lang.select(F.col("id").alias("source"), F.col("lang").alias("l1")), "source").join(lang.select(F.col("id").alias("target"), F.col("lang").alias("l2")), "target")
     same = same.where("l1 = l2").select(F.lit("aligned_within_language").alias("rule"), "source", "target")
     needs = edge_table.where("type = 'PREREQUISITE'").select("source", "target").distinct()
-    reach = needs
-    done = 1
-    while done < hops:  # paths double in length each round
+    cyclic = on_cycles(needs).select(F.lit("prerequisite_cycle").alias("rule"), "source", "target")
+    found = same.unionByName(cyclic)
+    if "difficulty" in node_table.columns:
+        grade = F.coalesce(*[F.when(F.lower("difficulty") == name, float(i)) for i, name in enumerate(LEVELS)], F.expr("try_cast(difficulty AS double)"))
+        graded = node_table.select("id", grade.alias("grade")).where("grade IS NOT NULL")
+        both = needs.join(graded.select(F.col("id").alias("source"), F.col("grade").alias("g1")), "source").join(graded.select(F.col("id").alias("target"), F.col("grade").alias("g2")), "target")
+        found = found.unionByName(both.where("g1 > g2").select(F.lit("prerequisite_harder").alias("rule"), "source", "target"))
+    return found
+
+
+def on_cycles(links: DataFrame) -> DataFrame:
+    """The links (source, target) that lie on a cycle, however long.
+
+    First links whose source nothing reaches or whose target leads nowhere go, round by round, which leaves cycles and what
+    lies between them. Then each link's target is followed until its source is found or nothing new is."""
+    left = kept(links.distinct())
+    while True:
+        inner = kept(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        if inner.count() == left.count():
+            break
+        left = inner
+    reach = left
+    while True:  # paths double in length each round
         longer = reach.select("source", F.col("target").alias("m")).join(reach.select(F.col("source").alias("m"), "target"), "m").select("source", "target")
-        reach = kept(reach.union(longer).distinct())  # each round is read twice by the next
-        done *= 2
-    cyclic = needs.join(reach.select(F.col("source").alias("target"), F.col("target").alias("source")), ["source", "target"], "left_semi")
-    return same.unionByName(cyclic.select(F.lit("prerequisite_cycle").alias("rule"), "source", "target"))
+        wider = kept(reach.union(longer).distinct())
+        if wider.count() == reach.count():
+            break
+        reach = wider
+    return left.join(reach.select(F.col("source").alias("target"), F.col("target").alias("source")), ["source", "target"], "left_semi")

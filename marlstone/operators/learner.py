@@ -54,7 +54,7 @@ def preferences(events: DataFrame) -> DataFrame:
     own = events.where(F.col("event_type").isin(*EVENT_TYPES))
     views, practices = F.count_if(F.col("event_type") == "view"), F.count_if(F.col("event_type").isin("practice", "test"))
     sums = own.groupBy("learner_id").agg(views.alias("views"), practices.alias("practices"), F.sum("duration").alias("study"), F.countDistinct("concept_id").alias("concepts"))
-    hours = events.groupBy("learner_id", F.floor((F.col("ts") % 86400) / 3600).cast("int").alias("hour")).agg(F.count("*").alias("n"))
+    hours = active_hours(events)
     hours = hours.groupBy("learner_id").agg(F.min_by("hour", F.struct(-F.col("n"), F.col("hour"))).alias("favourite_hour"))
     n = F.greatest(F.col("views") + F.col("practices"), F.lit(1))
     share = lambda c: F.round(F.col(c) / n, 6)
@@ -62,7 +62,13 @@ def preferences(events: DataFrame) -> DataFrame:
 
 
 def query_languages(queries: DataFrame) -> DataFrame:
-    return queries.groupBy("learner_id", "lang").agg(F.count("*").alias("n"))
+    """(learner_id, lang, n): languages of a learner's queries; a null one is 'unknown'."""
+    return queries.groupBy("learner_id", F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("n"))
+
+
+def active_hours(events: DataFrame) -> DataFrame:
+    """(learner_id, hour, n): events of a learner by the hour of the day in UTC."""
+    return events.groupBy("learner_id", F.floor((F.col("ts") % 86400) / 3600).cast("int").alias("hour")).agg(F.count("*").alias("n"))
 
 
 def summary(events: DataFrame, scores: DataFrame) -> DataFrame:
@@ -102,12 +108,12 @@ def prerequisites(edges: DataFrame) -> DataFrame:
     return edges.where("type = 'PREREQUISITE'").select(F.col("target").alias("concept"), F.col("source").alias("needs")).distinct()
 
 
-def closure(targets: DataFrame, needs: DataFrame, scores: DataFrame, threshold: float = C.MASTERY_THRESHOLD, rounds: int = 25) -> DataFrame:
+def closure(targets: DataFrame, needs: DataFrame, scores: DataFrame, threshold: float = C.MASTERY_THRESHOLD) -> DataFrame:
     """(learner_id, concept): targets and what they need, not going on through concepts that are mastered."""
     known = scores.where(F.col("mastery") >= threshold).select("learner_id", F.col("concept_id").alias("concept"))
-    front = targets.select("learner_id", "concept").distinct()
+    front = kept(targets.select("learner_id", "concept").distinct())
     out = front
-    for _ in range(rounds):
+    while True:  # a round adds concepts that weren't reached before, so it ends
         open_ = front.join(known, ["learner_id", "concept"], "left_anti")
         front = open_.join(needs, "concept").select("learner_id", F.col("needs").alias("concept")).distinct().join(out, ["learner_id", "concept"], "left_anti")
         front = kept(front)
@@ -156,3 +162,36 @@ def learning_path(wanted: DataFrame, needs: DataFrame, scores: DataFrame, thresh
 
     kind = wanted.schema["learner_id"].dataType.simpleString()
     return edges.select("learner_id", "concept", "needs", "mastery").groupBy("learner_id").applyInPandas(arrange, f"learner_id {kind}, position int, concept_id string, current_mastery double, reason string")
+
+
+def known_concepts(edges: DataFrame) -> DataFrame:
+    """(concept): all ends of edges, of whatever type."""
+    return edges.select(F.explode(F.array("source", "target")).alias("concept")).distinct()
+
+
+def goal_path(goals: DataFrame, needs: DataFrame, scores: DataFrame, threshold: float = C.MASTERY_THRESHOLD, most: int = 10, concepts: DataFrame | None = None) -> DataFrame:
+    """(learner_id, position, concept_id, current_mastery, reason, prerequisites): the way of each learner to a goal (learner_id, concept).
+
+    A goal that isn't among the concepts (those that needs names, if they aren't given) has no path; neither has one that is mastered. Concepts that are mastered aren't part
+    of the way. prerequisites are all of a concept's, in their order by name."""
+    named = (concepts if concepts is not None else needs.select(F.explode(F.array("concept", "needs")).alias("concept"))).select("concept").distinct()
+    known = scores.where(F.col("mastery") >= threshold).select("learner_id", F.col("concept_id").alias("concept"))
+    wanted = closure(goals.join(named, "concept", "left_semi").select("learner_id", "concept"), needs, scores, threshold).join(known, ["learner_id", "concept"], "left_anti")
+    steps = learning_path(wanted, needs, scores, threshold, most)
+    before = needs.groupBy(F.col("concept").alias("concept_id")).agg(F.array_sort(F.collect_set("needs")).alias("prerequisites"))  # as many as a concept has
+    return steps.join(before, "concept_id", "left").select("learner_id", "position", "concept_id", "current_mastery", "reason", F.coalesce("prerequisites", F.array().cast("array<string>")).alias("prerequisites"))
+
+
+def report(events: DataFrame, needs: DataFrame, now: float, weak_below: float = 0.6, weak_most: int = 5, path_most: int = 10) -> DataFrame:
+    """A row for each learner: profile, weak concepts, path through them, preferences, advice, next step."""
+    scores = mastery(events.where(F.col("event_type").isin(*EVENT_TYPES)), now)
+    profile = summary(events, scores).join(preferences(events).select("learner_id", "practice_ratio", "favourite_hour"), "learner_id", "left")
+    lacking = weak(scores, weak_below, weak_most)
+    wanted = closure(lacking.select("learner_id", F.col("concept_id").alias("concept")), needs, scores)
+    known = scores.where(F.col("mastery") >= C.MASTERY_THRESHOLD).select("learner_id", F.col("concept_id").alias("concept"))
+    path = kept(learning_path(wanted.join(known, ["learner_id", "concept"], "left_anti"), needs, scores, most=path_most))
+    listed = lambda rows, order, *columns: F.array_sort(F.collect_list(F.struct(order, *columns)))  # noqa: E731  at most weak_most or path_most of a learner
+    weak_lists = lacking.groupBy("learner_id").agg(listed(lacking, "rank", "concept_id", "mastery").alias("weak_concepts"))
+    path_lists = path.groupBy("learner_id").agg(listed(path, "position", "concept_id", "current_mastery", "reason").alias("recommended_path"))
+    out = recommendations(profile.fillna(0.0, ["practice_ratio"])).join(weak_lists, "learner_id", "left").join(path_lists, "learner_id", "left")
+    return out.join(next_steps(path), "learner_id", "left")

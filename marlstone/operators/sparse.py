@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone import config
 from marlstone.functions.columns import top, words
-from marlstone.operators import text as T
+from marlstone.functions.lineage import kept
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -18,15 +18,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = config.TOP_K, fields: tuple[str, ...] = ("title", "content"), lang: str | None = None, scores_only: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank): the sum over fields and query terms, best k for each query.
 
-    Documents are tokenised once: each row becomes its distinct terms with counts, next to its length, without a shuffle.
-    Only postings of query terms are shuffled, and they carry the length, so no second join with documents is needed."""
+    Documents are read and tokenised once: what is kept of a field are the postings of query terms, with its length, and one
+    row with an empty term, from which numbers and mean lengths of fields come."""
     docs = docs if lang is None else docs.where(F.col("lang") == lang)
     terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
+    wanted = terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     parts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in fields]))
-    held = docs.select("doc_id", parts.alias("t")).select("doc_id", "t.field", "t.w", F.size("t.w").alias("len"))
-    sizes = held.groupBy("field").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n"))
-    tf = held.select("doc_id", "field", "len", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("field", "term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    held = docs.select("doc_id", parts.alias("t")).select("doc_id", "t.field", F.size("t.w").alias("len"), F.explode(F.concat("t.w", F.array(F.lit("")))).alias("term"))
+    found = kept(held.join(wanted, "term", "left_semi").groupBy("field", "term", "doc_id", "len").agg(F.count("*").alias("tf")))
+    sizes = found.where("term = ''").groupBy("field").agg(F.avg("len").alias("avg_len"), F.count("*").alias("n"))
+    tf = found.where("term <> ''")
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     weights = df.join(sizes, "field").select("field", "term", "avg_len", (F.log(F.col("n") / (F.col("df") + 1)) + 1).alias("idf"))
     k1, b = config.BM25_K1, config.BM25_B

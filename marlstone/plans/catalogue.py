@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from marlstone import config
 from marlstone.functions.columns import WORD, top
-from marlstone.operators import align, dense, expand, extract, fusion, graph, learner, linking, metrics, sparse
+from marlstone.functions.lineage import scratch
+from marlstone.operators import align, dense, expand, extract, fusion, graph, learner, linking, metrics, search, sparse
 from marlstone.operators import text as T
 from marlstone.plans import domain as D
 from marlstone.plans.domain import NOW, sql
+from marlstone.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,16 +235,23 @@ def graph_wcc(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("graph") + """, al AS (SELECT source, target FROM edges WHERE type = 'ALIGNED_WITH'), ends AS (SELECT source AS id FROM al UNION SELECT target FROM al)
 SELECT 'edges' AS kind, 'all' AS name, count(*)::DOUBLE AS value FROM al UNION ALL SELECT 'aligned_nodes', 'all', count(*)::DOUBLE FROM ends
 UNION ALL SELECT 'pair', least(a.lang, b.lang) || '-' || greatest(a.lang, b.lang), count(*)::DOUBLE FROM al JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target GROUP BY 2
-UNION ALL SELECT 'coverage', lang, round(avg((e.id IS NOT NULL)::INT), 6) FROM nodes n LEFT JOIN ends e USING (id) GROUP BY lang""")
+UNION ALL SELECT 'coverage', lang, round(avg((e.id IS NOT NULL)::INT), 6) FROM nodes n LEFT JOIN ends e USING (id) GROUP BY lang UNION ALL SELECT 'coverage', 'all', round(avg((e.id IS NOT NULL)::INT), 6) FROM nodes n LEFT JOIN ends e USING (id)""")
 def alignment_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.alignment_stats(D.concept_nodes(spark, d), D.concept_edges(spark, d))
 
 
-@query(sql("graph") + """, reach AS (SELECT source, target FROM edges WHERE type = 'PREREQUISITE' UNION SELECT r.source, e.target FROM reach r JOIN edges e ON r.target = e.source AND e.type = 'PREREQUISITE')
-SELECT 'aligned_within_language' AS rule, source, target FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE edges.type = 'ALIGNED_WITH' AND a.lang = b.lang
-UNION ALL SELECT 'prerequisite_cycle', e.source, e.target FROM edges e WHERE e.type = 'PREREQUISITE' AND EXISTS (FROM reach r WHERE r.source = e.target AND r.target = e.source)""")
+@query(sql("graph") + """, more AS (SELECT source, target, type FROM edges UNION ALL SELECT id, lang || '_src1', 'PREREQUISITE' FROM nodes WHERE i = 3 UNION ALL SELECT id, lang || '_src6', 'ALIGNED_WITH' FROM nodes WHERE i = 5),
+reach AS (SELECT source, target FROM more WHERE type = 'PREREQUISITE' UNION SELECT r.source, e.target FROM reach r JOIN more e ON r.target = e.source AND e.type = 'PREREQUISITE')
+SELECT 'aligned_within_language' AS rule, source, target FROM more JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE more.type = 'ALIGNED_WITH' AND a.lang = b.lang
+UNION ALL SELECT 'prerequisite_cycle', e.source, e.target FROM (SELECT DISTINCT source, target FROM more WHERE type = 'PREREQUISITE') e WHERE EXISTS (FROM reach r WHERE r.source = e.target AND r.target = e.source)
+UNION ALL SELECT 'prerequisite_harder', source, target FROM (SELECT DISTINCT source, target FROM more WHERE type = 'PREREQUISITE') JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE a.i * 7 % 5 > b.i * 7 % 5""")
 def ontology_violations(spark: SparkSession, d: str) -> DataFrame:
-    return graph.ontology_violations(D.concept_nodes(spark, d), D.concept_edges(spark, d))
+    number = F.regexp_extract("id", "[0-9]+$", 0).cast("int")
+    n = D.concept_nodes(spark, d).withColumn("difficulty", (number * 7 % 5).cast("string"))
+    back = n.where(number == 3).select(F.col("id").alias("source"), F.concat("lang", F.lit("_src1")).alias("target"), F.lit("PREREQUISITE").alias("type"))
+    same = n.where(number == 5).select(F.col("id").alias("source"), F.concat("lang", F.lit("_src6")).alias("target"), F.lit("ALIGNED_WITH").alias("type"))
+    e = D.concept_edges(spark, d).select("source", "target", "type").unionByName(back).unionByName(same)
+    return graph.ontology_violations(n, e)
 
 
 LETTERS = lambda x: f"list_distinct(string_split(lower({x}), ''))"
@@ -433,8 +442,10 @@ def contains_qrels(spark: SparkSession, d: str) -> DataFrame:
     short = q.where(F.size("w") < 7).select("qid", "query")
     hit = held.select("doc_id", F.explode(F.array_distinct(runs)).alias("h")).join(long, "h").select("qid", "doc_id", "query").distinct()
     hit = hit.join(docs, "doc_id").where(F.col("content").contains(F.col("query"))).select("qid", "doc_id")
-    rest = docs.join(short, F.col("content").contains(F.col("query"))).select("qid", "doc_id")
-    return hit.unionByName(rest).withColumn("rel", F.lit(1))
+    if not short.isEmpty():
+        asked, held_ = short.select("qid", F.col("query").alias("mention")), docs.select("doc_id", F.col("content").alias("name"))
+        hit = hit.unionByName(linking.containing(asked, held_).select("qid", "doc_id"))
+    return hit.withColumn("rel", F.lit(1))
 
 
 # ---- extraction
@@ -586,7 +597,7 @@ def corpus_validity(spark: SparkSession, d: str) -> DataFrame:
     return T.validity_counts(D.corpus(spark, d))
 
 
-@query("WITH e AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS type, l_quantity AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) SELECT source, target, type, arg_max(weight, seq) AS weight FROM e GROUP BY ALL")
+@query("WITH e AS (SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS type, l_quantity AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) SELECT source, target, type, weight FROM (SELECT *, row_number() OVER (PARTITION BY source, target, type ORDER BY seq DESC, weight DESC) AS r FROM e) WHERE r = 1")
 def graph_upsert(spark: SparkSession, d: str) -> DataFrame:
     e = D.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("type"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return graph.upsert(e, ["source", "target", "type"]).select("source", "target", "type", "weight")
@@ -596,3 +607,183 @@ def graph_upsert(spark: SparkSession, d: str) -> DataFrame:
 def resource_views(spark: SparkSession, d: str) -> DataFrame:
     views = D.corpus(spark, d).select(F.lit(1).cast("long").alias("learner_id"), "concepts", F.lit(0.0).alias("ts"), F.col("doc_id").alias("seq"), F.length("content").alias("duration"))
     return learner.viewed(views).groupBy("concept_id").agg(F.count("*").alias("views"), F.sum("duration").alias("duration"))
+
+
+# ---- search from end to end, with linking
+
+
+LINKED = f"seeds AS (SELECT qid AS seed, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, seq) AS r FROM (SELECT qid, id, seq, round({JACCARD('query', 'name')}, 9) AS similarity FROM questions, nodes WHERE type = 'CONCEPT') WHERE similarity >= 0.2) WHERE r = 1)"
+FOUND = " SELECT qid, doc_id, rank, round(fused_score, 6) AS fused_score, lang FROM fused JOIN corpus USING (doc_id) WHERE rank <= 10"
+
+
+@query(sql("graph", "questions") + f", {LINKED} SELECT seed AS qid, id FROM seeds")
+def link_queries(spark: SparkSession, d: str) -> DataFrame:
+    return search.link_queries(D.questions(spark, d), D.concept_nodes(spark, d), threshold=0.2).select("qid", "id")
+
+
+@query(PARTS_SQL.replace(SEEDS, LINKED) + fused_sql("wide", SUM) + FOUND)
+def search_linked(spark: SparkSession, d: str) -> DataFrame:
+    held = search.Graph(D.concept_nodes(spark, d), D.concept_edges(spark, d))
+    return search.search(D.questions(spark, d), D.corpus(spark, d), held, threshold=0.2).select("qid", "doc_id", "rank", *r6("fused_score"), "lang")
+
+
+@query(PARTS_SQL + fused_sql("wide", "0.4::DOUBLE / (0.4::DOUBLE + 0.3::DOUBLE) * dense + 0.3::DOUBLE / (0.4::DOUBLE + 0.3::DOUBLE) * sparse") + FOUND)
+def search_without_graph(spark: SparkSession, d: str) -> DataFrame:
+    held = search.Graph(D.concept_nodes(spark, d), D.concept_edges(spark, d))
+    return search.search(D.questions(spark, d), D.corpus(spark, d), held, use_kg=False, explain=True).select("qid", "doc_id", "rank", *r6("fused_score"), "lang")
+
+
+def _baselines_sql() -> str:
+    metrics_ = EVAL[EVAL.index("hits AS") :]
+    one = lambda name, run: f"SELECT '{name}' AS run, * FROM (WITH {metrics_.replace('dense_run', run)} SELECT round(avg(ap), 6) AS map, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS \"ndcg@10\", round(avg(precision), 6) AS \"precision@10\", round(avg(recall), 6) AS \"recall@50\" FROM evaluated)"
+    fused_ = fused_sql("wide", "0.4::DOUBLE / (0.4::DOUBLE + 0.3::DOUBLE) * dense + 0.3::DOUBLE / (0.4::DOUBLE + 0.3::DOUBLE) * sparse")
+    no_kg = PARTS_SQL.replace(" UNION ALL SELECT qid, doc_id, 'kg', score, rank FROM kg_run", "")
+    rel = ", qrels AS (SELECT qid, doc_id, 1 AS rel FROM questions, corpus WHERE contains(content, query)), full_run AS (SELECT qid, doc_id, rank FROM fused WHERE rank <= 100) "
+    return no_kg + fused_ + rel + " UNION ALL ".join(one(n, r) for n, r in (("dense_only", "hash_run"), ("sparse_only", "sparse_run"), ("full", "full_run")))
+
+
+@query(_baselines_sql())
+def eval_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Baselines of the indexes there are; the graph's is missing here, so the full run goes without it."""
+    found = search.runs(D.questions(spark, d), D.corpus(spark, d)) | {"kg": None}
+    out = search.evaluated(found, contains_qrels(spark, d))
+    return out.select("run", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in ("map", "mrr", "ndcg@10", "precision@10", "recall@50")])
+
+
+@query()
+def pq_topk(spark: SparkSession, d: str) -> DataFrame:
+    cells, centres = dense.build_cells(D.vectors(spark, d), nlist=CELLS)
+    coded, books = dense.build_codes(cells, centres)
+    return dense.probe_codes(coded, centres, books, D.vector_queries(spark, d), 10, PROBED)
+
+
+# ---- learners: goals and reports
+
+
+@query()
+def goal_path(spark: SparkSession, d: str) -> DataFrame:
+    scores = mastery_table(spark, d)
+    goals = scores.select("learner_id").distinct().withColumn("concept", F.concat(F.lit("c"), (F.col("learner_id") % 12).cast("string")))  # c10 and c11 are no concepts
+    return learner.goal_path(goals, needs_table(spark), scores)
+
+
+@query(sql("learner") + f""", {PROFILE}, {WEAK}, own AS (SELECT learner_id, count(*) FILTER (event_type = 'practice') / greatest(count(*), 1)::DOUBLE AS r FROM learner WHERE event_type <> 'query' GROUP BY 1),
+w AS (SELECT learner_id, count(*)::INT AS n_weak, arg_min(concept_id, rank) AS weakest FROM weak GROUP BY 1)
+SELECT learner_id, concepts, avg_mastery, CASE WHEN avg_mastery < 0.3 THEN 'build_basics' WHEN avg_mastery < 0.6 THEN 'keep_going' ELSE 'advance' END AS overall,
+CASE WHEN round(r, 6) < 0.3 THEN 'practise_more' WHEN round(r, 6) > 0.7 THEN 'read_more' ELSE 'balanced' END AS tip, coalesce(n_weak, 0) AS n_weak, weakest FROM profile JOIN own USING (learner_id) LEFT JOIN w USING (learner_id)""")
+def learner_report(spark: SparkSession, d: str) -> DataFrame:
+    out = learner.report(D.learner_events(spark, d), needs_table(spark), NOW)
+    return out.select("learner_id", "concepts", "avg_mastery", "overall", "tip", F.coalesce(F.size("weak_concepts"), F.lit(0)).alias("n_weak"), F.get("weak_concepts", F.lit(0))["concept_id"].alias("weakest"))
+
+
+@query(sql("learner") + " SELECT learner_id, floor((ts % 86400) / 3600)::INT AS hour, count(*) AS n FROM learner GROUP BY ALL")
+def active_hours(spark: SparkSession, d: str) -> DataFrame:
+    return learner.active_hours(D.learner_events(spark, d))
+
+
+@query(sql("learner") + " SELECT learner_id, CASE seq % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'en' ELSE 'unknown' END AS lang, count(*) AS n FROM learner WHERE event_type = 'query' GROUP BY ALL")
+def query_languages(spark: SparkSession, d: str) -> DataFrame:
+    asked = D.learner_events(spark, d).where("event_type = 'query'")
+    return learner.query_languages(asked.withColumn("lang", F.when(F.col("seq") % 3 == 0, "fr").when(F.col("seq") % 3 == 1, "en")))
+
+
+# ---- graphs from entities, imports
+
+
+@query("""WITH e AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || ' x' END AS name, n_regionkey AS a, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b, CASE WHEN n_nationkey % 3 = 0 THEN 'LOCATION' END AS type FROM nation),
+m AS (SELECT name, CASE WHEN a % 2 = 0 THEN 'fr' ELSE 'unknown' END AS lang, coalesce(type, 'CONCEPT') AS type, a, b FROM e) SELECT lang || '_' || type || '_' || lpad((row_number() OVER (PARTITION BY type ORDER BY a, b) - 1)::VARCHAR, 6, '0') AS id, name, lang, type, a::VARCHAR AS source_doc FROM m""")
+def entity_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = D.table(spark, d, "nation")
+    one = F.struct(F.col("n_nationkey").alias("k"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("entity"), F.concat("n_name", F.lit(" x")).alias("text"), F.when(F.col("n_nationkey") % 3 == 0, "LOCATION").alias("type"))
+    batches = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(one)).alias("entities"))
+    batches = batches.select(F.col("n_regionkey").alias("doc_id"), F.when(F.col("n_regionkey") % 2 == 0, "fr").alias("lang"), "entities", F.col("n_regionkey").alias("seq"))
+    return graph.nodes(graph.mentions_of(batches)).select("id", "name", "lang", "type", "source_doc")
+
+
+@query("""WITH n AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT p_partkey + 1000000, p_name FROM part WHERE p_partkey % 5 <> 0),
+e AS (SELECT l_suppkey AS source, l_partkey + 1000000 AS target, l_returnflag AS type, l_quantity AS weight, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
+SELECT source, target, type, weight FROM (SELECT *, row_number() OVER (PARTITION BY source, target, type ORDER BY seq DESC, weight DESC) AS r FROM e SEMI JOIN n a ON a.id = e.source SEMI JOIN n b ON b.id = e.target) WHERE r = 1""")
+def graph_import(spark: SparkSession, d: str) -> DataFrame:
+    s, p, e = (D.table(spark, d, n) for n in ("supplier", "part", "lineitem"))
+    nodes_ = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).union(p.where("p_partkey % 5 <> 0").select(F.col("p_partkey") + 1000000, "p_name")).withColumn("seq", F.lit(0))
+    edges_ = e.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"), F.col("l_returnflag").alias("type"), F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return graph.imported(nodes_, edges_)[1].select("source", "target", "type", "weight")
+
+
+@query(sql("graph") + " SELECT a.name AS name, edges.type AS type, b.name AS target FROM (FROM edges ORDER BY seq LIMIT 5) edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target")
+def graph_sample(spark: SparkSession, d: str) -> DataFrame:
+    return graph.adjacency_sample(D.concept_nodes(spark, d), D.concept_edges(spark, d))
+
+
+@query(sql("vectors") + f", {ENTITIES}, r AS (SELECT vector FROM vectors WHERE doc_id = 0) SELECT a.entity AS source, b.entity AS target, round(sqrt(list_sum(list_transform(list_zip(a.vector, b.vector, (SELECT vector FROM r)), lambda x: (x[1] + x[3] - x[2]) ** 2))), 6) AS score FROM ents a JOIN ents b ON b.doc_id = a.doc_id + 1")
+def translation_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = entities(spark, d)
+    pairs = e.select("entity", "doc_id").join(e.select(F.col("entity").alias("target"), (F.col("doc_id") - 1).alias("doc_id")), "doc_id").select(F.col("entity").alias("source"), F.lit("NEXT").alias("type"), "target")
+    kinds = e.where("doc_id = 0").select(F.lit("NEXT").alias("type"), "vector")
+    return align.translation_scores(pairs, e, kinds).select("source", "target", *r6("score"))
+
+
+# ---- files, written and read back
+
+
+@query(sql("corpus") + " SELECT doc_id::VARCHAR AS doc_id, lang, md5(title) AS title_md5, md5(content) AS content_md5, concept FROM corpus WHERE content <> ''")
+def corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as folder:
+        rows = D.corpus(spark, d).where("content <> ''").withColumn("doc_id", F.col("doc_id").cast("string"))
+        sinks.json_lines(rows, f"{folder}/corpus_xx_cleaned.jsonl")
+        back = readers.corpus(spark, readers.corpus_files(spark, folder), strict=True)
+        return scratch.held(back.select("doc_id", "lang", F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"), F.array_join("concepts", ",").alias("concept")))
+
+
+@query(sql("corpus", "questions") + f", {BM25} SELECT qid::VARCHAR AS qid, doc_id::VARCHAR AS doc_id, rank FROM sparse_run WHERE rank <= 10")
+def run_files(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as folder:
+        sinks.run(sparse.bm25(D.corpus(spark, d), D.questions(spark, d)), f"{folder}/run.trec", "trec", "BM25")
+        return scratch.held(readers.run(spark, f"{folder}/run.trec"))
+
+
+@query(sql("graph") + " SELECT 'node' AS kind, id AS a, name AS b, type, NULL::DOUBLE AS weight FROM nodes UNION ALL SELECT 'edge', source, target, type, round(weight, 6) FROM edges")
+def graph_files(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as folder:
+        sinks.json_lines(D.concept_nodes(spark, d).select("id", "name", "lang", "type"), f"{folder}/nodes.jsonl")
+        sinks.json_lines(D.concept_edges(spark, d).select("source", "target", "type", F.struct("weight").alias("properties")), f"{folder}/edges.jsonl")
+        n = readers.nodes(spark, f"{folder}/nodes.jsonl").select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), "type", F.lit(None).cast("double").alias("weight"))
+        e = readers.edges(spark, f"{folder}/edges.jsonl").select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "type", F.round("weight", 6).alias("weight"))
+        return scratch.held(n.unionByName(e))
+
+
+# ---- a graph that grows with the tables
+
+
+@query(sql("trade") + f", {DEGREES} SELECT round(avg(n_in) FILTER (n_in > 0), 6) AS avg_in, max(n_in) AS max_in, round(avg(n_out) FILTER (n_out > 0), 6) AS avg_out, max(n_out) AS max_out, (SELECT count(*) FROM nodes ANTI JOIN deg USING (id)) AS isolated FROM deg")
+def trade_degree_stats(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degree_stats(D.trade_nodes(spark, d), D.trade_edges(spark, d))
+
+
+@query(sql("trade") + f", {DEGREES} SELECT id, n_in, n_out, degree, name, lang, type FROM (SELECT *, n_in + n_out AS degree FROM deg ORDER BY degree DESC, id LIMIT 10) JOIN nodes USING (id)")
+def trade_top_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.top_nodes(D.trade_nodes(spark, d), D.trade_edges(spark, d))
+
+
+@query(sql("trade") + " SELECT source, target, type, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target, type)::INT AS rank FROM edges WHERE type IN ('A', 'N')) WHERE rank <= 3")
+def trade_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return expand.neighbours(D.trade_edges(spark, d), 3, ["A", "N"], by_weight=True).select("source", "target", "type", *r6("weight"), "rank")
+
+
+TRADE_HOPS = f""", limited AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS r FROM edges) WHERE r <= 5), seeds AS (SELECT id AS seed, id FROM nodes WHERE type = 'SUPPLIER' AND substr(id, 2)::INT % 10 = 0),
+{HOPS[len(SEEDS) + 2 :]}""".replace("JOIN edges", "JOIN limited")
+
+
+def trade_expanded(spark: SparkSession, d: str) -> DataFrame:
+    seeds_ = D.trade_nodes(spark, d).where("type = 'SUPPLIER' AND cast(substr(id, 2) AS INT) % 10 = 0").select(F.col("id").alias("seed"), "id")
+    return expand.hops(seeds_, D.trade_edges(spark, d), fan_out=5)
+
+
+@query(sql("trade") + TRADE_HOPS + " SELECT seed, hop, source, target, type, round(weight, 6) AS weight FROM expanded")
+def trade_hops(spark: SparkSession, d: str) -> DataFrame:
+    return trade_expanded(spark, d).select("seed", "hop", "source", "target", "type", *r6("weight"))
+
+
+@query(sql("trade") + TRADE_HOPS + ", paths AS (SELECT seed, source, target, round(exp(-0.5::DOUBLE * hop) * (0.8::DOUBLE * weight + 0.2::DOUBLE * 0.5::DOUBLE), 9) AS score FROM expanded) SELECT seed, id, round(max(score), 6) AS score FROM (SELECT seed, source AS id, score FROM paths UNION ALL SELECT seed, target, score FROM paths) GROUP BY ALL")
+def trade_node_score(spark: SparkSession, d: str) -> DataFrame:
+    return expand.node_scores(expand.scored_paths(expand.edge_paths(trade_expanded(spark, d)))).select("seed", "id", *r6("score"))

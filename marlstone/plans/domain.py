@@ -57,6 +57,22 @@ def concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return needs.unionByName(near).unionByName(aligned).withColumn("seq", F.row_number().over(W.orderBy("source", "type", "target")).cast("long"))
 
 
+def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph that grows with the tables: suppliers and parts."""
+    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
+    one = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("xx").alias("lang"), F.lit("SUPPLIER").alias("type"), F.col("s_suppkey").alias("seq"))
+    return one.unionByName(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit("xx").alias("lang"), F.lit("PART").alias("type"), (F.col("p_partkey") + 10**9).alias("seq")))
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge each way for a supplier, a part and a return flag, weighted by the largest quantity; seq orders a node's edges."""
+    flag = F.instr(F.lit("ANR"), F.col("l_returnflag"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey", "l_returnflag").agg((F.max("l_quantity") / 50.0).alias("weight"))
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    out = rows.select(s.alias("source"), p.alias("target"), F.col("l_returnflag").alias("type"), "weight", (F.col("l_partkey") * 10 + flag).alias("seq"))
+    return out.unionByName(rows.select(p.alias("source"), s.alias("target"), F.col("l_returnflag").alias("type"), "weight", (F.col("l_suppkey") * 10 + flag).alias("seq")))
+
+
 def learner_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("view", "click"), "view").when(F.col("event_type").isin("purchase", "error"), "practice").otherwise("query")
@@ -77,6 +93,9 @@ SQL = {
         UNION ALL SELECT a.id, b.id, 'RELATED_TO', 0.3::DOUBLE + (a.i % 7) / 10.0::DOUBLE FROM nodes a JOIN nodes b ON a.lang = b.lang AND b.i = (a.i * 7 + 3) % 20
         UNION ALL SELECT a.id, b.id, 'ALIGNED_WITH', 0.8::DOUBLE FROM nodes a JOIN nodes b ON a.i = b.i AND a.lang < b.lang),
     edges AS (SELECT *, row_number() OVER (ORDER BY source, type, target) AS seq FROM edges0)""",
+    "trade": """nodes AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'xx' AS lang, 'SUPPLIER' AS type, s_suppkey AS seq FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, 'xx', 'PART', p_partkey + 1000000000 FROM part),
+    sold AS (SELECT l_suppkey AS s, l_partkey AS p, l_returnflag AS type, max(l_quantity) / 50.0::DOUBLE AS weight, instr('ANR', l_returnflag) AS f FROM lineitem GROUP BY ALL),
+    edges AS (SELECT 's' || s AS source, 'p' || p AS target, type, weight, p * 10 + f AS seq FROM sold UNION ALL SELECT 'p' || p, 's' || s, type, weight, s * 10 + f FROM sold)""",
     "learner": f"""learner AS (SELECT user_id AS learner_id, 'c' || ((props->>'$.k')::INT % 10) AS concept_id,
         CASE WHEN event_type IN ('view', 'click') THEN 'view' WHEN event_type IN ('purchase', 'error') THEN 'practice' ELSE 'query' END AS event_type, epoch_us(ts) / 1e6::DOUBLE AS ts, event_id AS seq,
         CASE event_type WHEN 'purchase' THEN TRUE WHEN 'error' THEN FALSE END AS success, value AS duration FROM events),

@@ -63,3 +63,47 @@ def shown(results: DataFrame, k: int = 10) -> list[str]:
     snippet = F.substring(F.translate(F.coalesce("content", F.lit("")), "\n\r", "  "), 1, 160)
     rows = results.orderBy("qid", "rank").limit(k).select("rank", "doc_id", "title", snippet.alias("s")).collect()
     return [f"{r['rank']}. {r['doc_id']} {r['title'] or ''} {r['s']}" for r in rows]
+
+
+def json_report(rows: DataFrame, path: str) -> None:
+    """A JSON object a line for each row of a report, such as those of learner.report(), in one file a task."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def ablation_summary(scores: DataFrame, weights: tuple[tuple[str, float, float, float], ...], path: str | None = None) -> str:
+    """The ablation as a Markdown table: a row for each run with its weights, "-" for one of zero, the best metrics bold; scores: run, ndcg, mrr, recall.
+
+    With a path, the same rows also go there as one JSON object. There are as many rows as runs."""
+    found = {r["run"]: r for r in scores.collect()}
+    names = ("ndcg", "mrr", "recall")
+    best = {n: max((r[n] for r in found.values()), default=None) for n in names}
+    shown = lambda n, r: "-" if r is None else f"**{r[n]:.4f}**" if r[n] == best[n] else f"{r[n]:.4f}"
+    lines = ["| " + " | ".join(("run", "dense", "sparse", "kg", *names)) + " |", "| " + " | ".join(["---"] * 7) + " |"]
+    lines += ["| " + " | ".join([run, *(f"{w:g}" if w else "-" for w in given), *(shown(n, found.get(run)) for n in names)]) + " |" for run, *given in weights]
+    if path:
+        rows = scores.withColumn("all", F.struct("run", *names)).agg(F.array_sort(F.collect_list("all")).alias("results"))
+        rows.select(F.to_json(F.struct("results")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return "\n".join(lines)
+
+
+def graph_report(basic: DataFrame, degrees: DataFrame, alignment: DataFrame, components: DataFrame, top_nodes: DataFrame) -> str:
+    """A graph's statistics as Markdown, from the tables of the graph operators: a row for each language, type and pair."""
+    by: dict[str, list] = {}
+    for r in [*basic.collect(), *alignment.collect()]:
+        by.setdefault(r[0], []).append((r[1], r[2]))
+    d = degrees.first()
+    sizes = components.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).limit(20).collect()
+    part = lambda title, rows: [f"## {title}", "", "| name | value |", "| --- | --- |", *(f"| {a} | {b:g} |" if isinstance(b, float) else f"| {a} | {b} |" for a, b in rows), ""]
+    lines = ["# Graph", "", *part("Size", [(k, by[k][0][1]) for k in ("nodes", "edges") if k in by])]
+    for title, kind in (("Nodes by language", "node_lang"), ("Nodes by type", "node_type"), ("Edges by type", "edge_type"), ("Alignments by languages", "pair"), ("Alignment coverage", "coverage")):
+        lines += part(title, sorted(by.get(kind, []), key=str))
+    lines += part("Degrees", [(n, d[n]) for n in ("avg_in", "max_in", "avg_out", "max_out", "isolated")])
+    lines += part("Components by size", [(f"{r['size']} nodes", r["n"]) for r in sizes])
+    lines += part("Nodes of most edges", [(r["name"], r["degree"]) for r in top_nodes.orderBy(F.desc("degree"), "id").collect()])
+    return "\n".join(lines)
+
+
+def model(entities: DataFrame, relations: DataFrame, path: str) -> None:
+    """Embeddings as two Parquet tables, entities (entity, vector) and relations (type, vector)."""
+    entities.write.mode("overwrite").parquet(f"{path}/entities")
+    relations.write.mode("overwrite").parquet(f"{path}/relations")

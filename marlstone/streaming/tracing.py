@@ -30,18 +30,32 @@ def decayed(p: float, days: float) -> float:
     return p * kept + C.P_INIT * (1 - kept)
 
 
-def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     p, last, n = state.get if state.exists else (C.P_INIT, 0.0, 0)
     rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
     for kind, success, ts in zip(rows["event_type"], rows["success"], rows["ts"]):
         p, last, n = step(p, kind, None if pd.isna(success) else bool(success)), max(last, float(ts)), n + 1
     state.update((p, last, n))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame({"learner_id": [key[0]], "concept_id": [key[1]], "mastery": [p], "last_ts": [last], "events": [n]})
 
 
-def traced(events: DataFrame) -> DataFrame:
-    """The mastery of each learner and concept after each micro-batch; events of a batch are taken in order of time."""
-    return events.groupBy("learner_id", "concept_id").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def traced(events: DataFrame, idle_days: float | None = 365.0) -> DataFrame:
+    """The mastery of each learner and concept after each micro-batch; events of a batch are taken in order of time.
+
+    The state of a learner and concept without an event for idle_days of processing time is dropped, so that it doesn't grow for
+    ever; None keeps it. After so long mastery has decayed to its start."""
+    idle = None if idle_days is None else int(idle_days * 86_400_000)
+    kind = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def run(key, batches, state):
+        yield from update(key, batches, state, idle)
+
+    return events.groupBy("learner_id", "concept_id").applyInPandasWithState(run, OUTPUT, STATE, "update", kind)
 
 
 def activity(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

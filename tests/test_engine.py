@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import letter_jaccard, letters, words
-from marlstone.operators import align, dense, expand, extract, fusion, graph, learner, linking, metrics, sparse
+from marlstone.operators import align, dense, expand, extract, fusion, graph, learner, linking, metrics, models, sparse
 from marlstone.operators import text as T
 from marlstone.plans import catalogue
 from marlstone.sources import readers, sinks
@@ -58,9 +58,11 @@ def test_bm25_by_hand(spark):
     assert rows[0].score == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / (5 / 3))), abs=1e-8)
 
 
-def test_dense_blocks_equal_a_plain_product(spark, monkeypatch):
+@pytest.mark.parametrize("shipped", [0, 32 << 20])
+def test_dense_blocks_equal_a_plain_product(spark, monkeypatch, shipped):
     import numpy as np
 
+    monkeypatch.setattr(dense, "SHIPPED", shipped)
     monkeypatch.setattr(dense, "BLOCK", 40)
     monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(1)
@@ -304,3 +306,173 @@ def test_stream_equals_the_fold(spark, tmp_path):
     for r in learner.mastery(batch, 59.0).collect():
         end = max(x[3] for x in rows if (x[0], x[1]) == (r.learner_id, r.concept_id))
         assert tracing.decayed(last[r.learner_id, r.concept_id], (59.0 - end) / 86400) == pytest.approx(r.mastery, abs=1e-6)
+
+
+# ---- model slots
+
+
+def failing():
+    def find(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("a model's error")
+        return [[{"entity": w, "type": "PER"} for w in t.split() if w[0].isupper()] for t in texts]
+
+    return find
+
+
+def test_recogniser_slot(spark):
+    rows = [(1, "fr", "Anna voit Paul et Anna"), (2, "fr", "  "), (3, "fr", None), (4, "fr", "bad Text"), (5, None, "Zoé")]
+    docs = table(spark, rows, "doc_id int, lang string, content string")
+    got = sorted((r.doc_id, r.text, r.type, r.start, r.end) for r in models.recognised(docs, failing, most_errors=1).collect())
+    assert got == [(1, "Anna", "Person", 0, 4), (1, "Anna", "Person", 0, 4), (1, "Paul", "Person", 10, 14), (5, "Zoé", "Person", 0, 3)]
+    with pytest.raises(Exception, match="a model's error"):
+        models.recognised(docs, failing).collect()
+    names = models.gazetteer_recogniser({"deep learning": "Concept", "Paris": "LOC"})
+    got = sorted((r.text, r.type, r.start) for r in models.recognised(table(spark, [(1, "en", "Deep learning in PARIS, parisian")], "doc_id int, lang string, content string"), names).collect())
+    assert got == [("Deep learning", "Concept", 0), ("PARIS", "Location", 17)]
+
+
+def test_encoder_slot_equals_the_hashing_encoder(spark):
+    docs = table(spark, [(1, "Ab.c d'e 深度学习 ab ab x_1..y"), (2, ""), (3, None), (4, "ab")], "k int, t string")
+    got, want = ({r.k: r.vector for r in f.collect()} for f in (models.encoded(docs, "k", "t", models.hashing_encoder()), dense.hashed(docs, "k", "t")))
+    assert all(got[k] == pytest.approx(want[k]) for k in range(1, 5)) and sum(map(abs, got[2])) == 0
+
+
+def test_codes_find_near_vectors(spark):
+    d = catalogue.D
+    for sf in ("sf0.001", "sf0.01"):
+        path = f"/root/testdata/{sf}"
+        got = {(r.qid, r.doc_id) for r in catalogue.pq_topk(spark, path).collect()}
+        want = {(r.qid, r.doc_id) for r in dense.exact(d.vectors(spark, path), d.vector_queries(spark, path), 10).collect()}
+        assert len(got & want) / len(want) >= 0.9
+
+
+# ---- search, imports, goals
+
+
+def test_containing_equals_a_scan(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abé 中") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    asked = sorted({n[i : i + rng.randint(1, 7)] for n in names for i in (0, 2, 5)} | {"", "zz", "abab"})
+    got = {(r.mention, r.id) for r in linking.containing(table(spark, [(a,) for a in asked], "mention string"), table(spark, list(enumerate(names)), "id int, name string")).collect()}
+    assert got == {(a, i) for a in asked if a for i, n in enumerate(names) if a in n}
+
+
+def test_fuzzy_equals_all_pairs(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoin shrdluq1中") for _ in range(rng.randint(1, 9)))
+    nodes = [(f"n{i}", word(), rng.choice(["en", "fr"]), rng.choice(["C", "D"]), i) for i in range(150)]
+    asked = [(word(), rng.choice(["auto", "en", None]), rng.choice([None, "C"])) for _ in range(60)]
+    for t in (0.2, 0.4, 0.8, 1.0):
+        got = sorted((r.mention, str(r.lang), str(r.type), r["rank"], r.id) for r in linking.fuzzy(table(spark, asked, "mention string, lang string, type string"), table(spark, nodes, "id string, name string, lang string, type string, seq int"), t, keep=("lang", "type")).collect())
+        want = set()
+        for m, lang, kind in asked:
+            fit = [(-round(len(set(m) & set(n)) / len(set(m) | set(n)), 9), seq, i) for i, n, la, k, seq in nodes if lang in ("auto", None, la) and kind in (None, k)]
+            want |= {(m, str(lang), str(kind), r, x[2]) for r, x in enumerate(sorted(x for x in fit if -x[0] >= t)[:5], 1)}
+        assert got == sorted(want)
+
+
+def test_upsert_settles_ties_and_imports_need_both_ends(spark):
+    rows = [("a", "b", "X", 1.0, 1), ("a", "b", "X", 3.0, 2), ("a", "b", "X", 2.0, 2), ("a", "z", "X", 1.0, 3), ("b", "a", "X", None, 1)]
+    edges = table(spark, rows, EDGES)
+    nodes = table(spark, [("a", "A", 1), ("b", "B", 1), ("a", "A2", 2)], "id string, name string, seq int")
+    n, e = graph.imported(nodes, edges)
+    assert sorted((r.id, r.name) for r in n.collect()) == [("a", "A2"), ("b", "B")]
+    assert sorted((r.source, r.target, r.weight) for r in e.collect()) == [("a", "b", 3.0), ("b", "a", None)]
+    later, third = table(spark, [("a", "b", "X", 9.0, 5), ("c", "a", "X", 1.0, 5)], EDGES), table(spark, [("c", "C", 5)], "id string, name string, seq int")
+    assert sorted((r.source, r.weight) for r in graph.imported(third, later, (n, e))[1].collect()) == [("a", 9.0), ("b", None), ("c", 1.0)]
+    assert graph.imported(third, later, (n, e), clear=True)[1].count() == 0
+    assert [r.id for r in graph.repeated_ids(nodes).collect()] == ["a"]
+
+
+def test_cycles_of_any_length_and_difficulties(spark):
+    chain = [(f"n{i}", f"n{(i + 1) % 40}", "PREREQUISITE", 1.0, i) for i in range(40)] + [("n3", "out", "PREREQUISITE", 1.0, 50), ("in", "n5", "PREREQUISITE", 1.0, 51), ("x", "x", "PREREQUISITE", 1.0, 52)]
+    nodes = table(spark, [("in", "in", "en", "C", 1, "advanced"), ("n5", "n5", "en", "C", 2, "Beginner"), ("out", "out", "en", "C", 3, None)], f"{NODES}, difficulty string")
+    got = {(r.rule, r.source, r.target) for r in graph.ontology_violations(nodes, table(spark, chain, EDGES)).collect()}
+    assert got == {("prerequisite_cycle", a, b) for a, b, *_ in chain[:40]} | {("prerequisite_cycle", "x", "x"), ("prerequisite_harder", "in", "n5")}
+
+
+def test_numbers_run_on_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), i) for i in range(500)]
+    got = {(r.g, r.o): r.number for r in graph.numbered(table(spark, rows, "g string, o int").repartition(7), "g", "o").collect()}
+    for g in "abc":
+        assert [got[g, o] for k, o in rows if k == g] == list(range(sum(k == g for k, _ in rows)))
+
+
+def goal_path_by_force(goal, needs, score, threshold=0.7, most=10):
+    named = {x for pair in needs for x in pair}
+    if goal not in named:
+        return []
+    want, queue, seen = set(), [goal], set()
+    while queue:
+        c = queue.pop()
+        if c in seen:
+            continue
+        seen.add(c)
+        if score.get(c, 0.0) < threshold:
+            want.add(c)
+            queue += [n for k, n in needs if k == c]
+    out = []
+    while len(out) < len(want):
+        ready = [c for c in want - set(out) if all(n in out or n not in want for k, n in needs if k == c)]
+        out.append(min(ready or want - set(out), key=lambda c: (score.get(c, 0.0), c)))
+    return out[:most]
+
+
+def test_goal_paths_equal_brute_force(spark):
+    rng = random.Random(8)
+    names = [f"c{i:02d}" for i in range(16)]
+    needs = sorted({(names[j], names[i]) for i in range(16) for j in range(i + 1, 16) if rng.random() < 0.2})
+    scores = [(u, c, round(rng.random(), 3)) for u in range(12) for c in names if rng.random() < 0.8]
+    goals = [(u, rng.choice([*names, "nowhere"])) for u in range(12)]
+    got = {}
+    for r in learner.goal_path(table(spark, goals, "learner_id long, concept string"), table(spark, needs, "concept string, needs string"), table(spark, scores, "learner_id long, concept_id string, mastery double")).collect():
+        got.setdefault(r.learner_id, []).append((r.position, r.concept_id, r.prerequisites))
+    for u, goal in goals:
+        want = goal_path_by_force(goal, needs, {c: s for v, c, s in scores if v == u})
+        assert [c for _, c, _ in sorted(got.get(u, []))] == want
+        assert all(p == sorted(n for k, n in needs if k == c) for _, c, p in got.get(u, []))
+
+
+def test_documents_without_ids_stay_and_the_last_file_wins(spark, tmp_path):
+    for name, rows in (("a", [{"content": "one"}, {"content": "one"}, {"doc_id": "x", "content": "old"}]), ("b", [{"content": "two", "lang": "fr"}, {"doc_id": "x", "content": "new"}, {"text": "three"}, {"doc_id": None, "content": "four"}])):
+        (tmp_path / f"corpus_{name}.jsonl").write_text("\n".join(map(json.dumps, rows)) + ("\n" * 3000 if name == "a" else ""))
+    got = readers.corpus(spark, readers.corpus_files(spark, str(tmp_path))).collect()
+    assert sorted(r.content for r in got) == ["four", "new", "one", "one", "three", "two"] and len({r.doc_id for r in got}) == 6
+
+
+def test_translation_scores_and_projection(spark):
+    triples = table(spark, [("a", "X", "b", 1.0, 1)], "source string, type string, target string, weight double, seq long")
+    ents = table(spark, [("a", [1.0, 2.0]), ("b", [0.0, 1.0])], "entity string, vector array<double>")
+    kinds = table(spark, [("X", [0.5, 0.0])], "type string, vector array<double>")
+    assert align.translation_scores(triples, ents, kinds).first().score == pytest.approx(math.hypot(1.5, 1.0), abs=1e-8)
+    assert align.translation_scores(triples, ents, kinds, [[0.0, 1.0], [1.0, 0.0]]).first().score == pytest.approx(math.hypot(2.5, 0.0), abs=1e-8)
+
+
+# ---- reports and generators
+
+
+def test_reports_and_generators(spark, tmp_path):
+    nodes, edges = readers.mock_graph(spark)
+    basic, deg, al = graph.basic_stats(nodes, edges), graph.degree_stats(nodes, edges), graph.alignment_stats(nodes, edges)
+    text = sinks.graph_report(basic, deg, al, graph.weak_components(nodes, edges), graph.top_nodes(nodes, edges))
+    assert "| nodes | 12 |" in text and "| edges | 17 |" in text and "| 12 nodes | 1 |" in text and "| all | 1 |" in text
+    scores = table(spark, [("a", 0.5, 0.25, 1.0), ("b", 0.75, 0.2, 0.5)], "run string, ndcg double, mrr double, recall double")
+    text = sinks.ablation_summary(scores, (("a", 1.0, 0.0, 0.0), ("b", 0.4, 0.6, 0.0), ("c", 0.0, 0.0, 1.0)), str(tmp_path / "s"))
+    assert text.splitlines()[2:] == ["| a | 1 | - | - | 0.5000 | **0.2500** | **1.0000** |", "| b | 0.4 | 0.6 | - | **0.7500** | 0.2000 | 0.5000 |", "| c | - | - | 1 | - | - | - |"]
+    assert len(json.loads(spark.read.text(str(tmp_path / "s")).first()[0])["results"]) == 2
+    events_ = readers.mock_events(spark)
+    found = learner.report(events_, table(spark, [("pronunciation", "alphabet")], "concept string, needs string"), 1_700_100_000.0)
+    sinks.json_report(found, str(tmp_path / "r"))
+    back = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert len(back) == 3 and all(r["concepts"] == len(readers.MOCK_LEARNER) for r in back)
+    batches = readers.mock_entities(spark, "fr")
+    assert batches.count() == 20 and graph.nodes(graph.mentions_of(batches)).count() == len(readers.MOCK_CONCEPTS)
+    assert readers.mock_relations(spark, "fr").where("head = tail").count() == 0
+    ents, rels, triples = align.entity_table(nodes, edges.union(table(spark, [("concept_grammar_fr", "nowhere", "OTHER", 1.0, 99)], EDGES)))
+    assert (ents.count(), sorted(r.type for r in rels.collect()), triples.count()) == (12, ["ALIGNED_WITH", "OTHER", "PREREQUISITE"], 17)
+    both = align.trained(edges, dim=8, epochs=2, parts=True)
+    sinks.model(both.where("kind = 'entity'").select(F.col("name").alias("entity"), "vector"), both.where("kind = 'relation'").select(F.col("name").alias("type"), "vector"), str(tmp_path / "m"))
+    e, r = readers.model(spark, str(tmp_path / "m"))
+    assert (e.count(), r.count()) == (12, 2) and align.translation_scores(edges, e, r).count() == 17
