@@ -204,7 +204,7 @@ def build_codes(cells: DataFrame, centres: DataFrame, m: int = 8, bits: int = 8,
                 np.add.at(sums, near, x)
                 book[n > 0] = sums[n > 0] / n[n > 0, None]
             books.append(book)
-        return pa.table({"books": [np.stack(books).astype("<f8").tobytes()], "width": [rest.shape[1] // m]})
+        return pa.table({"books": [np.stack(books).astype("<f8").tobytes()], "width": pa.array([rest.shape[1] // m], pa.int32())})
 
     made = picked.groupBy().applyInArrow(fit, "books binary, width int").first()
     books = np.frombuffer(made["books"], "<f8").reshape(m, 1 << bits, made["width"])

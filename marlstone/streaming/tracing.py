@@ -44,11 +44,12 @@ def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_
     yield pd.DataFrame({"learner_id": [key[0]], "concept_id": [key[1]], "mastery": [p], "last_ts": [last], "events": [n]})
 
 
-def traced(events: DataFrame, idle_days: float | None = 365.0) -> DataFrame:
+def traced(events: DataFrame, idle_days: float | None = None) -> DataFrame:
     """The mastery of each learner and concept after each micro-batch; events of a batch are taken in order of time.
 
-    The state of a learner and concept without an event for idle_days of processing time is dropped, so that it doesn't grow for
-    ever; None keeps it. After so long mastery has decayed to its start."""
+    With idle_days the state of a learner and concept without an event for so many days of processing time is dropped, so that it
+    doesn't grow for ever; after a year mastery has decayed to its start. Such a stream needs a trigger by time: with
+    availableNow Spark waits for timeouts and doesn't end. None keeps all states."""
     idle = None if idle_days is None else int(idle_days * 86_400_000)
     kind = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
 
