@@ -30,7 +30,8 @@ def small_batches(spark: SparkSession) -> None:
     Spark reads these two settings when a plan is made, which is after an operator has returned it, so they hold from then on."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        held = int(spark.conf.get(key).rstrip("bB"))
+        number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+        held = int(number) << 10 * " kmgtp".index(unit or " ")
         if held <= 0 or held > most:
             spark.conf.set(key, most)
 
