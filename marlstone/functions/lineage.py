@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.functions.session import plain_unions
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary local one only where that is unset and the master is local."""
@@ -20,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """df in the session's shared checkpoint folder."""
+    plain_unions(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))

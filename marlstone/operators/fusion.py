@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone import config
 from marlstone.functions.columns import top
+from marlstone.functions.session import plain_unions
 
 SOURCES = ("dense", "sparse", "kg")
 METHODS = ("weighted_sum", "rrf", "max")
@@ -21,6 +22,7 @@ def weights(alpha: float, beta: float, gamma: float) -> tuple[float, float, floa
 
 def components(dense: DataFrame, sparse: DataFrame, kg: DataFrame) -> DataFrame:
     """(qid, doc_id, source, score, rank) of the three runs in one table."""
+    plain_unions(dense.sparkSession)
     out = None
     for name, run in zip(SOURCES, (dense, sparse, kg)):
         part = run.select("qid", "doc_id", F.lit(name).alias("source"), F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone import config
 from marlstone.functions.columns import top
+from marlstone.functions.lineage import kept
 from marlstone.operators import dense, expand, fusion, linking, metrics, sparse
 
 log = logging.getLogger(__name__)
@@ -84,7 +85,7 @@ def baselines(found: dict[str, DataFrame | None], k: int = 100) -> dict[str, Dat
     """Runs (qid, doc_id, score, rank) by baseline: dense_only, sparse_only, and full of what there is.
 
     found: the sources' runs, None for one whose index is missing; its baseline is left out, and full goes without it."""
-    there = {n: run for n, run in found.items() if run is not None}
+    there = {n: kept(run) for n, run in found.items() if run is not None}  # each is read twice, and is small
     for name in found.keys() - there.keys():
         log.warning("no index for %s, its baseline is left out", name)
     out = {f"{n}_only": run for n, run in there.items() if n != "kg"}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import letter_jaccard, letters, words
-from marlstone.operators import align, dense, expand, extract, fusion, graph, learner, linking, metrics, models, sparse
+from marlstone.operators import align, dense, expand, extract, fusion, graph, learner, linking, metrics, models, search, sparse
 from marlstone.operators import text as T
 from marlstone.plans import catalogue
 from marlstone.sources import readers, sinks
@@ -476,3 +476,12 @@ def test_reports_and_generators(spark, tmp_path):
     sinks.model(both.where("kind = 'entity'").select(F.col("name").alias("entity"), "vector"), both.where("kind = 'relation'").select(F.col("name").alias("type"), "vector"), str(tmp_path / "m"))
     e, r = readers.model(spark, str(tmp_path / "m"))
     assert (e.count(), r.count()) == (12, 2) and align.translation_scores(edges, e, r).count() == 17
+
+
+def test_fused_runs_have_each_document_once(spark):
+    """Two runs that are dealt out by query, and a third that is empty: Spark 4.1 would group their union without an exchange."""
+    d, path = catalogue.D, "/root/testdata/sf0.01"
+    found = search.runs(d.questions(spark, path), d.corpus(spark, path))
+    fused = fusion.fuse(fusion.components(found["dense"], found["sparse"], found["sparse"].limit(0)), by=(0.4, 0.3, 0.0), k=100)
+    scores = metrics.compare({"full": fused, "sparse": found["sparse"]}, catalogue.contains_qrels(spark, path)).collect()
+    assert all(0 <= r["map"] <= 1 for r in scores) and fused.groupBy("qid", "doc_id").count().where("count > 1").isEmpty()
