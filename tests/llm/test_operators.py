@@ -688,16 +688,18 @@ def test_pages(spark):
 # ---- shared pieces
 
 
-def test_batches_stay_smaller_where_the_caller_wants(spark):
+@pytest.mark.parametrize(("rows", "size", "want"), [("10000", "64m", ("400", 4 << 20)), ("100", "1MB", ("100", "1MB")), ("0", "8192k", ("400", 4 << 20)), ("400", "1g", ("400", 4 << 20))])
+def test_batches_stay_smaller_where_the_caller_wants(spark, rows, size, want):
     keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
     before = [spark.conf.get(k) for k in keys]
-    for given, want in ((("10000", "64m"), [400, 4 << 20]), (("100", "1MB"), ["100", "1MB"]), (("0", "-1"), [400, 4 << 20]), (("400", "5g"), ["400", 4 << 20])):
-        for k, v in zip(keys, given):
+    try:
+        for k, v in zip(keys, (rows, size)):
             spark.conf.set(k, v)
         common.small_batches(spark)
-        assert [spark.conf.get(k) for k in keys] == [str(w) for w in want] or [int(spark.conf.get(k).rstrip("b")) for k in keys] == [int(w) for w in want]
-    for k, v in zip(keys, before):
-        spark.conf.set(k, v)
+        assert [spark.conf.get(k) for k in keys] == [str(w) for w in want]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
 
 
 def test_components(spark):
