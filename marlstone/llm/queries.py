@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, fingerprints, html_text, licenses, minhash, mixing, secrets, suffixes, topk, toxicity
+from marlstone.llm import bpe, conversations, fingerprints, html_text, importance, licenses, minhash, mixing, secrets, suffixes, tokenfiles, topk, toxicity
 from marlstone.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.report(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.report(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -61,10 +73,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_token_files": op12_token_files,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": topk.oracle(),
     "op7_license_scan": licenses.oracle(),
     "op9_mixing": mixing.oracle(),
+    "op11_conversation_trie": conversations.oracle(),
+    "op13_importance": importance.oracle(),
 }
