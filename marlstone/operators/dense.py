@@ -14,6 +14,8 @@ from marlstone.functions.columns import top, words
 
 #: Rows of a candidate and of a query block; a task multiplies one of each.
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Coded vectors of a cell that one task meets.
+PART_ROWS = 65_536
 #: Bytes of queries that are sent to all tasks.
 SHIPPED = 32 << 20
 #: Query rows whose distances are computed at once, and pairs whose differences are.
@@ -242,9 +244,12 @@ def probe_codes(coded: DataFrame, centres: DataFrame, books: np.ndarray, queries
         rows, columns = np.nonzero(about >= cut[:, None])
         return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "about": pa.array(about[rows, columns])})
 
-    split = F.pmod(F.xxhash64("doc_id"), F.lit(64))  # a cell's vectors go to several tasks
-    parts = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    found = parts.groupBy("cell", "part").cogroup(coded.withColumn("part", split).groupBy("cell", "part")).applyInArrow(meet, f"qid {kinds[0]}, doc_id {kinds[1]}, about double")
+    # a large cell's vectors go to several tasks, and its queries to each of them; the keys of both sides have one type, as equal numbers of other types are dealt elsewhere
+    sizes = coded.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    spread = lambda df, part: df.withColumn("cell", F.col("cell").cast("int")).join(F.broadcast(sizes), "cell").withColumn("part", part).drop("parts")  # noqa: E731  a row a cell
+    parts = spread(near, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = spread(coded, F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    found = parts.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(meet, f"qid {kinds[0]}, doc_id {kinds[1]}, about double")
     best = top(found, ["qid"], [F.desc("about"), F.col("doc_id")], refine * k).select("qid", "doc_id")
     whole = best.join(coded.select("doc_id", "vector"), "doc_id").join(queries.select("qid", F.col("vector").alias("query")), "qid")
     return top(whole.select("qid", "doc_id", F.round(dot(F.col("query"), F.col("vector")), 9).alias("score")), ["qid"], [F.desc("score"), F.col("doc_id")], k)
