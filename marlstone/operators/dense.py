@@ -173,62 +173,106 @@ def build_cells(vectors: DataFrame, nlist: int = 100, seed: int = 42) -> tuple[D
     return model.transform(ready).select("doc_id", "vector", "cell"), centres
 
 
-def probe(cells: DataFrame, centres: DataFrame, queries: DataFrame, k: int = config.TOP_K, nprobe: int = 10) -> DataFrame:
-    """Top k of each query among the vectors of its nprobe nearest cells; the number of cells is nlist, so centres are broadcast."""
+def nearest_cells(centres: DataFrame, queries: DataFrame, nprobe: int) -> DataFrame:
+    """queries with the cell, near and probe of their nprobe nearest cells; the number of cells is a parameter, so centres are broadcast."""
     from marlstone.functions.columns import dot
 
     near = queries.join(F.broadcast(centres)).withColumn("near", dot(F.col("vector"), F.col("centre")))
-    near = top(near, ["qid"], [F.desc("near"), F.col("cell")], nprobe, "probe").select("qid", F.col("vector").alias("query"), "cell")
+    return top(near, ["qid"], [F.desc("near"), F.col("cell")], nprobe, "probe")
+
+
+def probe(cells: DataFrame, centres: DataFrame, queries: DataFrame, k: int = config.TOP_K, nprobe: int = 10) -> DataFrame:
+    """Top k of each query among the vectors of its nprobe nearest cells."""
+    from marlstone.functions.columns import dot
+
+    near = nearest_cells(centres, queries, nprobe).select("qid", F.col("vector").alias("query"), "cell")
     scored = near.join(cells, "cell").select("qid", "doc_id", F.round(dot(F.col("query"), F.col("vector")), 9).alias("score"))
     return top(scored, ["qid"], [F.desc("score"), F.col("doc_id")], k)
 
 
-def build_codes(cells: DataFrame, centres: DataFrame, m: int = 8, bits: int = 8, sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, vector, cell, code binary) and the code books (m, 2**bits, numbers of a part): product quantisation of what
-    vectors differ by from their cell's centre.
+def picked(df: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most about `most` rows, by a hash of the id."""
+    share = min(1.0, most / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
 
-    Books are fitted by Lloyd's rounds on at most about `sample` vectors, picked by a hash of the id, in one task; every vector
-    is coded. Books have a fixed size and are sent to all tasks."""
-    joined = cells.join(F.broadcast(centres), "cell").select("doc_id", "vector", "cell", "centre")  # nlist centres
-    share = min(1.0, sample / max(1, cells.count()))
-    picked = joined.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))
+
+def lloyd(x: np.ndarray, book: np.ndarray, rounds: int) -> np.ndarray:
+    """Centres after some rounds of k-means from `book`."""
+    for _ in range(rounds):
+        near = nearest_rows(x, book)
+        sums, n = np.zeros_like(book), np.bincount(near, minlength=len(book))
+        np.add.at(sums, near, x)
+        book[n > 0] = sums[n > 0] / n[n > 0, None]
+    return book
+
+
+def nearest_rows(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((x**2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * x @ book.T).argmin(1)
+
+
+def parts_of(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The codes of rows: the nearest entry of each part's book."""
+    return np.stack([nearest_rows(y, book) for y, book in zip(np.split(x, len(books), axis=1), books)], 1)
+
+
+def fit_codes(rest: DataFrame, m: int, bits: int, seed: int, turns: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(books, rotation) fitted in one task on a bounded sample of (vector, centre).
+
+    Each of the `turns` re-codes the sample and then takes the rotation that brings it nearest to its codes (the orthogonal
+    Procrustes problem); without turns the rotation is the identity."""
 
     def fit(part: pa.Table) -> pa.Table:
-        rest = matrix(part, "vector") - matrix(part, "centre")
-        rest = rest[np.lexsort(rest.T)]
+        x = matrix(part, "vector") - matrix(part, "centre")
+        x = x[np.lexsort(x.T)]
         rng = np.random.default_rng(seed)
-        books = []
-        for x in np.split(rest, m, axis=1):
-            book = x[rng.choice(len(x), 1 << bits, replace=len(x) < 1 << bits)].copy()
-            for _ in range(12):
-                near = ((x**2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * x @ book.T).argmin(1)
-                sums, n = np.zeros_like(book), np.bincount(near, minlength=len(book))
-                np.add.at(sums, near, x)
-                book[n > 0] = sums[n > 0] / n[n > 0, None]
-            books.append(book)
-        return pa.table({"books": [np.stack(books).astype("<f8").tobytes()], "width": pa.array([rest.shape[1] // m], pa.int32())})
-
-    made = picked.groupBy().applyInArrow(fit, "books binary, width int").first()
-    books = np.frombuffer(made["books"], "<f8").reshape(m, 1 << bits, made["width"])
-
-    def code(batches):
+        rotation = np.eye(x.shape[1])
+        books = np.stack([y[rng.choice(len(y), 1 << bits, replace=len(y) < 1 << bits)] for y in np.split(x, m, axis=1)])
+        for turn in range(turns + 1):
+            turned = x @ rotation
+            books = np.stack([lloyd(y, book.copy(), 12 if turn == turns else 2) for y, book in zip(np.split(turned, m, axis=1), books)])
+            if turn < turns:
+                code = parts_of(turned, books)
+                u, _, v = np.linalg.svd(x.T @ np.concatenate([books[i][code[:, i]] for i in range(m)], axis=1))
+                rotation = u @ v
+        return pa.table({"books": [books.astype("<f8").tobytes()], "rotation": [rotation.astype("<f8").tobytes()], "width": pa.array([x.shape[1]], pa.int32())})
+
+    made = rest.select("vector", "centre").groupBy().applyInArrow(fit, "books binary, rotation binary, width int").first()
+    width = made["width"]
+    return np.frombuffer(made["books"], "<f8").reshape(m, 1 << bits, width // m), np.frombuffer(made["rotation"], "<f8").reshape(width, width)
+
+
+def code(joined: DataFrame, books: np.ndarray, rotation: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, vector, cell, code binary) of rows (doc_id, vector, cell, centre). Books and rotation have a fixed size and go to all tasks."""
+    m, size, width = books.shape
+
+    def run(batches):
         for batch in batches:
             part = pa.Table.from_batches([batch])
-            rest = matrix(part, "vector") - matrix(part, "centre") if batch.num_rows else np.empty((0, m * books.shape[2]))
-            near = [((x**2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * x @ book.T).argmin(1) for x, book in zip(np.split(rest, m, axis=1), books)]
-            codes = np.stack(near, 1).astype(np.uint8 if bits <= 8 else np.uint16)
+            rest = matrix(part, "vector") - matrix(part, "centre") if batch.num_rows else np.empty((0, m * width))
+            codes = parts_of(rest if rotation is None else rest @ rotation, books).astype(np.uint8 if size <= 256 else np.uint16)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary())], names=["doc_id", "vector", "cell", "code"])
 
+    joined = joined.select("doc_id", "vector", "cell", "centre")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema[:3])
-    return joined.mapInArrow(code, f"{fields}, code binary"), books
+    return joined.mapInArrow(run, f"{fields}, code binary")
+
+
+def build_codes(cells: DataFrame, centres: DataFrame, m: int = 8, bits: int = 8, sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, vector, cell, code binary) and the code books (m, 2**bits, numbers of a part): product quantisation of what
+    vectors differ by from their cell's centre.
+
+    Books are fitted by Lloyd's rounds on at most about `sample` vectors, picked by a hash of the id, in one task; every vector
+    is coded. Books have a fixed size and are sent to all tasks."""
+    joined = cells.join(F.broadcast(centres), "cell").select("doc_id", "vector", "cell", "centre")  # nlist centres
+    books, _ = fit_codes(picked(joined, sample, seed), m, bits, seed)
+    return code(joined, books), books
 
 
-def probe_codes(coded: DataFrame, centres: DataFrame, books: np.ndarray, queries: DataFrame, k: int = config.TOP_K, nprobe: int = 10, refine: int = 10) -> DataFrame:
+def probe_codes(coded: DataFrame, centres: DataFrame, books: np.ndarray, queries: DataFrame, k: int = config.TOP_K, nprobe: int = 10, refine: int = 10, rotation: np.ndarray | None = None) -> DataFrame:
     """Top k of each query by inner product: refine * k candidates by their codes in the nprobe nearest cells, then by whole vectors."""
     from marlstone.functions.columns import dot
 
-    near = queries.join(F.broadcast(centres)).withColumn("near", dot(F.col("vector"), F.col("centre")))
-    near = top(near, ["qid"], [F.desc("near"), F.col("cell")], nprobe, "probe").select("qid", F.col("vector").alias("query"), "cell", "near")
+    near = nearest_cells(centres, queries, nprobe).select("qid", F.col("vector").alias("query"), "cell", "near")
     kinds = queries.schema["qid"].dataType.simpleString(), coded.schema["doc_id"].dataType.simpleString()
     m, size, width = books.shape
     kind = np.uint8 if size <= 256 else np.uint16
@@ -237,7 +281,8 @@ def probe_codes(coded: DataFrame, centres: DataFrame, books: np.ndarray, queries
         if not a.num_rows or not b.num_rows:
             return pa.table({"qid": a.column("qid").slice(0, 0), "doc_id": b.column("doc_id").slice(0, 0), "about": pa.array([], pa.float64())})
         codes = np.frombuffer(b"".join(b.column("code").to_pylist()), kind).reshape(-1, m)
-        tables = np.einsum("qmw,msw->qms", matrix(a, "query").reshape(-1, m, width), books)
+        asked = matrix(a, "query") if rotation is None else matrix(a, "query") @ rotation
+        tables = np.einsum("qmw,msw->qms", asked.reshape(-1, m, width), books)
         about = a.column("near").to_numpy()[:, None] + sum(tables[:, i, codes[:, i]] for i in range(m))
         n = min(refine * k, about.shape[1])
         cut = np.partition(about, about.shape[1] - n, axis=1)[:, about.shape[1] - n]

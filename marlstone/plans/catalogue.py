@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone import config
 from marlstone.functions.columns import WORD, top
 from marlstone.functions.lineage import scratch
-from marlstone.operators import align, dense, expand, extract, fusion, graph, learner, linking, metrics, search, sparse
+from marlstone.operators import align, dense, expand, extract, fusion, graph, inverted, learner, linking, metrics, search, sparse, vectorindex
 from marlstone.operators import text as T
 from marlstone.plans import domain as D
 from marlstone.plans.domain import NOW, sql
@@ -75,6 +75,30 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return sparse.bm25(D.corpus(spark, d), D.questions(spark, d)).select("qid", "doc_id", "rank", *r6("score"))
 
 
+def stored_index(spark: SparkSession, d: str, path: str) -> inverted.Index:
+    """The corpus in two segments: half of it is there, the other half is appended."""
+    index, docs = inverted.Index(spark, path), D.corpus(spark, d)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    index.append(docs.where(half == 0))
+    index.append(docs.where(half == 1))
+    return index
+
+
+@query(sql("corpus", "questions") + f", {BM25} SELECT qid, doc_id, rank, round(score, 6) AS score FROM sparse_run WHERE rank <= 10")
+def stored_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as path:
+        return scratch.held(stored_index(spark, d, path).search(D.questions(spark, d)).select("qid", "doc_id", "rank", *r6("score")))
+
+
+@query(sql("corpus", "questions").replace("FROM documents)", "FROM documents WHERE lang = 'en')") + f", {BM25} SELECT qid, doc_id, rank, round(score, 6) AS score FROM sparse_run WHERE rank <= 10")
+def stored_bm25_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in English, from segments that were merged."""
+    with scratch(spark) as path:
+        index = stored_index(spark, d, path)
+        index.merge()
+        return scratch.held(index.search(D.questions(spark, d), lang="en").select("qid", "doc_id", "rank", *r6("score")))
+
+
 @query(sql("corpus") + ", ids AS (SELECT DISTINCT item_id AS doc_id FROM benchmark) SELECT doc_id, lang, md5(content) AS content_md5, concept AS concepts FROM corpus SEMI JOIN ids USING (doc_id)")
 def doc_lookup(spark: SparkSession, d: str) -> DataFrame:
     found = sparse.lookup(D.corpus(spark, d), D.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")))
@@ -657,6 +681,23 @@ def pq_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.probe_codes(coded, centres, books, D.vector_queries(spark, d), 10, PROBED)
 
 
+def stored_vectors(spark: SparkSession, d: str, path: str) -> vectorindex.VectorIndex:
+    """Three quarters of the vectors, the rest inserted, cells of more than a fortieth split, and cells enough for most neighbours."""
+    index, vectors = vectorindex.VectorIndex(spark, path), D.vectors(spark, d).select("doc_id", "vector")
+    later = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    index.build(vectors.where(~later), nlist=CELLS)
+    index.insert(vectors.where(later))
+    index.split(max(10, vectors.count() // 40))
+    index.calibrate(0.97)
+    return index
+
+
+@query()
+def stored_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as path:
+        return scratch.held(stored_vectors(spark, d, path).search(D.vector_queries(spark, d).select("qid", "vector")))
+
+
 # ---- learners: goals and reports
 
 
