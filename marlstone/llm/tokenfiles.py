@@ -27,6 +27,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,14 +46,23 @@ from marlstone.llm import common
 SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 19
 #: Bytes of shards' key ranges that are sent to all tasks: 24 for each 64 MB of payload, so 30 MB for 100 TB of texts.
 RANGE_BYTES = 256 << 20
+#: Tasks that read at most; each has some whole shards.
+READERS = 1 << 16
 #: Keys a bucket, on average.
 BUCKET_KEYS = 2
 MAGIC = b"IDSHARD1"
 FOOTER = struct.Struct("<QQQQQQ8s")
 #: Words that are kept with their ids, and the longest of them.
-CACHED, CACHED_LENGTH = 250_000, 40
-#: What the tokenizer takes for separate words of a lower-case ASCII text. Fixed values of the tokenizer's file.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+CACHED, CACHED_LENGTH = 400_000, 40
+#: Letters and signs beyond ASCII that normalisation changes in nothing but their case, one by one. Fixed values.
+PLAIN_LETTERS = "À-ÖØ-öø-įı-ňŊ-ž"
+PLAIN_SIGNS = "¡§«¶·»¿‘’“”„–—…€"
+PLAIN = re.compile(f"[!-~{PLAIN_LETTERS}{PLAIN_SIGNS}]*")
+#: What the tokenizer takes for separate words of such characters in lower case. Fixed values of the tokenizer's file.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{PLAIN_LETTERS}]+|[0-9]|[^a-z{PLAIN_LETTERS}0-9]+")
+#: Bytes that stand for themselves in a byte-level vocabulary; the others are the letters from 256 on, in order.
+OWN_LETTERS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in OWN_LETTERS)}
 
 
 class WordEncoder:
@@ -66,44 +76,58 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the words before there were CACHED of them
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def plain(self, word: str) -> bytes:
-        """Of a word in ASCII: its pieces go to the merges themselves, as nothing in it would be normalised but its case."""
+        """Of a word in PLAIN characters: its pieces go to the merges themselves, as nothing in it would be normalised but its case."""
         out = []
-        for piece in ASCII_PIECES.findall(word.lower()):
+        for piece in PIECES.findall(word.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                found = [x.id for x in self.model.tokenize(piece)] if piece.isprintable() else self.library.encode(piece, add_special_tokens=False).ids
-                ids = self.packed(found)
+                ids = self.packed([x.id for x in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS))])
                 if len(piece) <= CACHED_LENGTH:
                     self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
     def text(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.words
-        missing = {w for w in words if w not in known}
-        if missing:
-            held = {}
-            foreign = [w for w in missing if not w.isascii() or "<|" in w]  # special tokens stay the library's
-            for w in missing.difference(foreign):
-                held[w] = self.plain(w)
-            for w, e in zip(foreign, self.library.encode_batch_fast(foreign, add_special_tokens=False)):
+        words = text.replace("\n", " ").split(" ")
+        found = list(map(self.words.get, words))
+        if None in found:
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            held = {w: self.older.get(w) for w in {words[i] for i in missing}}
+            fresh = [w for w, ids in held.items() if ids is None]
+            foreign = [w for w in fresh if PLAIN.fullmatch(w) is None or "<|" in w]  # special tokens stay the library's
+            for w, e in zip(foreign, self.library.encode_batch_fast(foreign, add_special_tokens=False) if foreign else []):
                 held[w] = self.packed(e.ids)
-            if len(known) + len(held) > CACHED:
-                known = self.words = {w: known[w] for w in set(words) & known.keys()}
+            for w in fresh:
+                if held[w] is None:
+                    held[w] = self.plain(w)
+            for i in missing:
+                found[i] = held[words[i]]
+            if len(self.words) + len(held) > CACHED:
+                self.words, self.older = {}, self.words
             if len(self.pieces) > CACHED:
                 self.pieces = {}
-            out = b"".join([known[w] if w in known else held[w] for w in words])
-            known.update((w, x) for w, x in held.items() if len(w) <= CACHED_LENGTH)
-            return out
-        return b"".join([known[w] for w in words])
+            self.words.update((w, ids) for w, ids in held.items() if len(w) <= CACHED_LENGTH)
+        return b"".join(found)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One per Python worker, with what it has met in earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def hashed(keys: np.ndarray) -> np.ndarray:
@@ -279,7 +303,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = b"" if end_id is None else encoder.packed([end_id])
         part, made, writer = TaskContext.get().partitionId(), [], None
         for batch in batches:
@@ -382,7 +406,7 @@ def _read(store: Store, keys: DataFrame, id_col: str, column: str, of) -> DataFr
                     yield _batch(made, of, out_names)
 
     asked = keys.select(F.col(id_col).cast("long").alias("key")).distinct().mapInArrow(place, "key long, shard long")
-    met = asked.join(store.shards.select("shard", "file", "start"), "shard").repartition("shard", F.floor(F.col("key") / 65536)).sortWithinPartitions("file", "key")
+    met = asked.join(store.shards.select("shard", "file", "start"), "shard").repartition(min(max(1, many), READERS), "shard").sortWithinPartitions("file", "key")
     return met.select("key", "file", "start").mapInArrow(common.frugal(run), f"key long, start long, n_tokens long, {column}")
 
 

@@ -107,7 +107,7 @@ def test_token_files_equal_the_library(spark):
     assert sorted(map(tuple, queries.op12_token_files(spark, SF).collect())) == stored_rows(rows)
 
 
-WORDS = ["It's", "we'll 'S", "a1b22", "Straße", "ÉCOLE é", "中文字", "x y", "\x1c\x0b", "<|endoftext|>", "a<|startoftext|>b", "İstanbul ΣΑΣ", "🙂", "--", "\t", "\r\n", "ﬁ", "\x00"]
+WORDS = ["It's", "we'll 'S", "a1b22", "Straße", "ÉCOLE é", "中文字", "x y", "\x1c\x0b", "<|endoftext|>", "a<|startoftext|>b", "İstanbul ΣΑΣ", "🙂", "--", "\t", "\r\n", "ﬁ", "\x00", "Ÿž'S", "çÀ1É", "«¿qué?»", "“Ŋ”–", "e\u0301", "ſŉ", "·…x€9", "\xa0", "ß'll"]
 
 
 def test_words_are_encoded_as_in_whole_texts():
