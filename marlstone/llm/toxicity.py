@@ -10,8 +10,9 @@ weight is the product over its matches of one minus the match's weight times its
 its clauses' accepted paths leave of one. So it is the matched clause that counts, not the word alone.
 
 A threat needs a target on either side; pronouns that are always subjects are none before the verb. Insults are a seed list
-and words and stems (of STEMS letters) that labelled rows mark. A learned one, which may stand in any text by chance, is an
-insult only in a text in which at least one word in SPARSE has it. How much each context counts is calibrated on the labelled
+and words and stems (of STEMS letters) that stand in more toxic texts than their rate in blocks of clean ones lets expect. A
+learned one that clean texts have too, by chance, is an insult only in the company of another learned one, within COMPANY characters; so a
+match counts whatever the text's length is. How much each context counts is calibrated on the labelled
 rows, from a prior that holds where no rows show otherwise: by the prior a lone insult without a target isn't toxic.
 
 Labels are learned only from rows with crc32(doc_id) mod 4 other than 2, at most SAMPLE of them, picked by a hash. Nothing
@@ -60,8 +61,10 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.,;:!?\n|()\"«»]+")
 #: Letters of learned stems, which stand for all words that begin with them.
 STEMS = range(5, 9)
-#: Learned words and stems count in a text if they make up one in so many of its words at least.
-SPARSE = 125
+#: Learned words and stems that clean texts have too count where another learned one begins within so many characters, however long the text is.
+COMPANY = 700
+#: Words of a block, in which the background's rate of a word is measured.
+BLOCK = 100
 LEAST_LETTERS = 3  # of learned whole words
 LEAST_TEXTS = 3
 
@@ -136,11 +139,12 @@ def accepted(symbols: list[tuple[int, float]]) -> list[tuple[str, float]]:
 
 @dataclass
 class Grammar:
-    """Learned stems and whole words (with a blank behind) and their weights, the contexts' shares, the share without a match."""
+    """Learned stems and whole words (with a blank behind) and their weights, the contexts' shares, the share without a match, and the learned ones that clean texts have too."""
 
     learned: dict[str, float] = field(default_factory=dict)
     contexts: dict[str, float] = field(default_factory=lambda: dict(PRIORS))
     base: float = 0.02
+    ambiguous: list[str] = field(default_factory=list)
 
     def __post_init__(self):
         import ahocorasick
@@ -159,43 +163,54 @@ class Grammar:
                 self.weights.setdefault(word[:-1], weight)
             else:
                 self.stems[word] = weight
+        self.doubtful = frozenset(self.ambiguous)
         self.automaton = ahocorasick.Automaton()
         for word in {*self.weights, *self.stems}:
             self.automaton.add_word(word, word)
         self.automaton.make_automaton()
 
-    def symbols(self, clause: str, dense: frozenset[str] | None = None) -> list[tuple[int, float]]:
-        """The class and the weight of each word; a word with an apostrophe that no list has is two. dense: the learned words and stems that count."""
+    def symbols(self, clause: str, alone: frozenset[int] = frozenset()) -> list[tuple[int, float]]:
+        """The class and the weight of each word; a word with an apostrophe that no list has is two. alone: where learned words that don't count begin."""
         out = []
-        for word in WORD.findall(clause):
+        for found in WORD.finditer(clause):
+            word, at = found[0], found.start()
             for part in [word] if word in self.classes or "'" not in word else word.split("'"):
                 bits, weight = self.classes.get(part, 0), self.weights.get(part, 0.0)
-                if bits & I and f"{part} " in self.learned and dense is not None and part not in dense:
+                if bits & I and at in alone and f"{part} " in self.learned:
                     bits, weight = bits & ~I, 0.0
-                if not bits & (I | H) and len(part) >= STEMS[0]:
-                    weight = max((self.stems.get(part[:n], 0.0) for n in STEMS if dense is None or part[:n] in dense), default=0.0)
+                if not bits & (I | H) and len(part) >= STEMS[0] and at not in alone:
+                    weight = max((self.stems.get(part[:n], 0.0) for n in STEMS), default=0.0)
                     bits |= I if weight else 0
                 out.append((bits, weight))
+                at += len(part) + 1
         return out
 
     def matches(self, text: str) -> list[tuple[str, float]]:
         """(context, weight) of each match of a text, clause by clause; only clauses that hold an insult or a threat are read."""
         low = text.lower()
-        hits = [(last - len(word) + 1, word) for last, word in self.automaton.iter(low) if last < len(word) or not low[last - len(word)].isalpha()]
+        hits, taught, sure = set(), set(), set()
+        for last, word in self.automaton.iter(low):
+            start = last - len(word) + 1
+            if (not start or not low[start - 1].isalpha()) and (word in self.stems or not low[last + 1 : last + 2].isalpha()):
+                entry = word if word in self.stems else f"{word} "
+                hits.add(start)
+                (taught if entry in self.learned else sure).add(start)
+                if entry in self.learned and entry not in self.doubtful:
+                    sure.add(start)
         out: list[tuple[str, float]] = []
         if not hits:
             return out
-        times = Counter(word for start, word in hits if word in self.stems or not low[start + len(word) : start + len(word) + 1].isalpha())
-        least = len(low.split()) / SPARSE
-        dense = frozenset(word for word, n in times.items() if n >= least)
+        taught = sorted(taught)
+        gaps = [COMPANY + 1, *(b - a for a, b in zip(taught, taught[1:])), COMPANY + 1]
+        alone = {start for i, start in enumerate(taught) if min(gaps[i], gaps[i + 1]) > COMPANY} - sure
         breaks, begin, limit, after = CLAUSE.finditer(low), 0, -1, 0
-        for start, word in sorted(hits):
-            if start < limit or word not in dense and (word in self.stems or f"{word} " in self.learned):
-                continue  # in the clause that was read last, or learned and rare
+        for start in sorted(hits):
+            if start < limit or start in alone:
+                continue  # in the clause that was read last, or doubtful and alone
             while start >= limit:
                 mark, begin = next(breaks, None), after
                 limit, after = mark.span() if mark else (len(low) + 1, len(low))
-            out += accepted(self.symbols(low[begin:limit], dense))
+            out += accepted(self.symbols(low[begin:limit], frozenset(at - begin for at in alone if begin <= at < limit) if alone else frozenset()))
         return out
 
     def score(self, text: str) -> float:
@@ -208,16 +223,13 @@ class Grammar:
         return 1.0 - clean
 
 
-def features(text: str) -> set[str]:
-    """The words of a text, with a blank behind, and the stems of longer ones that make up one in SPARSE of its words at least."""
-    counts = Counter(WORD.findall(text.lower()))
-    times = Counter({f"{w} ": n for w, n in counts.items() if len(w) >= LEAST_LETTERS})
-    for word, n in counts.items():
-        for size in STEMS:
-            if len(word) > size:
-                times[word[:size]] += n
-    least = len(text.split()) / SPARSE
-    return {word for word, n in times.items() if n >= least}
+def features(words: list[str]) -> set[str]:
+    """The words, with a blank behind, and the stems of longer ones."""
+    every = set(words)
+    out = {f"{w} " for w in every if len(w) >= LEAST_LETTERS}
+    for size in STEMS:
+        out.update(w[:size] for w in every if len(w) > size)
+    return out
 
 
 def families(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -233,37 +245,51 @@ def families(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 
 def lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Words and stems that stand in toxic texts far too often for chance, without those that another one covers."""
+    """The words and stems of evidence() with their weights."""
+    return evidence(rows)[0]
+
+
+def evidence(rows: list[tuple[str, int]]) -> tuple[dict[str, float], list[str]]:
+    """Words and stems, and those of them that clean texts have too, that stand in far more toxic texts than their rate in clean ones lets expect, without those that another one covers.
+
+    The background is the share of the clean texts' blocks of BLOCK words that have a word, so that long texts, clean or toxic, count by their length."""
     rows = families(rows)
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    hits, background, clean, sizes = Counter(), Counter(), 0, []
     for text, toxic in rows:
-        counts[toxic].update(features(text))
-    toxic = sum(y for _, y in rows)
-    base = min(0.5, max(0.02, toxic / max(1, len(rows))))
-    needed = math.log(len(counts[1]) + 1) + 3
+        words = WORD.findall(text.lower())
+        blocks = [words[i : i + BLOCK] for i in range(0, len(words), BLOCK)]
+        if toxic:
+            hits.update(features(words))
+            sizes.append(len(blocks))
+        else:
+            clean += len(blocks)
+            for block in blocks:
+                background.update(features(block))
+    needed = math.log(len(hits) + 1) + 3
     seeds = words_of(INSULTS) | words_of(THREATS)
+    lengths = Counter(sizes)
     fit_for, gains = {}, {}
-    for word, hit in counts[1].items():
-        miss = counts[0][word]
-        if hit >= LEAST_TEXTS and hit >= 4 * miss and word.rstrip() not in seeds:
-            share = hit / (hit + miss)
-            gain = hit * math.log(share / base) + (miss * math.log((1 - share) / (1 - base)) if miss else 0)
-            if gain >= needed:
-                fit_for[word], gains[word] = (hit + 1) / (hit + miss + 2), gain
+    for word, hit in hits.items():
+        if hit >= LEAST_TEXTS and word.rstrip() not in seeds:
+            rate = (background[word] + 1) / (clean + 2)
+            expected = sum(n * (1 - (1 - rate) ** size) for size, n in lengths.items())
+            if hit >= 4 * expected and hit * math.log(hit / expected) - (hit - expected) >= needed:
+                fit_for[word], gains[word] = (hit - expected + 1) / (hit + 2), hit * math.log(hit / expected) - (hit - expected)
     kept: dict[str, float] = {}
     for word in sorted(fit_for, key=lambda w: (-gains[w], w)):  # what tells most first
         wider = any(word.startswith(x) for x in kept if not x.endswith(" "))
         inside = [w for w in (*kept, *(f"{x} " for x in seeds)) if w.startswith(word)]
-        if not wider and all(4 * counts[1][word] > 5 * counts[1][w] for w in inside):
+        if not wider and all(4 * hits[word] > 5 * hits[w] for w in inside):
             kept[word] = fit_for[word]
-    return dict(sorted(kept.items()))
+    return dict(sorted(kept.items())), sorted(w for w in kept if background[w])
 
 
 def learned(rows: list[tuple[str, int]]) -> Grammar:
     """The grammar that labelled texts give."""
     if not rows:
         return Grammar()
-    grammar = Grammar(lexicon(rows))
+    words, ambiguous = evidence(rows)
+    grammar = Grammar(words, ambiguous=ambiguous)
     hits, seen, quiet = Counter(), Counter(), [0, 0]
     for text, toxic in rows:
         contexts = {c for c, _ in grammar.matches(text)}
@@ -274,7 +300,7 @@ def learned(rows: list[tuple[str, int]]) -> Grammar:
             hits[only] += toxic
             seen[only] += 1
     shares = {c: (hits[c] + PRIOR_ROWS * p) / (seen[c] + PRIOR_ROWS) for c, p in PRIORS.items()}
-    return Grammar(grammar.learned, shares, (quiet[1] + 0.02 * 50) / (sum(quiet) + 50))
+    return Grammar(words, shares, (quiet[1] + 0.02 * 50) / (sum(quiet) + 50), ambiguous)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -295,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         for batch in batches:
             held += zip(batch.column(0).to_pylist(), map(int, batch.column(1).to_pylist()))
         g = learned(sorted(held))
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([g.learned, g.contexts, g.base])])], names=["grammar"])
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([g.learned, g.contexts, g.base, g.ambiguous])])], names=["grammar"])
 
     common.small_batches(docs.sparkSession)
     made = rows.select("__text", "__toxic").repartition(1).mapInArrow(common.frugal(run), "grammar string").collect()
@@ -305,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
 def scored(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """docs with a score."""
     common.small_batches(docs.sparkSession)
-    made = json.dumps([grammar.learned, grammar.contexts, grammar.base])
+    made = json.dumps([grammar.learned, grammar.contexts, grammar.base, grammar.ambiguous])
     at = docs.columns.index(text_col)
     rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
 

@@ -526,6 +526,61 @@ def test_toxicity_learns_what_labels_mark(spark):
     assert sum(r.predicted == (r.doc_id % 6 == 0) for r in out) / len(out) > 0.97
 
 
+def fitted():
+    """The grammar that the rows of sf0.1 give, and the rows that are held out."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    texts, marks = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet").to_pandas() for t in ("documents", "labels"))
+    rows = texts.merge(marks[marks.toxic.notna()], on="doc_id")[["doc_id", "text", "toxic"]].itertuples(index=False)
+    rows = [(zlib.crc32(str(i).encode()) % 4 == 2, t or "", int(y)) for i, t, y in rows]
+    return toxicity.learned(sorted((t, y) for held, t, y in rows if not held)[: toxicity.SAMPLE]), [(t, y) for held, t, y in rows if held]
+
+
+def test_fitted_grammar_on_held_out_rows():
+    g, rows = fitted()
+    scores = [(g.score(t), y) for t, y in rows]
+    caught = [t for (t, y), (s, _) in zip(rows, scores) if y and s >= toxicity.THRESHOLD]
+    assert len(caught) >= 0.9 * sum(y for _, y in rows)
+    assert sum(s >= toxicity.THRESHOLD and not y for s, y in scores) <= 0.01 * sum(not y for _, y in rows)
+    after = "\n" + "the river runs under old stone bridges while people walk home " * 200
+    assert all(g.score(x) >= toxicity.THRESHOLD for t in caught for x in (t + after, after + t))  # nothing is lost in longer texts
+    # it isn't the list of words that decides
+    words = {w.rstrip() for w in g.learned if w.endswith(" ")} | toxicity.words_of(toxicity.INSULTS) | toxicity.words_of(toxicity.THREATS)
+    stems = tuple(w for w in g.learned if not w.endswith(" "))
+    bare = [any(w in words or w.startswith(stems) for w in toxicity.WORD.findall(t.lower())) for t, _ in rows]
+    assert sum(b != (s >= toxicity.THRESHOLD) for b, (s, _) in zip(bare, scores)) >= 10
+    assert max(g.score(t) for t in ("you are not an idiot", "she said you are trash")) < toxicity.THRESHOLD
+
+
+def test_scores_equal_a_plain_reading():
+    """Matches by clauses, company by all pairs, the score by the product, over texts of learned words and of listed ones."""
+    g = toxicity.Grammar({"blargy": 0.7, "zonk ": 0.6}, {**toxicity.PRIORS, "plain": 0.5}, 0.03, ["blargy"])
+    draw = random.Random(9)
+    vocabulary = "blargyfoo blargyx zonk zonks idiot kill you he not said river it's, stone. home; BLARGYA ZONK".split() + ["word " * 60, "word " * 20]
+    for _ in range(400):
+        text = " ".join(draw.choice(vocabulary) for _ in range(draw.randint(0, 25)))
+        low = text.lower()
+        taught = [m.start() for m in re.finditer(r"[^\W\d_]+", low) if m[0].startswith("blargy") or m[0] == "zonk"]
+        clean, at = 1 - g.base, 0
+        for clause in re.split(f"({toxicity.CLAUSE.pattern})", low):
+            symbols = []
+            for m in toxicity.WORD.finditer(clause):
+                word, place = m[0], at + m.start()
+                for part in [word] if word in g.classes or "'" not in word else word.split("'"):
+                    learned = part.startswith("blargy") or part == "zonk"
+                    counts = not part.startswith("blargy") or any(0 < abs(place - x) <= toxicity.COMPANY for x in taught)
+                    bits, weight = toxicity.Grammar().classes.get(part, 0), 1.0 if part in toxicity.words_of(toxicity.INSULTS) | toxicity.words_of(toxicity.THREATS) else 0.0
+                    if learned and counts:
+                        bits, weight = toxicity.I, 0.7 if part != "zonk" else 0.6
+                    symbols.append((bits, weight))
+            for kind, weight in toxicity.accepted(symbols):
+                clean *= 1 - min(0.999, weight * g.contexts[kind])
+            at += len(clause)
+        assert g.score(text) == pytest.approx(1 - clean, abs=1e-5)
+
+
 def test_toxicity_on_odd_rows(spark, odd, wider, none):
     assert toxicity.report(odd, labels(spark)).count() == len(ODD) and not toxicity.report(none, labels(spark)).count()
     assert toxicity.report(odd, labels(spark, [(1, None, None), (None, 1, 1), (6, 1, 1), (6, 1, 0)])).count() == len(ODD)
