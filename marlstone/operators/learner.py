@@ -110,7 +110,7 @@ def prerequisites(edges: DataFrame) -> DataFrame:
 
 def closure(targets: DataFrame, needs: DataFrame, scores: DataFrame, threshold: float = C.MASTERY_THRESHOLD) -> DataFrame:
     """(learner_id, concept): targets and what they need, not going on through concepts that are mastered."""
-    known = scores.where(F.col("mastery") >= threshold).select("learner_id", F.col("concept_id").alias("concept"))
+    known = kept(scores.where(F.col("mastery") >= threshold).select("learner_id", F.col("concept_id").alias("concept")))  # once, not in each round
     front = kept(targets.select("learner_id", "concept").distinct())
     out = front
     while True:  # a round adds concepts that weren't reached before, so it ends
@@ -184,7 +184,7 @@ def goal_path(goals: DataFrame, needs: DataFrame, scores: DataFrame, threshold:
 
 def report(events: DataFrame, needs: DataFrame, now: float, weak_below: float = 0.6, weak_most: int = 5, path_most: int = 10) -> DataFrame:
     """A row for each learner: profile, weak concepts, path through them, preferences, advice, next step."""
-    scores = mastery(events.where(F.col("event_type").isin(*EVENT_TYPES)), now)
+    scores = kept(mastery(events.where(F.col("event_type").isin(*EVENT_TYPES)), now))  # the fold of all events, which five results hang on
     profile = summary(events, scores).join(preferences(events).select("learner_id", "practice_ratio", "favourite_hour"), "learner_id", "left")
     lacking = weak(scores, weak_below, weak_most)
     wanted = closure(lacking.select("learner_id", F.col("concept_id").alias("concept")), needs, scores)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.functions.lineage import kept
+
 
 def per_query(run: DataFrame, qrels: DataFrame, ndcg_k: int = 10, recall_k: int = 50, precision_k: int = 10) -> DataFrame:
     """(qid, ndcg, mrr, recall, precision, ap) of each query that is in the run and in the judgements.
@@ -48,7 +50,7 @@ def summary(scores: DataFrame, queries: DataFrame | None = None, names: tuple[st
 
 def compare(runs: dict[str, DataFrame], qrels: DataFrame) -> DataFrame:
     """A row for each run, a column for each metric."""
-    out = None
+    out, qrels = None, kept(qrels)  # each run reads them twice
     for name, run in runs.items():
         row = summary(per_query(run, qrels)).withColumn("run", F.lit(name))
         out = row if out is None else out.unionByName(row)

@@ -14,7 +14,7 @@ from marlstone.operators import align, dense, expand, extract, fusion, graph, in
 from marlstone.operators import text as T
 from marlstone.plans import domain as D
 from marlstone.plans.domain import NOW, sql
-from marlstone.sources import readers, sinks
+from marlstone.sources import keyed, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -698,6 +698,24 @@ def stored_vector_topk(spark: SparkSession, d: str) -> DataFrame:
         return scratch.held(stored_vectors(spark, d, path).search(D.vector_queries(spark, d).select("qid", "vector")))
 
 
+#: The trade graph's edges after two imports: other weights for the edges of parts whose number is below 100, which are neighbours, and edges to a new node.
+MERGED = sql("trade") + """ SELECT source, target, type, round(CASE WHEN source LIKE 'p%' AND substr(source, 2)::INT < 100 THEN weight + 1 ELSE weight END, 6) AS weight FROM edges
+UNION ALL SELECT 'p' || p_partkey, 'new', 'MADE', round(p_size / 50.0::DOUBLE, 6) FROM part WHERE p_partkey < 100"""
+
+
+@query(MERGED)
+def edges_merged(spark: SparkSession, d: str) -> DataFrame:
+    edges = D.trade_edges(spark, d).select("source", "target", "type", "weight")
+    part = F.expr("try_cast(substr(source, 2) AS int)")
+    with scratch(spark) as path:
+        stored = keyed.KeyedTable(spark, path, ("source", "target", "type"))
+        stored.create(edges, file_rows=1000)
+        stored.merge(edges.where(F.col("source").startswith("p") & (part < 100)).withColumn("weight", F.col("weight") + 1))
+        made = D.table(spark, d, "part").where("p_partkey < 100").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source"), F.lit("new").alias("target"), F.lit("MADE").alias("type"), (F.col("p_size") / 50.0).alias("weight"))
+        stored.insert(made)
+        return scratch.held(stored.read().select("source", "target", "type", *r6("weight")))
+
+
 # ---- learners: goals and reports
 
 

@@ -9,6 +9,7 @@ from marlstone.functions.versions import Versions
 from marlstone.operators import dense, inverted, sparse, vectorindex
 from marlstone.plans import catalogue
 from marlstone.plans import domain as D
+from marlstone.sources import keyed
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id int, lang string, title string, content string"
@@ -140,3 +141,46 @@ def test_rotation_is_orthogonal_and_brings_codes_nearer(spark):
         codes = dense.parts_of(turned, books)
         errors.append(((turned - np.concatenate([books[i][codes[:, i]] for i in range(4)], axis=1)) ** 2).sum())
     assert errors[1] < 0.9 * errors[0]
+
+
+# keyed table
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_merges_write_the_ranges_that_they_touch(spark, tmp_path):
+    make = lambda first, end, tag: spark.range(first, end).select(F.format_string("k%06d", "id").alias("id"), F.lit(tag).alias("tag"), F.col("id").alias("n"))
+    table = keyed.KeyedTable(spark, f"file://{tmp_path}/t")
+    table.create(make(0, 20_000, "old"), file_rows=200)
+    now = table.versions.current()[1]
+    assert 80 <= len(now["files"]) <= 120
+    touched = table.merge(make(5000, 5200, "new"))  # one hundredth
+    assert len(touched) <= 3
+    after = table.versions.current()[1]["files"]
+    assert sum(after[r] != p for r, p in now["files"].items()) == len(touched)
+    assert rows_of(table.read()) == rows_of(make(0, 5000, "old").union(make(5000, 5200, "new")).union(make(5200, 20_000, "old")))
+    assert len(table.delete(make(5000, 5100, "").select("id"))) <= 2 and table.read().count() == 19_900
+    assert table.sweep() >= len(touched) and table.read().count() == 19_900
+    assert table.merge(make(0, 0, "x")) == []
+
+
+def test_keys_are_unique_and_a_failed_merge_changes_nothing(spark, tmp_path):
+    kinds = "a string, b int, v string, seq int"
+    of = lambda *rows: spark.createDataFrame(list(rows), kinds)
+    table = keyed.KeyedTable(spark, f"file://{tmp_path}/t", ("a", "b"))
+    table.create(of(("x", 1, "one", 1), ("x", 1, "two", 3), ("x", 1, "three", 2), (None, 1, "null", 1), ("", 1, "empty", 1), ("x\x01=1", None, "odd", 1)), "seq")
+    held = [("", 1, "empty", 1), ("x", 1, "two", 3), ("x\x01=1", None, "odd", 1), (None, 1, "null", 1)]
+    assert rows_of(table.read()) == sorted(held, key=str)
+    for rows in (of(("x", 1, "again", 9)), of(("n", 1, "a", 1), ("n", 1, "b", 2))):
+        with pytest.raises(ValueError, match="there already"):
+            table.insert(rows)
+    with pytest.raises(Exception, match="no disk"):
+        table.merge(of(("x", 1, "z", 9)).withColumn("v", F.raise_error(F.lit("no disk")).cast("string")))
+    assert rows_of(table.read()) == sorted(held, key=str)
+    table.insert(of(("n", None, "a", 1)))
+    table.merge(of(("n", None, "b", 1), ("n", None, "a", 1)))  # a tie goes by the other columns
+    assert rows_of(table.read()) == sorted([*held, ("n", None, "b", 1)], key=str)
+    table.create(of())
+    assert table.read().count() == 0 and table.merge(of(("q", 1, "v", 1))) == [0] and table.read().count() == 1
