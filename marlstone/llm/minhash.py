@@ -206,12 +206,15 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_id = source.join(wanted.where("doc_id IS NOT NULL").select("doc_id", "node"), ["doc_id", "node"]).select("node", "text")
     texts = by_id.unionByName(source.where("doc_id IS NULL").join(wanted.where("doc_id IS NULL").select("node"), "node").select("node", "text"))
     texts = common.checkpointed(texts.dropDuplicates(["node"]))
+    common.tidied(docs.sparkSession)  # shuffle files of what is kept by now
     able = common.checkpointed(own_parts(texts).where(F.col("own") <= (1 - SIMILARITY) * F.col("size") + 1e-9))
     inside = inside.join(able.select("node", (F.col("own") / F.col("size")).alias("share")), "node")
     centres = inside.groupBy("key").agg(F.min(F.struct("share", "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.node").alias("centre"))
     met = common.checkpointed(inside.drop("share").join(centres, "key"))
     pairs = met.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    common.tidied(docs.sparkSession)
     first = common.checkpointed(compared(pairs, texts))
+    common.tidied(docs.sparkSession)
     links = first.where(F.col("s") >= SIMILARITY).select("a", "b")
     roots = common.components(links)
     # the rest of each bucket: nodes of different components, one of them not linked with the centre
