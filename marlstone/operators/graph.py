@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from marlstone.functions.lineage import kept
+from marlstone.operators import connect
 
 
 #: Names of difficulties, the easiest first; fixed values.
@@ -136,29 +137,42 @@ def top_nodes(node_table: DataFrame, edge_table: DataFrame, k: int = 10) -> Data
     return best.join(node_table.select("id", "name", "lang", "type"), "id")
 
 
-def _propagated(node_table: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label): each node's least ordinal among those that reach it along links (a, b); rounds until nothing changes."""
-    labels = node_table.select("id", F.col("seq").alias("label"))
-    while True:
-        reached = links.join(labels, links["a"] == labels["id"]).groupBy("b").agg(F.min("label").alias("new"))
-        after = labels.join(reached, labels["id"] == reached["b"], "left").select("id", F.least("label", F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("moved"))
-        after = kept(after)
-        moved = after.where("moved").limit(1).count()
-        labels = after.select("id", "label")
-        if not moved:
-            return labels
+def node_numbers(node_table: DataFrame) -> DataFrame:
+    """(id, seq, number): nodes by their least seq, ties by id, numbered from 0 on; rows of one id are one node."""
+    first = node_table.where("id IS NOT NULL").groupBy("id").agg(F.min("seq").alias("seq")).withColumn("__order", F.struct("seq", "id")).withColumn("__all", F.lit(0))
+    return kept(numbered(first, "__all", "__order").select("id", "seq", F.col("number").cast("long").alias("number")))
+
+
+def _labelled(numbers: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, label): the seq of each node's root (number, root), of the node itself where it has none."""
+    placed = numbers.join(roots, "number", "left").select("id", F.coalesce("root", "number").alias("root"))
+    return placed.join(numbers.select(F.col("number").alias("root"), F.col("seq").alias("label")), "root").select("id", "label")
 
 
 def components(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """(label, size) by greedy reachability: nodes in order take what they reach along edges and isn't taken yet."""
-    inside = edge_table.join(node_table.select(F.col("id").alias("source")), "source", "left_semi").join(node_table.select(F.col("id").alias("target")), "target", "left_semi")
-    return _propagated(node_table, inside.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()).groupBy("label").agg(F.count("*").alias("size"))
+    numbers = node_numbers(node_table)
+    roots = connect.reaching(numbers, connect.links_of(numbers, edge_table)).withColumnRenamed("label", "root")
+    return _labelled(numbers, roots).groupBy("label").agg(F.count("*").alias("size"))
 
 
 def weak_components(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """(label, size) without regard to direction."""
-    one = edge_table.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    return _propagated(node_table, one.union(one.select("b", "a")).distinct()).groupBy("label").agg(F.count("*").alias("size"))
+    numbers = node_numbers(node_table)
+    return _labelled(numbers, connect.weak(connect.links_of(numbers, edge_table))).groupBy("label").agg(F.count("*").alias("size"))
+
+
+def strong_labels(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """(id, label): the least seq of the nodes that a node reaches and that reach it, itself included."""
+    numbers = node_numbers(node_table)
+    placed = numbers.join(connect.strong(connect.links_of(numbers, edge_table)), "number", "left").select("id", "number", F.coalesce("root", "number").alias("root"))
+    least = placed.groupBy("root").agg(F.min("number").alias("least")).join(numbers.select(F.col("number").alias("least"), F.col("seq").alias("label")), "least")
+    return placed.join(least.select("root", "label"), "root").select("id", "label")
+
+
+def strong_components(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """(label, size) of strong components, single nodes included."""
+    return strong_labels(node_table, edge_table).groupBy("label").agg(F.count("*").alias("size"))
 
 
 def alignment_stats(node_table: DataFrame, edge_table: DataFrame, kind: str = "ALIGNED_WITH") -> DataFrame:
@@ -194,21 +208,10 @@ def ontology_violations(node_table: DataFrame, edge_table: DataFrame) -> DataFra
 
 
 def on_cycles(links: DataFrame) -> DataFrame:
-    """The links (source, target) that lie on a cycle, however long.
-
-    First links whose source nothing reaches or whose target leads nowhere go, round by round, which leaves cycles and what
-    lies between them. Then each link's target is followed until its source is found or nothing new is."""
-    left = kept(links.distinct())
-    while True:
-        inner = kept(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        if inner.count() == left.count():
-            break
-        left = inner
-    reach = left
-    while True:  # paths double in length each round
-        longer = reach.select("source", F.col("target").alias("m")).join(reach.select(F.col("source").alias("m"), "target"), "m").select("source", "target")
-        wider = kept(reach.union(longer).distinct())
-        if wider.count() == reach.count():
-            break
-        reach = wider
-    return left.join(reach.select(F.col("source").alias("target"), F.col("target").alias("source")), ["source", "target"], "left_semi")
+    """The links (source, target) that lie on a cycle, however long: those within a strong component, and links of a node to itself."""
+    ends = links.select(F.explode(F.array("source", "target")).alias("id")).withColumn("seq", F.lit(0))
+    numbers = node_numbers(ends)
+    named = kept(connect.links_of(numbers, links.distinct()))
+    roots = connect.strong(named)
+    both = named.join(roots.select(F.col("number").alias("a"), F.col("root").alias("r1")), "a", "left").join(roots.select(F.col("number").alias("b"), F.col("root").alias("r2")), "b", "left")
+    return both.where(F.coalesce("r1", "a") == F.coalesce("r2", "b")).select("source", "target")

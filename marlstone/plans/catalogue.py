@@ -846,3 +846,27 @@ def trade_hops(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("trade") + TRADE_HOPS + ", paths AS (SELECT seed, source, target, round(exp(-0.5::DOUBLE * hop) * (0.8::DOUBLE * weight + 0.2::DOUBLE * 0.5::DOUBLE), 9) AS score FROM expanded) SELECT seed, id, round(max(score), 6) AS score FROM (SELECT seed, source AS id, score FROM paths UNION ALL SELECT seed, target, score FROM paths) GROUP BY ALL")
 def trade_node_score(spark: SparkSession, d: str) -> DataFrame:
     return expand.node_scores(expand.scored_paths(expand.edge_paths(trade_expanded(spark, d)))).select("seed", "id", *r6("score"))
+
+
+#: Links of the trade graph that lead one way: from suppliers to parts that were accepted, from parts to suppliers to which they came back, in large lots.
+FLOWS = sql("trade") + ", links AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE weight >= 0.9 AND ((type = 'A' AND source LIKE 's%') OR (type = 'R' AND source LIKE 'p%')))"
+
+
+def trade_flows(spark: SparkSession, d: str) -> DataFrame:
+    accepted, returned = (F.col("type") == "A") & F.col("source").startswith("s"), (F.col("type") == "R") & F.col("source").startswith("p")
+    return D.trade_edges(spark, d).where("weight >= 0.9").where(accepted | returned)
+
+
+@query(FLOWS + REACH)
+def trade_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(D.trade_nodes(spark, d), trade_flows(spark, d))
+
+
+@query(FLOWS.replace("links AS", "one AS") + ", links AS (SELECT a, b FROM one UNION SELECT b, a FROM one)" + REACH)
+def trade_wcc(spark: SparkSession, d: str) -> DataFrame:
+    return graph.weak_components(D.trade_nodes(spark, d), trade_flows(spark, d))
+
+
+@query(FLOWS + ", walk AS (SELECT id AS a, id AS b FROM nodes UNION SELECT walk.a, l.b FROM walk JOIN links l ON walk.b = l.a), labels AS (SELECT x.a AS id, min(n.seq) AS label FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a JOIN nodes n ON n.id = x.b GROUP BY 1) SELECT id, label FROM labels")
+def trade_strong(spark: SparkSession, d: str) -> DataFrame:
+    return graph.strong_labels(D.trade_nodes(spark, d), trade_flows(spark, d))
