@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -29,6 +30,37 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of written tables, which go when Python ends.
+_folders: dict[str, tuple] = {}
+
+
+def _emptied() -> None:
+    for place, conf in _folders.values():
+        try:
+            place.getFileSystem(conf).delete(place, True)
+        except Exception:  # the session's process has ended before  # noqa: BLE001
+            pass
+
+
+atexit.register(_emptied)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for loops of many rounds.
+
+    A checkpoint keeps the plan's estimate of its size, and joins multiply estimates, so that in a loop the number of digits doubles each
+    round; the size of a table is that of its files."""
+    spark = df.sparkSession
+    plain_unions(spark)
+    app = spark.sparkContext.applicationId
+    root = f"{shared_folder(spark)}/marlstone-written-{app}"
+    if app not in _folders:
+        _folders[app] = (spark._jvm.org.apache.hadoop.fs.Path(root), spark.sparkContext._jsc.hadoopConfiguration())
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class scratch:
     """A folder below the shared one, deleted at the end; what is read from it is held by a checkpoint before."""
 
