@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -16,75 +17,123 @@ from marlstone.functions.columns import top, words
 BLOCK, QUERY_BLOCK = 8192, 2048
 #: Coded vectors of a cell that one task meets.
 PART_ROWS = 65_536
-#: Bytes of queries that are sent to all tasks.
-SHIPPED = 32 << 20
+#: Bytes of queries that are sent to all tasks, and results that a task may hold for them.
+SHIPPED, HELD = 32 << 20, 2 << 20
+#: Products that a task holds at once.
+SCORES = 1 << 20
+#: Texts whose counts a task holds at once.
+HASHED_ROWS = 1024
 #: Query rows whose distances are computed at once, and pairs whose differences are.
 L2_ROWS, L2_PAIRS = 256, 65536
 
 
+def one_array(table: pa.Table, column: str) -> pa.Array:
+    """A column as one array."""
+    out = table.column(column).combine_chunks()
+    return pa.concat_arrays(out.chunks) if isinstance(out, pa.ChunkedArray) else out
+
+
 def matrix(table: pa.Table, column: str) -> np.ndarray:
-    flat = table.column(column).combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64)
+    return one_array(table, column).flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64, copy=False)
+
+
+def places(ids: pa.Array) -> np.ndarray | None:
+    """The place of each id in their order, nulls first; None for a type that Arrow can't sort."""
+    try:
+        order = pc.array_sort_indices(ids, null_placement="at_start").to_numpy()
+    except pa.ArrowNotImplementedError:
+        return None
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids))
+    return out
+
+
+def first(rows: np.ndarray, score: np.ndarray, place: np.ndarray | None, k: int) -> np.ndarray:
+    """Positions of the k best of each row, by row and score, ties by place; without places also what ties with the k-th."""
+    order = np.lexsort((-score, rows) if place is None else (place, -score, rows))
+    sorted_rows = rows[order]
+    start = np.searchsorted(sorted_rows, sorted_rows, "left")
+    if place is not None:
+        return order[np.arange(len(order)) - start < k]
+    last = np.minimum(start + k, np.searchsorted(sorted_rows, sorted_rows, "right")) - 1
+    return order[score[order] >= score[order][last]]
+
+
+def own_pairs(names: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of equal names and ids, by row."""
+    at: dict = {}
+    for i, x in enumerate(names.to_pylist()):
+        at.setdefault(x, []).append(i)
+    pairs = sorted((i, j) for j, x in enumerate(ids.to_pylist()) for i in at.get(x, ()))
+    return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
 
 
-def nearest(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score): for each row of x the k nearest rows of y and what ties with them; scores are negative distances to 9 digits.
+def own_part(own: tuple[np.ndarray, np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    at = slice(*np.searchsorted(own[0], [low, high]))
+    return own[0][at] - low, own[1][at]
+
+
+def nearest(x: np.ndarray, y: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray] | None = None, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score): for each row of x the k nearest rows of y, ties by place; scores are negative distances to 9 digits.
 
     |x|^2+|y|^2-2xy with a bound of its rounding error only chooses candidates; distances come from differences."""
     n = min(k, len(y))
     norms, unit = (y**2).sum(1), 4 * (x.shape[1] + 8) * np.finfo(float).eps
     made = []
-    for first in range(0, len(x), L2_ROWS):
-        part = x[first : first + L2_ROWS]
+    for low in range(0, len(x), L2_ROWS):
+        part = x[low : low + L2_ROWS]
         sums = (part**2).sum(1)[:, None] + norms[None, :]
         squares = sums - 2 * part @ y.T
         sums *= unit  # now the error bound
         upper, squares = squares + sums, squares - sums
         if own is not None:
-            upper[own[first : first + L2_ROWS]] = squares[own[first : first + L2_ROWS]] = np.inf
+            pairs = own_part(own, low, low + len(part))
+            upper[pairs] = squares[pairs] = np.inf
         cut = np.sqrt(np.maximum(np.partition(upper, n - 1, axis=1)[:, n - 1], 0)) + 2e-9  # what rounds alike stays
         rows, columns = np.nonzero((squares <= (cut**2)[:, None]) & np.isfinite(squares))
         score = np.empty(len(rows))
         for i in range(0, len(rows), L2_PAIRS):
             at = slice(i, i + L2_PAIRS)
             score[at] = -np.round(np.sqrt(((part[rows[at]] - y[columns[at]]) ** 2).sum(1)), 9)
-        order = np.lexsort((-score, rows))
-        ends = np.searchsorted(rows, np.arange(len(part)), "right")
-        starts = np.searchsorted(rows, np.arange(len(part)))
-        least = np.full(len(part), -np.inf)
-        some = ends - starts > 0
-        least[some] = score[order[np.minimum(starts + n, ends)[some] - 1]]  # the k-th distance of a row
-        kept = score >= least[rows]
-        made.append((rows[kept] + first, columns[kept], score[kept]))
+        kept = first(rows, score, None if place is None else place[columns], n)
+        made.append((rows[kept] + low, columns[kept], score[kept]))
     return tuple(np.concatenate(z) for z in zip(*made))
 
 
-def scored(x: np.ndarray, y: np.ndarray, k: int, metric: str, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score): for each row of x the k best rows of y and what ties with them."""
+def scored(x: np.ndarray, y: np.ndarray, k: int, metric: str, own: tuple[np.ndarray, np.ndarray] | None, place: np.ndarray | None = None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score): for each row of x the k best rows of y, ties by place, in runs of at most about SCORES products.
+
+    What is below a row's floor may be left out; own pairs are. Without places what ties with the k-th comes too."""
     if metric == "cosine":
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
     if metric == "l2":
-        return nearest(x, y, k, own)
-    score = np.round(x @ y.T, 9)
-    if own is not None:
-        score[own] = -np.inf
-    n = min(k, score.shape[1])
-    cut = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
-    rows, columns = np.nonzero((score >= cut[:, None]) & np.isfinite(score))  # ties at the cut stay for the final ranking
-    return rows, columns, score[rows, columns]
+        return nearest(x, y, k, own, place)
+    n, step, made = min(k, len(y)), max(1, SCORES // len(y)), []
+    for low in range(0, len(x), step):
+        score = x[low : low + step] @ y.T
+        np.round(score, 9, out=score)
+        if own is not None:
+            score[own_part(own, low, low + len(score))] = -np.inf
+        cut = np.full(len(score), -np.inf) if floor is None else floor[low : low + step]
+        if np.isneginf(cut).any():
+            cut = np.maximum(cut, np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n])
+        rows, columns = np.nonzero((score >= cut[:, None]) & np.isfinite(score))
+        found = score[rows, columns]
+        kept = first(rows, found, None if place is None else place[columns], n)
+        made.append((rows[kept] + low, columns[kept], found[kept]))
+    return tuple(np.concatenate(z) for z in zip(*made))
 
 
 def exact(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K, itself: bool = True, metric: str = "dot") -> DataFrame:
     """(qid, doc_id, score, rank): queries (qid, vector) against all vectors (doc_id, vector).
 
-    Queries of up to SHIPPED bytes, which is measured, are sent to where the vectors are; each task keeps the k best for each
-    of them, so that vectors aren't shuffled. More queries and the vectors are dealt out in blocks, of which each pair meets in
+    Queries of up to SHIPPED bytes with up to HELD results, which is measured, are sent to where the vectors are; each task keeps the
+    k best for each of them, so that vectors aren't shuffled. More queries and the vectors are dealt out in blocks, of which each pair meets in
     one task. Cosine is the inner product for unit vectors; "l2" gives distances, the smaller the better."""
     if metric not in ("dot", "cosine", "l2"):
         raise ValueError(f"unknown metric: {metric}")
     asked = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers")).first()
-    met = _shipped if asked["numbers"] * 8 <= SHIPPED else _in_blocks
+    met = _shipped if asked["numbers"] * 8 <= SHIPPED and asked["n"] * k <= HELD else _in_blocks
     out = top(met(vectors, queries, asked["n"], k, itself, metric), ["qid"], [F.desc("score"), F.col("doc_id")], k)
     return out.withColumn("score", -F.col("score")) if metric == "l2" else out
 
@@ -101,26 +150,34 @@ def _shipped(vectors: DataFrame, queries: DataFrame, n: int, k: int, itself: boo
         held = pa.ipc.open_stream(sent.value).read_all()
         if not held.num_rows:
             return
-        x, names = matrix(held, "vector"), held.column("qid").combine_chunks()
-        asked = None if itself else np.array(names.to_pylist(), object)
-        rows, score, ids = np.empty(0, np.int64), np.empty(0), None
+        x, names = matrix(held, "vector"), one_array(held, "qid")
+        floor, best, waiting = np.full(len(x), -np.inf), None, []
+
+        def merged():
+            rows, score = (np.concatenate([p[i] for p in waiting]) for i in (0, 1))
+            ids = pa.concat_arrays([p[2] for p in waiting])
+            keep = first(rows, score, places(ids), k)
+            rows, score = rows[keep], score[keep]
+            ends = np.searchsorted(rows, np.arange(len(x)), "right") - 1
+            full = np.flatnonzero(np.bincount(rows, minlength=len(x)) >= k)
+            floor[full] = score[ends[full]]  # the k-th best so far
+            return rows, score, ids.take(pa.array(keep))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = pa.Table.from_batches([batch])
-            own = None if itself else asked[:, None] == np.array(part.column("doc_id").to_pylist(), object)[None, :]
-            r, c, s = scored(x, matrix(part, "vector"), k, metric, own)
-            got = part.column("doc_id").combine_chunks().take(pa.array(c))
-            ids = got if ids is None else pa.concat_arrays([ids, got])
-            rows, score = np.concatenate([rows, r]), np.concatenate([score, s])
-            order = np.lexsort((-score, rows))  # keep the k best so far and what ties with the k-th
-            place = np.searchsorted(rows[order], np.arange(len(x)), "left")
-            last = np.minimum(place + k, np.searchsorted(rows[order], np.arange(len(x)), "right")) - 1
-            least = np.where(last >= place, score[order][np.maximum(last, 0)], -np.inf) if len(order) else np.full(len(x), -np.inf)
-            kept = np.flatnonzero(score >= least[rows])
-            rows, score, ids = rows[kept], score[kept], ids.take(pa.array(kept))
-        if ids is not None:
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), ids, pa.array(score)], names=["qid", "doc_id", "score"])
+            ids = one_array(part, "doc_id")
+            rows, columns, score = scored(x, matrix(part, "vector"), k, metric, None if itself else own_pairs(names, ids), places(ids), floor)
+            waiting.append((rows, score, ids.take(pa.array(columns))))
+            if best is None or sum(len(p[0]) for p in waiting) >= 2 * len(best[0]):  # floors are renewed when as many results wait as are held
+                best = merged()
+                waiting = [best]
+        if waiting:
+            rows, score, ids = merged()
+            for at in range(0, len(rows), L2_PAIRS):
+                part = slice(at, at + L2_PAIRS)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[part])), ids[part], pa.array(score[part])], names=["qid", "doc_id", "score"])
 
     return vectors.select("doc_id", "vector").mapInArrow(run, f"qid {kinds[0]}, doc_id {kinds[1]}, score double")
 
@@ -136,8 +193,8 @@ def _in_blocks(vectors: DataFrame, queries: DataFrame, n: int, k: int, itself: b
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"qid": a.column("qid").slice(0, 0), "doc_id": b.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
-        own = None if itself else np.array(a.column("qid").to_pylist(), object)[:, None] == np.array(b.column("doc_id").to_pylist(), object)[None, :]
-        rows, columns, score = scored(matrix(a, "vector"), matrix(b, "vector"), k, metric, own)
+        ids = one_array(b, "doc_id")
+        rows, columns, score = scored(matrix(a, "vector"), matrix(b, "vector"), k, metric, None if itself else own_pairs(one_array(a, "qid"), ids), places(ids))
         return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "score": pa.array(score)})
 
     schema = f"qid {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double"
@@ -152,10 +209,10 @@ def hashed(docs: DataFrame, key: str, text: str, buckets: int = config.HASH_BUCK
     used = F.transform(F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.length(w) > 1), bucket)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, HASHED_ROWS) for b in batches for at in range(0, b.num_rows, HASHED_ROWS)):
             lists = batch.column(1)
             counts = np.zeros((batch.num_rows, buckets))
-            sizes = np.diff(lists.offsets.to_numpy())
+            sizes = np.diff(lists.offsets.to_numpy())  # flatten() minds the slice
             np.add.at(counts, (np.repeat(np.arange(batch.num_rows), sizes), lists.flatten().to_numpy()), 1.0)
             counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1.0)
             made = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, buckets), pa.int32()), pa.array(counts.ravel()))

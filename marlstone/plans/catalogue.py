@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone import config
 from marlstone.functions.columns import WORD, top
-from marlstone.functions.lineage import scratch
+from marlstone.functions.lineage import kept, scratch
 from marlstone.operators import align, dense, expand, extract, fusion, graph, inverted, learner, linking, metrics, search, sparse, vectorindex
 from marlstone.operators import text as T
 from marlstone.plans import domain as D
@@ -164,7 +164,8 @@ EVAL_SQL = sql("vectors", "qrels") + f", {EVAL}"
 
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.per_query(dense_run(spark, d), D.vector_qrels(spark, d))
+    run = kept(dense_run(spark, d))  # read twice, and small
+    return metrics.per_query(run, D.vector_judged(spark, d, run), grades=D.vector_grades(spark, d))
 
 
 def _metric(column: str) -> None:
@@ -192,8 +193,8 @@ def _compare_sql() -> str:
 
 @query(_compare_sql())
 def eval_compare_runs(spark: SparkSession, d: str) -> DataFrame:
-    run = dense_run(spark, d)
-    out = metrics.compare({"full": run, "short": run.where("rank <= 5")}, D.vector_qrels(spark, d))
+    run = kept(dense_run(spark, d))
+    out = metrics.compare({"full": run, "short": run.where("rank <= 5")}, D.vector_judged(spark, d, run), D.vector_grades(spark, d))
     return out.select("run", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in ("map", "mrr", "ndcg@10", "precision@10", "recall@50")])
 
 
