@@ -238,13 +238,37 @@ def nearest_cells(centres: DataFrame, queries: DataFrame, nprobe: int) -> DataFr
     return top(near, ["qid"], [F.desc("near"), F.col("cell")], nprobe, "probe")
 
 
+def spread(near: DataFrame, cells: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (cell, part, block): a cell's vectors in parts of about `rows`, its queries in blocks of about QUERY_BLOCK.
+
+    Each part meets each block in one task. The keys of both sides have one type, as equal numbers of other types are dealt elsewhere."""
+    key = F.col("cell").cast("int").alias("cell")
+    count = lambda df, n, name: df.groupBy(key).agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    sizes = F.broadcast(count(cells, rows, "parts").join(count(near, QUERY_BLOCK, "blocks"), "cell"))  # a row a cell
+    sided = lambda df: df.withColumn("cell", F.col("cell").cast("int")).join(sizes, "cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    left = sided(near).withColumn("block", dealt("qid", "blocks")).withColumn("part", each("parts"))
+    right = sided(cells).withColumn("part", dealt("doc_id", "parts")).withColumn("block", each("blocks"))
+    return left.drop("parts", "blocks"), right.drop("parts", "blocks")
+
+
 def probe(cells: DataFrame, centres: DataFrame, queries: DataFrame, k: int = config.TOP_K, nprobe: int = 10) -> DataFrame:
     """Top k of each query among the vectors of its nprobe nearest cells."""
-    from marlstone.functions.columns import dot
+    near = nearest_cells(centres, queries, nprobe).select("qid", "vector", "cell")
+    kinds = queries.schema["qid"].dataType.simpleString(), cells.schema["doc_id"].dataType.simpleString()
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"qid": a.column("qid").slice(0, 0), "doc_id": b.column("doc_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        ids = one_array(b, "doc_id")
+        rows, columns, score = scored(matrix(a, "vector"), matrix(b, "vector"), k, "dot", None, places(ids))
+        return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": ids.take(pa.array(columns)), "score": pa.array(score)})
 
-    near = nearest_cells(centres, queries, nprobe).select("qid", F.col("vector").alias("query"), "cell")
-    scored = near.join(cells, "cell").select("qid", "doc_id", F.round(dot(F.col("query"), F.col("vector")), 9).alias("score"))
-    return top(scored, ["qid"], [F.desc("score"), F.col("doc_id")], k)
+    left, right = spread(near, cells.select("doc_id", "vector", "cell"), BLOCK)
+    keys = ["cell", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"qid {kinds[0]}, doc_id {kinds[1]}, score double")
+    return top(found, ["qid"], [F.desc("score"), F.col("doc_id")], k)
 
 
 def picked(df: DataFrame, most: int, seed: int) -> DataFrame:

@@ -55,3 +55,24 @@ def test_judgements_are_counted_without_listing_them(spark):
     every = D.vector_qrels(spark, SF)
     assert as_set(D.vector_judged(spark, SF, run), "qid", "doc_id", "rel") == as_set(every.join(run, ["qid", "doc_id"], "left_semi"), "qid", "doc_id", "rel")
     assert as_set(D.vector_grades(spark, SF), "qid", "rel", "n") == as_set(every.groupBy("qid", "rel").agg(F.count("*").alias("n")), "qid", "rel", "n")
+
+
+def test_cells_meet_queries_in_blocks(spark, monkeypatch):
+    cells, centres = dense.build_cells(D.vectors(spark, SF), nlist=4)
+    near = dense.nearest_cells(centres, D.vector_queries(spark, SF), 3).select("qid", "vector", "cell")
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    left, right = dense.spread(near, cells, 16)
+    size = lambda df: df.groupBy("cell", "part", "block").count().agg(F.max("count")).first()[0]
+    assert size(left) <= 12 and size(right) <= 40
+    found = dense.probe(cells, centres, D.vector_queries(spark, SF), 10, 3)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().analyzed().toString()  # not a row for each pair in the JVM
+    asked = near.join(cells.withColumnRenamed("vector", "v"), "cell").select("qid", "doc_id", F.round(dense_dot(), 9).alias("score"))
+    want = dense.top(asked, ["qid"], [F.desc("score"), F.col("doc_id")], 10)
+    assert as_set(found, "qid", "rank", "doc_id") == as_set(want, "qid", "rank", "doc_id")
+
+
+def dense_dot():
+    from marlstone.functions.columns import dot
+
+    return dot(F.col("vector"), F.col("v"))
