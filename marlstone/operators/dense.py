@@ -363,19 +363,24 @@ def probe_codes(coded: DataFrame, centres: DataFrame, books: np.ndarray, queries
             return pa.table({"qid": a.column("qid").slice(0, 0), "doc_id": b.column("doc_id").slice(0, 0), "about": pa.array([], pa.float64())})
         codes = np.frombuffer(b"".join(b.column("code").to_pylist()), kind).reshape(-1, m)
         asked = matrix(a, "query") if rotation is None else matrix(a, "query") @ rotation
-        tables = np.einsum("qmw,msw->qms", asked.reshape(-1, m, width), books)
-        about = a.column("near").to_numpy()[:, None] + sum(tables[:, i, codes[:, i]] for i in range(m))
-        n = min(refine * k, about.shape[1])
-        cut = np.partition(about, about.shape[1] - n, axis=1)[:, about.shape[1] - n]
-        rows, columns = np.nonzero(about >= cut[:, None])
-        return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": b.column("doc_id").take(pa.array(columns)), "about": pa.array(about[rows, columns])})
-
-    # a large cell's vectors go to several tasks, and its queries to each of them; the keys of both sides have one type, as equal numbers of other types are dealt elsewhere
-    sizes = coded.groupBy(F.col("cell").cast("int").alias("cell")).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    spread = lambda df, part: df.withColumn("cell", F.col("cell").cast("int")).join(F.broadcast(sizes), "cell").withColumn("part", part).drop("parts")  # noqa: E731  a row a cell
-    parts = spread(near, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = spread(coded, F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    found = parts.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(meet, f"qid {kinds[0]}, doc_id {kinds[1]}, about double")
+        close, ids, n, step, made = a.column("near").to_numpy(), one_array(b, "doc_id"), min(refine * k, len(codes)), max(1, SCORES // max(len(codes), m * size)), []
+        place = places(ids)
+        for low in range(0, len(asked), step):
+            tables = np.einsum("qmw,msw->qms", asked[low : low + step].reshape(-1, m, width), books)
+            about = np.repeat(close[low : low + step, None], len(codes), axis=1)
+            for i in range(m):
+                about += tables[:, i, codes[:, i]]
+            cut = np.partition(about, about.shape[1] - n, axis=1)[:, about.shape[1] - n]
+            rows, columns = np.nonzero(about >= cut[:, None])
+            found = about[rows, columns]
+            kept = first(rows, found, None if place is None else place[columns], n)
+            made.append((rows[kept] + low, columns[kept], found[kept]))
+        rows, columns, about = (np.concatenate(z) for z in zip(*made))
+        return pa.table({"qid": a.column("qid").take(pa.array(rows)), "doc_id": ids.take(pa.array(columns)), "about": pa.array(about)})
+
+    left, right = spread(near, coded.select("doc_id", "cell", "code"), PART_ROWS)
+    keys = ["cell", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"qid {kinds[0]}, doc_id {kinds[1]}, about double")
     best = top(found, ["qid"], [F.desc("about"), F.col("doc_id")], refine * k).select("qid", "doc_id")
     whole = best.join(coded.select("doc_id", "vector"), "doc_id").join(queries.select("qid", F.col("vector").alias("query")), "qid")
     return top(whole.select("qid", "doc_id", F.round(dot(F.col("query"), F.col("vector")), 9).alias("score")), ["qid"], [F.desc("score"), F.col("doc_id")], k)

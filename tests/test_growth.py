@@ -76,3 +76,14 @@ def dense_dot():
     from marlstone.functions.columns import dot
 
     return dot(F.col("vector"), F.col("v"))
+
+
+def test_codes_meet_queries_in_blocks(spark, monkeypatch):
+    cells, centres = dense.build_cells(D.vectors(spark, SF), nlist=4)
+    coded, books = dense.build_codes(cells, centres)
+    queries = D.vector_queries(spark, SF)
+    whole = as_set(dense.probe_codes(coded, centres, books, queries, 5, 3), "qid", "rank", "doc_id")
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    found = dense.probe_codes(coded, centres, books, queries, 5, 3)
+    assert "block" in found._jdf.queryExecution().analyzed().toString()
+    assert as_set(found, "qid", "rank", "doc_id") == whole
