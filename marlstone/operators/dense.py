@@ -59,6 +59,36 @@ def first(rows: np.ndarray, score: np.ndarray, place: np.ndarray | None, k: int)
     return order[score[order] >= score[order][last]]
 
 
+class Best:
+    """The k best (id, score) of each of n rows, as a task meets them; floor is the k-th best score of a row so far."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.floor, self.waiting, self.held = n, k, np.full(n, -np.inf), [], 0
+
+    def add(self, rows: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        self.waiting.append((rows, score, ids))
+        if sum(len(p[0]) for p in self.waiting) >= 2 * self.held:  # floors are renewed when as many results wait as are held
+            self.merge()
+
+    def merge(self) -> None:
+        rows, score = (np.concatenate([p[i] for p in self.waiting]) for i in (0, 1))
+        ids = pa.concat_arrays([p[2] for p in self.waiting])
+        keep = first(rows, score, places(ids), self.k)
+        rows, score = rows[keep], score[keep]
+        full = np.flatnonzero(np.bincount(rows, minlength=self.n) >= self.k)
+        self.floor[full] = score[np.searchsorted(rows, full, "right") - 1]
+        self.waiting, self.held = [(rows, score, ids.take(pa.array(keep)))], len(rows)
+
+    def batches(self, names: pa.Array):
+        """(qid, doc_id, score) with the rows' names."""
+        if self.waiting:
+            self.merge()
+            rows, score, ids = self.waiting[0]
+            for at in range(0, len(rows), L2_PAIRS):
+                part = slice(at, at + L2_PAIRS)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[part])), ids[part], pa.array(score[part])], names=["qid", "doc_id", "score"])
+
+
 def own_pairs(names: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of equal names and ids, by row."""
     at: dict = {}
@@ -151,33 +181,15 @@ def _shipped(vectors: DataFrame, queries: DataFrame, n: int, k: int, itself: boo
         if not held.num_rows:
             return
         x, names = matrix(held, "vector"), one_array(held, "qid")
-        floor, best, waiting = np.full(len(x), -np.inf), None, []
-
-        def merged():
-            rows, score = (np.concatenate([p[i] for p in waiting]) for i in (0, 1))
-            ids = pa.concat_arrays([p[2] for p in waiting])
-            keep = first(rows, score, places(ids), k)
-            rows, score = rows[keep], score[keep]
-            ends = np.searchsorted(rows, np.arange(len(x)), "right") - 1
-            full = np.flatnonzero(np.bincount(rows, minlength=len(x)) >= k)
-            floor[full] = score[ends[full]]  # the k-th best so far
-            return rows, score, ids.take(pa.array(keep))
-
+        best = Best(len(x), k)
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = pa.Table.from_batches([batch])
             ids = one_array(part, "doc_id")
-            rows, columns, score = scored(x, matrix(part, "vector"), k, metric, None if itself else own_pairs(names, ids), places(ids), floor)
-            waiting.append((rows, score, ids.take(pa.array(columns))))
-            if best is None or sum(len(p[0]) for p in waiting) >= 2 * len(best[0]):  # floors are renewed when as many results wait as are held
-                best = merged()
-                waiting = [best]
-        if waiting:
-            rows, score, ids = merged()
-            for at in range(0, len(rows), L2_PAIRS):
-                part = slice(at, at + L2_PAIRS)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[part])), ids[part], pa.array(score[part])], names=["qid", "doc_id", "score"])
+            rows, columns, score = scored(x, matrix(part, "vector"), k, metric, None if itself else own_pairs(names, ids), places(ids), best.floor)
+            best.add(rows, score, ids.take(pa.array(columns)))
+        yield from best.batches(names)
 
     return vectors.select("doc_id", "vector").mapInArrow(run, f"qid {kinds[0]}, doc_id {kinds[1]}, score double")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import dense
+from marlstone.operators import dense, expand, sparse
 from marlstone.plans import catalogue
 from marlstone.plans import domain as D
 
@@ -87,3 +87,30 @@ def test_codes_meet_queries_in_blocks(spark, monkeypatch):
     found = dense.probe_codes(coded, centres, books, queries, 5, 3)
     assert "block" in found._jdf.queryExecution().analyzed().toString()
     assert as_set(found, "qid", "rank", "doc_id") == whole
+
+
+DOCS = [(1, "a b", "x y x"), (1, "b", "z z y"), (1, "c d", "x"), (None, "x", "y"), (None, "x y", "q"), (4, None, None), (5, "x", "y z x y"), (6, "", "x y z w"), (7, "x", "y z x y")]
+
+
+@pytest.mark.parametrize("ids", ["all", "single"])
+def test_bm25_without_shuffling_postings(spark, monkeypatch, ids):
+    rows = [r for r in DOCS if ids == "all" or (r[0] or 0) > 3]
+    docs = spark.createDataFrame(rows, "doc_id int, title string, content string").repartition(3)
+    queries = spark.createDataFrame([("q", "x y"), ("r", "z absent"), (None, "w"), ("q", "y"), ("s", "")], "qid string, query string")
+    monkeypatch.setattr(sparse, "PAIRS", 3)
+    joined = sparse._joined
+    monkeypatch.setattr(sparse, "_joined", None)
+    for k in (1, 2, 10):
+        found = as_set(sparse.bm25(docs, queries, k), F.coalesce("qid", F.lit("-")), F.coalesce("doc_id", F.lit(0)), "rank", "score")
+        every = joined(docs, sparse.query_terms(queries), ("title", "content"))
+        want = as_set(dense.top(every, ["qid"], [F.desc("score"), F.col("doc_id")], k), F.coalesce("qid", F.lit("-")), F.coalesce("doc_id", F.lit(0)), "rank", "score")
+        assert [r[:3] for r in found] == [r[:3] for r in want]
+        assert [r[3] for r in found] == pytest.approx([r[3] for r in want], abs=2e-9)
+
+
+def test_bm25_joins_terms_that_are_too_many(spark, monkeypatch):
+    docs, queries = D.corpus(spark, SF), D.questions(spark, SF)
+    want = as_set(sparse.bm25(docs, queries, 3), "qid", "rank", "doc_id")
+    monkeypatch.setattr(sparse, "SHIPPED", 10)
+    monkeypatch.setattr(sparse, "_shipped", None)
+    assert as_set(sparse.bm25(docs, queries, 3), "qid", "rank", "doc_id") == want
