@@ -102,6 +102,17 @@ def document_scores(scores: DataFrame, docs: DataFrame) -> DataFrame:
     return hit.groupBy(F.col("seed").alias("qid"), "doc_id").agg(F.max("score").alias("score"))
 
 
+def document_run(scores: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, score, rank): the k best of document_scores() for each query.
+
+    Documents of a concept have its score at least, so that one that k others of the concept precede by id is in no run through it."""
+    scores = scores.where("score > 0")
+    concepts = docs.select("doc_id", F.explode("concepts").alias("id")).join(scores.select("id").distinct(), "id", "left_semi").distinct()
+    some = top(concepts, ["id"], [F.col("doc_id")], k).select("id", "doc_id")
+    found = some.join(scores, "id").groupBy(F.col("seed").alias("qid"), "doc_id").agg(F.max("score").alias("score"))
+    return top(found, ["qid"], [F.desc("score"), F.col("doc_id")], k)
+
+
 def reranked(run: DataFrame, kg: DataFrame, alpha: float = 0.5) -> DataFrame:
     """run with alpha * graph score + (1 - alpha) * its own; documents without a graph score have 0."""
     joined = run.join(kg.select("qid", "doc_id", F.col("score").alias("kg_score")), ["qid", "doc_id"], "left")

@@ -42,7 +42,7 @@ def graph_run(queries: DataFrame, docs: DataFrame, graph: Graph, hops: int = 2,
     """(qid, doc_id, score, rank): documents by their concepts' best paths from the nodes that the query is linked to."""
     linked = link_queries(queries, graph.nodes, entities, threshold).select(F.col("qid").alias("seed"), "id").distinct()
     paths = expand.scored_paths(expand.edge_paths(expand.hops(linked, graph.edges, hops)))
-    return top(expand.document_scores(expand.node_scores(paths), docs), ["qid"], [F.desc("score"), F.col("doc_id")], k)
+    return expand.document_run(expand.node_scores(paths), docs, k)
 
 
 def sparse_run(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:

@@ -355,12 +355,8 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
     return expand.scored_paths(expand.edge_paths(expanded(spark, d)))
 
 
-def kg_scores(spark: SparkSession, d: str) -> DataFrame:
-    return expand.document_scores(expand.node_scores(paths(spark, d)), D.corpus(spark, d))
-
-
 def kg_run(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
-    return top(kg_scores(spark, d), ["qid"], [F.desc("score"), F.col("doc_id")], k)
+    return expand.document_run(expand.node_scores(paths(spark, d)), D.corpus(spark, d), k)
 
 
 @query(PATHS_SQL + " SELECT seed, hop AS length, source, target, round(score, 6) AS score FROM paths")
@@ -380,8 +376,9 @@ def kg_doc_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PATHS_SQL + f", {KG_RUN}, {BM25}, re AS (SELECT qid, doc_id, round(0.5::DOUBLE * coalesce(k.score, 0) + 0.5::DOUBLE * s.score, 9) AS score FROM sparse_run s LEFT JOIN kg k USING (qid, doc_id)) SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM re")
 def kg_rerank(spark: SparkSession, d: str) -> DataFrame:
-    run = sparse.bm25(D.corpus(spark, d), D.questions(spark, d), 50)
-    return expand.reranked(run, kg_scores(spark, d)).select("qid", "doc_id", *r6("score"), "rank")
+    run = kept(sparse.bm25(D.corpus(spark, d), D.questions(spark, d), 50))
+    docs = D.corpus(spark, d).select("doc_id", "concepts").join(run.select("doc_id").distinct(), "doc_id", "left_semi")
+    return expand.reranked(run, expand.document_scores(expand.node_scores(paths(spark, d)), docs)).select("qid", "doc_id", *r6("score"), "rank")
 
 
 # ---- fusion

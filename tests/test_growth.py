@@ -114,3 +114,12 @@ def test_bm25_joins_terms_that_are_too_many(spark, monkeypatch):
     monkeypatch.setattr(sparse, "SHIPPED", 10)
     monkeypatch.setattr(sparse, "_shipped", None)
     assert as_set(sparse.bm25(docs, queries, 3), "qid", "rank", "doc_id") == want
+
+
+def test_graph_run_takes_the_first_documents_of_concepts(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(int(i), [f"c{j}" for j in rng.choice(6, rng.integers(0, 4), replace=False)]) for i in rng.permutation(60)], "doc_id int, concepts array<string>")
+    scores = spark.createDataFrame([(f"s{s}", f"c{c}", float(rng.integers(0, 3)) / 2) for s in range(4) for c in range(6)], "seed string, id string, score double")
+    want = dense.top(expand.document_scores(scores, docs), ["qid"], [F.desc("score"), F.col("doc_id")], 7)
+    found = expand.document_run(scores, docs, 7)
+    assert as_set(found, "qid", "rank", "doc_id", "score") == as_set(want, "qid", "rank", "doc_id", "score")
