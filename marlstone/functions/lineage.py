@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -30,6 +31,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver collects their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Folders of written tables, which go when Python ends.
 _folders: dict[str, tuple] = {}
 

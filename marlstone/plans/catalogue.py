@@ -96,6 +96,7 @@ def stored_bm25_merged(spark: SparkSession, d: str) -> DataFrame:
     with scratch(spark) as path:
         index = stored_index(spark, d, path)
         index.merge()
+        index.sweep()
         return scratch.held(index.search(D.questions(spark, d), lang="en").select("qid", "doc_id", "rank", *r6("score")))
 
 

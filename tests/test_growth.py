@@ -135,3 +135,24 @@ def test_blocks_of_an_append_shuffle_no_postings(spark, monkeypatch):
     assert as_set(found, "doc_id", "term", "count") == as_set(every, "doc_id", "term", "count")
     sums = blocks.select(F.size("postings") == F.col("n"), F.array_max("postings.tf") == F.col("max_tf"), F.array_min("postings.len") == F.col("min_len")).distinct().collect()
     assert [tuple(r) for r in sums] == [(True, True, True)]
+
+
+def plans_of(monkeypatch) -> list[str]:
+    plans, added = [], inverted.Index._added
+    monkeypatch.setattr(inverted.Index, "_added", lambda self, blocks, old: plans.append(blocks._jdf.queryExecution().executedPlan().toString()) or added(self, blocks, old))
+    return plans
+
+
+def test_a_merge_shuffles_blocks_once_and_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "WINDOW", 8)
+    plans, docs = plans_of(monkeypatch), D.corpus(spark, SF)
+    index = inverted.Index(spark, str(tmp_path))
+    index.append(docs.where("doc_id % 2 = 0"))
+    index.append(docs.where("doc_id % 2 = 1"))
+    index.merge()
+    assert plans[2].count("Exchange") == 1 and "hashpartitioning(bucket" in plans[2]
+    assert all("regexp_extract_all" not in p.partition("Exchange rangepartitioning")[2] for p in plans[:2])  # texts are shuffled, not their words
+    found = index.blocks().where("term = '' AND field = 'content'").select("kind", "window", F.explode("postings").alias("p")).select("kind", "window", "p.*")
+    windows = found.groupBy("kind", "window").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).orderBy("kind", "low", "high").collect()
+    assert found.count() == docs.count() and max(r.n for r in windows) <= 8
+    assert all(a.high <= b.low for a, b in zip(windows, windows[1:]) if a.kind == b.kind)  # windows over all documents
